@@ -118,11 +118,13 @@ def code_frames(samples: np.ndarray, numbers: np.ndarray, as_coefficients: bool
     column = np.arange(BLOCK)
     tail = column >= order[:, None]
     folded = np.where(tail, (residual << 1) ^ (residual >> 31), 0)
-    size = np.stack([(folded >> k).sum(1) + (k + 1) * (BLOCK - order) for k in range(8)])
+    # unary parts over 15 bits would not fit the packing below: such parameters are not tried
+    most = folded.max(1)
+    size = np.stack([np.where(most >> k > 15, 1 << 30, (folded >> k).sum(1) + (k + 1) * (BLOCK - order)) for k in range(8)])
     rice = size.argmin(0)
     bits = size.min(0) + 18 + 8 * order + (as_coefficients & (order > 0)) * (9 + 4 * order)
     constant = (x == x[:, :1]).all(1)
-    verbatim = ~constant & ((bits >= 8 + 8 * BLOCK) | (folded >> rice[:, None] > 15).any(1))
+    verbatim = ~constant & (bits >= 8 + 8 * BLOCK)
     coded = ~constant & ~verbatim
     lpc = coded & as_coefficients & (order > 0)
 
