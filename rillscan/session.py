@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def reach(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if they have none of their own."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, root]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by whatever path Spark's readers understand."""
+    reach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
