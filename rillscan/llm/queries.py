@@ -6,7 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, flac, token_counts
+from . import bpe, flac, quality, token_counts, urls
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's counts, the base rule, and the verdict of the rules' votes."""
+    return quality.judge(table(spark, sf_dir, "documents"))
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,14 +24,21 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the rules, or else by the language models."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text by the 50k byte-level tokenizer, and whether they exceed 1024."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=1024)
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_media_columns": op4_media_columns,
     "op6_bpe_codec": op6_bpe_codec,
+    "op7_url_filters": op7_url_filters,
     "op8_token_counts": op8_token_counts,
 }
 
