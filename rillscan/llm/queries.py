@@ -6,7 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, flac, quality, suffixes, token_counts, urls
+from . import bpe, flac, jaccard, quality, suffixes, token_counts, urls
+
+
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the links of 4-word shingle sets at similarity 0.85."""
+    return jaccard.components_of(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +45,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
     "op4_media_columns": op4_media_columns,
     "op6_bpe_codec": op6_bpe_codec,
