@@ -43,9 +43,14 @@ from ..session import cut
 LENGTH = 400
 GRAM = 32
 #: Different runs that one bucket may hold in a task.
-MOST_RUNS = 8000
+MOST_RUNS = 4000
 #: Bytes of run texts that are sorted together, a larger bucket apart.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
+#: Bytes of texts whose suffixes are hashed at once, and rows that are counted before they are dealt out.
+HASHED_AT_ONCE = 1 << 20
+COUNTED_AT_ONCE = 200_000
+#: Rows of texts that a worker turns into Python objects at once.
+ROWS_AT_ONCE = 128
 #: Starting suffixes a text is cut into at most, so that positions fit the packing below.
 SEGMENT = 1 << 22
 #: A perfect difference cover: any two residues modulo 31 have a common distance to it.
@@ -54,7 +59,14 @@ BLOOM_BITS = 1 << 23
 
 _random = np.random.default_rng(99)
 _HASHERS = [(_random.integers(0, 2**64, 256, dtype=np.uint64), base, pow(base, -1, 2**64)) for base in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)]
-RUN = ["anchor", "near", "far", "hash1", "hash2"]
+#: What a run is: its anchor, a hash of its bytes, and packed in one number more of that hash (32 bits) and its least and greatest distance to the anchor (9 bits each).
+RUN = ["anchor", "content1", "shape"]
+_SPAN = 9
+
+
+def _near_far():
+    return F.expr(f"(shape >> {_SPAN}) & {(1 << _SPAN) - 1}"), F.expr(f"shape & {(1 << _SPAN) - 1}")
+
 
 
 class _Hasher:
@@ -105,7 +117,8 @@ def find_runs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     anchors = least[starts]
     text = np.searchsorted(offsets, starts, side="right") - 1
     signed = lambda x: x.view(np.int64)
-    return {"text": text, "start": starts - offsets[text], "anchor": signed(grams[anchors]), "near": anchors - ends, "far": anchors - starts, "hash1": signed(first.spans(starts, ends + LENGTH)), "hash2": signed(second.spans(starts, ends + LENGTH))}
+    shape = signed(second.spans(starts, ends + LENGTH) >> np.uint64(32)) << (2 * _SPAN) | (anchors - ends) << _SPAN | (anchors - starts)
+    return {"text": text, "start": starts - offsets[text], "anchor": signed(grams[anchors]), "content1": signed(first.spans(starts, ends + LENGTH)), "shape": shape}
 
 
 def _segments(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -124,14 +137,14 @@ def runs(docs: DataFrame) -> DataFrame:
     """A row for each run of suffixes: where it lies and what it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, most=HASHED_AT_ONCE):
             for data, offsets, rows, places in _segments(part):
                 found = find_runs(data, offsets)
                 row = rows[found["text"]]
                 where = pa.array(row, pa.int64())
                 yield pa.record_batch([part.column("doc_id").take(where), part.column("key").take(where), pa.array(found["start"] + places[found["text"]], pa.int64()), *(pa.array(found[c], pa.int64()) for c in RUN)], ["doc_id", "key", "start", *RUN])
 
-    return docs.mapInArrow(run, "doc_id long, key long, start long, anchor long, near long, far long, hash1 long, hash2 long")
+    return docs.mapInArrow(run, "doc_id long, key long, start long, anchor long, content1 long, shape long")
 
 
 def _cover_offsets() -> np.ndarray:
@@ -226,12 +239,13 @@ def _sort_buckets(contexts: DataFrame) -> DataFrame:
     """(run, first, last): stretches of repeated suffixes of each run, bucket by bucket."""
 
     def solve(block: list[tuple]) -> pa.RecordBatch:
-        far, near = np.array([r[2] for r in block]), np.array([r[1] for r in block])
+        shape = np.array([r[2] for r in block])
+        far, near = shape & (1 << _SPAN) - 1, shape >> _SPAN & (1 << _SPAN) - 1
         _, groups = np.unique(np.array([r[0] for r in block]), return_inverse=True)
-        rows: list[list] = [[] for _ in range(7)]
-        for r, marks in zip(block, repeated_suffixes([r[5] for r in block], groups, far, far - near + 1)):
+        rows: list[list] = [[] for _ in range(5)]
+        for r, marks in zip(block, repeated_suffixes([r[3] for r in block], groups, far, far - near + 1)):
             for a, b in zip(*_stretches(marks)):
-                for column, value in zip(rows, (*r[:5], int(a), int(b))):
+                for column, value in zip(rows, (*r[:3], int(a), int(b))):
                     column.append(value)
         return pa.record_batch([pa.array(c, pa.int64()) for c in rows], [*RUN, "first", "last"])
 
@@ -244,23 +258,25 @@ def _sort_buckets(contexts: DataFrame) -> DataFrame:
                     yield solve(block)
                     block, size = [], 0
                 block.append(r)
-                size += len(r[5])
+                size += len(r[3])
         if block:
             yield solve(block)
 
-    return contexts.select(*RUN, "content").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, near long, far long, hash1 long, hash2 long, first long, last long")
+    return contexts.select(*RUN, "content").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, content1 long, shape long, first long, last long")
 
 
 def _narrow(contexts: DataFrame) -> DataFrame:
     """The same for buckets too large for a task: slices of distances, narrowed from 64 to 8 to 1."""
-    slices = contexts.select(*RUN, "content", F.array(F.col("far") * 0).alias("slices"))
+    contexts = contexts.select(*RUN, "content")
+    slices = contexts.withColumn("slices", F.array(F.lit(0).cast("long")))
     found = None
     for width, before in ((64, 0), (8, 64), (1, 8)):
 
         def run(batches: Iterator[pa.RecordBatch], width=width, before=before) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                columns: list[list] = [[] for _ in range(8)]
-                for anchor, near, far, h1, h2, content, mine in zip(*(batch.column(c).to_pylist() for c in [*RUN, "content", "slices"])):
+                columns: list[list] = [[] for _ in range(6)]
+                for anchor, content1, shape, content, mine in zip(*(batch.column(c).to_pylist() for c in [*RUN, "content", "slices"])):
+                    near, far = shape >> _SPAN & (1 << _SPAN) - 1, shape & (1 << _SPAN) - 1
                     spans = [(near, far)] if not before else [(max(near, s * before), min(far, s * before + before - 1)) for s in mine]
                     places = sorted({s for a, b in spans for s in range(a // width, b // width + 1)})
                     low, high = np.maximum(near, np.array(places) * width), np.minimum(far, np.array(places) * width + width - 1)
@@ -271,18 +287,18 @@ def _narrow(contexts: DataFrame) -> DataFrame:
                     starts, ends = np.minimum(starts, len(data)), np.minimum(np.maximum(ends, 0), len(data))
                     ok = (starts < ends) & (high >= low)
                     a, b = _Hasher(data, 0).spans(starts[ok], ends[ok]), _Hasher(data, 1).spans(starts[ok], ends[ok])
-                    for column, values in zip(columns, ([anchor] * ok.sum(), [near] * ok.sum(), [far] * ok.sum(), [h1] * ok.sum(), [h2] * ok.sum(), np.array(places)[ok].tolist(), a.view(np.int64).tolist(), b.view(np.int64).tolist())):
+                    for column, values in zip(columns, ([anchor] * ok.sum(), [content1] * ok.sum(), [shape] * ok.sum(), np.array(places)[ok].tolist(), a.view(np.int64).tolist(), b.view(np.int64).tolist())):
                         column.extend(values)
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], [*RUN, "slice", "core1", "core2"])
 
-        cores = slices.mapInArrow(run, "anchor long, near long, far long, hash1 long, hash2 long, slice long, core1 long, core2 long")
+        cores = slices.mapInArrow(run, "anchor long, content1 long, shape long, slice long, core1 long, core2 long")
         shared = cores.withColumn("times", F.count("*").over(Window.partitionBy("anchor", "slice", "core1", "core2"))).where("times > 1").select(*RUN, "slice")
         if width == 1:
             found = shared
         else:
             both = contexts.select(*RUN, "content", F.lit(None).cast("long").alias("slice")).unionByName(shared.withColumn("content", F.lit(None).cast("binary")))
             slices = cut(both.groupBy(*RUN).agg(F.max("content").alias("content"), F.collect_list("slice").alias("slices")).where(F.size("slices") > 0))
-    return found.select(*RUN, (F.col("far") - F.col("slice")).alias("first"), (F.col("far") - F.col("slice")).alias("last"))
+    return found.select(*RUN, (_near_far()[1] - F.col("slice")).alias("first"), (_near_far()[1] - F.col("slice")).alias("last"))
 
 
 class Bloom:
@@ -301,7 +317,7 @@ class Bloom:
             bits = np.zeros(BLOOM_BITS // 8 + 8192, np.uint8)
             for bucket, part in parts.items():
                 bits[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(part)] = np.frombuffer(part, np.uint8)
-            for batch in batches:
+            for batch in _pieces(batches):
                 at = batch.column("place").to_numpy()
                 has = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
                 yield batch.filter(pa.array(has == inside)).drop_columns(["place"])
@@ -309,30 +325,37 @@ class Bloom:
         return docs.withColumn("place", F.pmod(F.xxhash64("doc_id", "key"), F.lit(BLOOM_BITS))).mapInArrow(run, "doc_id long, key long, text string")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The text of one run of each kind that is wanted."""
     asked = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", *RUN, "kinds")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
+        for batch in _pieces(batches):
+            columns: list[list] = [[] for _ in range(5)]
             for text, asked in zip(batch.column("text"), batch.column("asked").to_pylist()):
                 data = text.as_py().encode()
                 for r in asked:
-                    content = data[r["start"] : r["start"] + r["far"] - r["near"] + LENGTH]
+                    near, far = r["shape"] >> _SPAN & (1 << _SPAN) - 1, r["shape"] & (1 << _SPAN) - 1
+                    content = data[r["start"] : r["start"] + far - near + LENGTH]
                     for column, value in zip(columns, (*(r[c] for c in RUN), r["kinds"], content)):
                         column.append(value)
-            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], [*RUN, "kinds", "content"])
+            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], [*RUN, "kinds", "content"])
 
     holders = Bloom(wanted).of(docs, True).dropDuplicates(["doc_id", "key"])
-    return holders.join(asked, (holders.doc_id.eqNullSafe(asked.doc_id)) & (holders.key == asked.key)).select("text", "asked").mapInArrow(run, "anchor long, near long, far long, hash1 long, hash2 long, kinds long, content binary")
+    return holders.join(asked, (holders.doc_id.eqNullSafe(asked.doc_id)) & (holders.key == asked.key)).select("text", "asked").mapInArrow(run, "anchor long, content1 long, shape long, kinds long, content binary")
 
 
 def _digest(docs: DataFrame) -> DataFrame:
     """What is left of each text, given the byte ranges to remove."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             sizes, removed, spans, hashes = [], [], [], []
             for text, ranges in zip(batch.column("text"), batch.column("ranges").to_pylist()):
                 data = text.as_py().encode()
@@ -357,17 +380,52 @@ def _digest(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def _count_early(every: DataFrame) -> DataFrame:
+    """Runs counted within each task, so that a common run is few rows when runs are dealt out."""
+    names = ["doc_id", "key", "start", *RUN]
+
+    def merge(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = [table.column(c).to_numpy() for c in RUN]
+        order = np.lexsort(keys[::-1])
+        new = np.zeros(len(order), bool)
+        new[0] = True
+        for k in keys:
+            new[1:] |= k[order][1:] != k[order][:-1]
+        firsts = np.flatnonzero(new)
+        times = np.diff(np.append(firsts, len(order)))
+        picked = table.take(pa.array(order[firsts]))
+        return pa.record_batch([*(picked.column(c).combine_chunks() for c in names), pa.array(times, pa.int64())], [*names, "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= COUNTED_AT_ONCE:
+                yield merge(held)
+                held = []
+        if held:
+            yield merge(held)
+
+    return every.select(*names).mapInArrow(run, "doc_id long, key long, start long, anchor long, content1 long, shape long, times long")
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, key, a, b): byte ranges of docs(doc_id, key, text) whose strings occur elsewhere too."""
     every = cut(runs(docs))
-    kinds = every.groupBy(*RUN).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "key", "start")).alias("one"))
+    kinds = _count_early(every).repartition("anchor").groupBy(*RUN).agg(F.sum("times").alias("times"), F.min(F.struct("doc_id", "key", "start")).alias("one"))
     bucket = Window.partitionBy("anchor")
     kinds = cut(kinds.withColumn("kinds", F.count("*").over(bucket)).where("times > 1 or kinds > 1"))
-    contexts = cut(_contexts(docs, kinds.where("kinds > 1").select("one.*", *RUN, "kinds")))
-    whole = kinds.where("times > 1").select(*RUN, F.lit(0).cast("long").alias("first"), (F.col("far") - F.col("near")).alias("last"))
-    found = whole.unionByName(_sort_buckets(contexts.where(F.col("kinds") <= MOST_RUNS)))
-    if large := contexts.where(F.col("kinds") > MOST_RUNS).take(1):
-        found = found.unionByName(_narrow(contexts.where(F.col("kinds") > MOST_RUNS)))
+    wanted = kinds.where("kinds > 1").select("one.*", *RUN, "kinds")
+    contexts = _contexts(docs, wanted)
+    whole = kinds.where("times > 1").select(*RUN, F.lit(0).cast("long").alias("first"), (_near_far()[1] - _near_far()[0]).alias("last"))
+    if kinds.where(F.col("kinds") > MOST_RUNS).take(1):
+        contexts = cut(contexts)
+        found = _sort_buckets(contexts.where(F.col("kinds") <= MOST_RUNS)).unionByName(_narrow(contexts.where(F.col("kinds") > MOST_RUNS)))
+    else:
+        found = _sort_buckets(contexts)
+    found = whole.unionByName(found)
     return every.join(found, RUN).select("doc_id", "key", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + LENGTH).alias("b"))
 
 
