@@ -12,9 +12,9 @@ Relations between sets are used twice, as in set-relation skipping:
   of common shingles; sets linked to a leader have the leader's component, and from
   then on only pairs that lie in two components are looked at.
 * Index lists are skipped in blocks. A list is cut into blocks by set size; a block is
-  only read together with its own and the next one, others cannot reach t. Inside, an
-  entry is skipped by its position: what is left behind it in either set bounds the
-  overlap.
+  only read together with its own and the next one, others cannot reach t. Inside, a
+  pair is skipped by the entries it meets in and their positions: what is left behind
+  the last one in either set bounds the overlap.
 
 Pairs that remain are verified on the whole sets. Verification sends each set once for
 each pair to the other set's task, where it is compared as it streams by.
@@ -45,6 +45,8 @@ from ..session import cut
 #: Common shingles that are known to all tasks, at most (8 bytes each), and the share of documents that makes one common.
 MOST_COMMON = 1 << 17
 COMMON_SHARE = 0.002
+#: Sets that are compared with one leader in one place; a larger group is split.
+GROUP = 256
 #: A set's size and a position take 24 bits of a packed entry, the share of uncommon shingles 10.
 _SIZE = 24
 
@@ -144,7 +146,7 @@ def _place_of(packed: str):
 def verify(docs: DataFrame, holders: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs(a, b) of sets that are linked. holders(id, doc_id, key): a document of each set."""
     # b leads a group, split by a's hash so that no group is large; a set says in which groups it is compared
-    parts = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(1024)).alias("part"))
+    parts = pairs.withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("b")) / GROUP)).select("a", "b", F.pmod(F.xxhash64("a"), "parts").alias("part"))
     roles = parts.select(F.col("a").alias("id"), F.col("b").alias("group"), "part", F.lit(1).alias("role")).unionByName(
         parts.select(F.col("b").alias("id"), F.col("b").alias("group"), "part", F.lit(0).alias("role")).distinct())
     asked = cut(roles.groupBy("id").agg(F.collect_list(F.struct("group", "part", "role")).alias("roles")).join(holders, "id").select("id", "doc_id", "key", "roles"))
@@ -199,9 +201,12 @@ def _rest_pairs(lists: DataFrame, percent: int) -> DataFrame:
     block = F.floor(F.log(_size_of("packed").cast("double")) / math.log(100 / percent)).cast("int")
     left = lists.select("shingle", F.col("id").alias("a"), F.col("component").alias("ca"), _size_of("packed").alias("na"), _place_of("packed").alias("pa"), block.alias("block"))
     right = lists.select("shingle", F.col("id").alias("b"), F.col("component").alias("cb"), _size_of("packed").alias("nb"), _place_of("packed").alias("pb"), F.explode(F.array(block - 1, block)).alias("block"))
-    bound = 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    fits = (F.col("ca") != F.col("cb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (100 * F.col("na") >= percent * F.col("nb")) & ((100 + percent) * bound >= percent * (F.col("na") + F.col("nb")))
-    return left.join(right, ["shingle", "block"]).where(fits).select("a", "b").distinct()
+    fits = (F.col("ca") != F.col("cb")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (100 * F.col("na") >= percent * F.col("nb"))
+    met = left.join(right, ["shingle", "block"]).where(fits).groupBy("a", "b").agg(F.count("*").alias("met"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    # common shingles up to the last one met are all met; what follows it lies behind it in both sets, and behind the prefix that ends first
+    after = [F.ceil(percent * F.col(c) / 100) - 1 for c in ("na", "nb")]
+    most = F.col("met") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1, F.greatest(*after))
+    return met.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def components_of(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
@@ -217,12 +222,12 @@ def components_of(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     # index lists that hold at least two sets, each with its leader
     shared = Window.partitionBy("shingle")
     listed = _entries(docs, n, percent, common).withColumns({"least": F.min("id").over(shared), "most": F.max("id").over(shared), "leader": F.min(F.struct(F.expr(f"packed >> {2 * _SIZE}").alias("rank"), "id", "packed")).over(shared)})
-    lists = cut(listed.where("least <> most").select("shingle", "id", "packed", "leader"))
+    lists = cut(listed.where("least <> most").select("shingle", "id", "packed", "leader").dropDuplicates(["shingle", "id"]))
     holders = sets.groupBy("id").agg(F.min(F.struct("doc_id", "key")).alias("one")).select("id", "one.*")
 
     links = cut(verify(docs, holders, _star_pairs(lists, percent), n, percent))
     known = components(links).withColumnRenamed("node", "id")
-    placed = lists.select("shingle", "id", "packed").distinct().join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = lists.select("shingle", "id", "packed").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.withColumns({"least": F.min("component").over(shared), "most": F.max("component").over(shared)}).where("least <> most").select("shingle", "id", "packed", "component")
     rest = cut(_rest_pairs(cut(mixed), percent))
     if rest.take(1):
