@@ -209,8 +209,11 @@ def _rest_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return met.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def components_of(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs: components of links of similarity percent / 100 or more."""
+def components_of(docs: DataFrame, n: int = 4, percent: int = 85, identity: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs: components of links of similarity percent / 100 or more.
+
+    identity: return (doc_id, key, n_shingles, component) instead, key a hash of the text.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     survey = cut(_survey(docs, n))
@@ -234,5 +237,29 @@ def components_of(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         links = links.unionByName(verify(docs, holders, rest, n, percent))
         known = components(links).withColumnRenamed("node", "id")
     placed = sets.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    if identity:
+        return placed.select("doc_id", "key", F.col("size").alias("n_shingles"), "component")
     least = placed.where("size > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "component", "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of docs without those that are not the first of their component, with all their columns.
+
+    First is the row of the least (doc_id, text hash); of wholly equal ones any.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = cut(components_of(docs, n, percent, identity=True))
+    order = F.struct("doc_id", "key")
+    spare = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.when(F.col("doc_id").isNotNull(), order)).alias("named"), F.min(order).alias("any"), F.count("*").alias("rows")).where("rows > 1")
+    first = F.coalesce("named", "any")
+    # rows that may go are few; the others pass without a shuffle of their texts
+    groups = found.join(spare.select("component", first.alias("first")), "component").select("doc_id", "key", "first").distinct()
+    goes = cut(groups)
+    names = docs.columns
+    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_key"))
+    slim = goes.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), (~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")))).alias("_other"))
+    joined = keyed.join(slim, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    alone = joined.where(F.col("_d").isNull() & F.col("_k").isNull())
+    leaders = joined.where("_other = false").dropDuplicates(["_id", "_key"])
+    return alone.unionByName(leaders).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, flac, jaccard, quality, suffixes, token_counts, urls
+from . import bpe, flac, jaccard, mixing, pii, pseudo, quality, suffixes, token_counts, urls
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +20,21 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's masked pseudo-log-likelihood under a model of all texts."""
+    return pseudo.score(table(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as FLAC, read back and digested."""
     return flac.digest(flac.store(table(spark, sf_dir, "documents")))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text: base spans and those that the trees add."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded by the 50k byte-level vocabulary."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -39,6 +50,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=1024)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rate for every document, so that domains get 85, 10 and 5 % of 0.7 of all tokens."""
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), weights=[0.85, 0.10, 0.05], budget=0.7)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every text without the 400-byte strings that also start elsewhere."""
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
@@ -47,11 +63,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality_rules": op2_quality_rules,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_media_columns": op4_media_columns,
+    "op5_pii": op5_pii,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_url_filters": op7_url_filters,
     "op8_token_counts": op8_token_counts,
+    "op9_mixing": op9_mixing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
