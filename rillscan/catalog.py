@@ -1,10 +1,574 @@
-"""Every registered query of the engine and its DuckDB twin."""
+"""Every registered query of the engine and its DuckDB twin.
+
+A query whose SQL both engines read alike is registered once (``both``); the others have
+a DataFrame form here and their own SQL for DuckDB.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import hashing, probability
+from .operators import hierarchy, match, sketches, suffix_array
+from .sources import generators, streams
+from .session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+TABLES = ["documents", "events", "lineitem", "orders", "benchmark", "conversations", "pages", "labels"]
+
+N = 2
+BLOCK = 16
+WINDOW = 24
+MINED = 6
+
+#: Streams and patterns as DuckDB sees them.
+EVENT_STREAM = "SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS token FROM events WHERE event_type IS NOT NULL"
+EVENT_PATTERNS = f"SELECT token || ',' || t1 || ',' || t2 AS name, token AS t0, t1, t2, row_number() OVER (ORDER BY token || ',' || t1 || ',' || t2) AS pid FROM (SELECT DISTINCT token, t1, t2 FROM (SELECT pos, token, lead(token, 1) OVER w AS t1, lead(token, 2) OVER w AS t2 FROM ({EVENT_STREAM}) WINDOW w AS (PARTITION BY stream_id ORDER BY pos)) WHERE pos = 0 AND t2 IS NOT NULL)"
+EVENT_MATCHES = f"SELECT p.pid, s.stream_id, s.pos FROM (SELECT stream_id, pos, token, lead(token, 1) OVER w AS t1, lead(token, 2) OVER w AS t2 FROM ({EVENT_STREAM}) WINDOW w AS (PARTITION BY stream_id ORDER BY pos)) s JOIN ({EVENT_PATTERNS}) p ON s.token = p.t0 AND s.t1 = p.t1 AND s.t2 = p.t2"
+TEXTS = "SELECT doc_id AS stream_id, regexp_replace(text, '[\\r\\n]', '', 'g') AS text FROM documents WHERE text IS NOT NULL"
+TEXT_PATTERNS = f"SELECT item_id AS pid, substr(text, 1, {MINED}) AS pattern FROM benchmark WHERE length(text) >= {MINED}"
+TEXT_MATCHES = f"SELECT pid, stream_id, unnest(list_filter(range(1, length(text) - length(pattern) + 2), lambda i: substr(text, i, length(pattern)) = pattern)) - 1 AS pos FROM ({TEXTS}) JOIN ({TEXT_PATTERNS}) ON contains(text, pattern)"
+GRAMS = f"SELECT stream_id, pos, token || chr(1) || t1 AS gram FROM (SELECT stream_id, pos, token, lead(token, 1) OVER (PARTITION BY stream_id ORDER BY pos) AS t1 FROM ({EVENT_STREAM})) WHERE t1 IS NOT NULL"
+PATTERN_GRAMS = f"SELECT pid, 0 AS k, t0 || chr(1) || t1 AS gram FROM ({EVENT_PATTERNS}) UNION ALL SELECT pid, 1, t1 || chr(1) || t2 FROM ({EVENT_PATTERNS})"
+MEMBERS = f"SELECT DISTINCT stream_id, pos // {BLOCK} AS block, level::BIGINT AS level, (pos % {BLOCK}) // ({BLOCK} // (1 << level)) AS interval, gram FROM ({GRAMS}), (SELECT unnest(range(0, 4))::INTEGER AS level)"
+HASH = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
+
+
+def query(sql: str | None = None):
+    """Registers a function as a query, with its SQL for DuckDB."""
+
+    def register(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def both(name: str, sql: str) -> None:
+    """Registers SQL that Spark and DuckDB read alike."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in TABLES:
+            if f" {t}" in sql:
+                table(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(sql)
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = sql
+
+
+def _events(spark, sf_dir):
+    return streams.event_tokens(table(spark, sf_dir, "events"))
+
+
+def _event_patterns(spark, sf_dir):
+    """Distinct first three tokens of the streams: at most (event types) ** 3 patterns, numbered by text."""
+    order = Window.partitionBy("stream_id").orderBy("pos")
+    firsts = _events(spark, sf_dir).select("pos", F.array("token", F.lead("token", 1).over(order), F.lead("token", 2).over(order)).alias("tokens")).where("pos = 0").where(F.expr("tokens[2] is not null"))
+    return firsts.select("tokens").distinct().select(F.row_number().over(Window.orderBy(F.array_join("tokens", ","))).cast("long").alias("pid"), "tokens")
+
+
+def _texts(spark, sf_dir):
+    return streams.stripped_texts(table(spark, sf_dir, "documents"))
+
+
+def _text_patterns(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").where(F.length("text") >= MINED).select(F.col("item_id").alias("pid"), F.substring("text", 1, MINED).alias("pattern"))
+
+
+def _grams(spark, sf_dir):
+    return match.ngrams(_events(spark, sf_dir), N)
+
+
+def _asked(spark, sf_dir):
+    return match.pattern_grams(_event_patterns(spark, sf_dir), N)
+
+
+def _matches(spark, sf_dir):
+    return match.find_tokens(_events(spark, sf_dir), _event_patterns(spark, sf_dir), N)
+
+
+# ---------------------------------------------------------------- sources
+
+
+@query(f"SELECT stream_id, length(text) AS n, length(text) - 1 AS last FROM ({TEXTS}) WHERE length(text) > 0")
+def scan_chars(spark, sf_dir):
+    return streams.characters(table(spark, sf_dir, "documents")).groupBy("stream_id").agg(F.count("*").alias("n"), F.max("pos").alias("last"))
+
+
+@query("SELECT doc_id AS stream_id, count(*) AS n, sum(length(s))::BIGINT AS size FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '\\r$', '') AS s FROM documents) WHERE length(s) > 0 GROUP BY doc_id")
+def scan_segments(spark, sf_dir):
+    return streams.segments(table(spark, sf_dir, "documents")).groupBy("stream_id").agg(F.count("*").alias("n"), F.sum(F.length("token")).cast("long").alias("size"))
+
+
+@query("SELECT doc_id AS stream_id, count(*) AS n, sum(length(w))::BIGINT AS size FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS w FROM documents) GROUP BY doc_id")
+def scan_words(spark, sf_dir):
+    return streams.words(table(spark, sf_dir, "documents")).groupBy("stream_id").agg(F.count("*").alias("n"), F.sum(F.length("token")).cast("long").alias("size"))
+
+
+@query(f"SELECT * FROM ({EVENT_STREAM}) WHERE pos < 5")
+def stream_limit(spark, sf_dir):
+    return streams.first(_events(spark, sf_dir), 5)
+
+
+@query("""SELECT event_id, '"' || event_id || '","' || replace(coalesce(event_type, ''), '"', '""') || '","' || replace(coalesce(props, ''), '"', '""') || '"' AS line FROM events""")
+def csv_line(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", streams.csv_line(["event_id", "event_type", "props"]).alias("line"))
+
+
+@query("SELECT item_id AS pid, text AS pattern, length(text)::BIGINT AS m FROM benchmark")
+def patterns_raw(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pid"), F.col("text").alias("pattern"), F.length("text").cast("long").alias("m"))
+
+
+@query("SELECT item_id AS pid, trim(text) AS pattern FROM benchmark WHERE trim(text) <> ''")
+def patterns_stripped(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pid"), F.trim("text").alias("pattern")).where("pattern <> ''")
+
+
+@query("SELECT item_id AS pid, unnest(string_split_regex(text, ' +')) AS token, generate_subscripts(string_split_regex(text, ' +'), 1) - 1 AS k FROM benchmark")
+def patterns_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pid"), F.posexplode(F.split("text", " +")).alias("k", "token")).select("pid", "token", F.col("k").cast("long").alias("k"))
+
+
+both("workload_filter", "SELECT item_id AS pid, CAST(length(text) AS BIGINT) AS m FROM benchmark WHERE length(text) >= 4 AND length(text) BETWEEN 100 AND 600")
+
+
+@query(f"SELECT i AS pos, chr((97 + floor(('0x' || substr(md5('7:' || i), 1, 12))::BIGINT / 281474976710656.0 * 26))::INTEGER) AS token FROM (SELECT unnest(range(0, 5000)) AS i)")
+def gen_uniform(spark, sf_dir):
+    return generators.uniform(spark, 5000, 97, 122, seed=7)
+
+
+@query("WITH w AS (SELECT unnest(range(1, 11)) AS k), c AS (SELECT k, sum(1.0::DOUBLE / k) OVER (ORDER BY k) / (SELECT sum(1.0::DOUBLE / k) FROM w) AS reach FROM w), u AS (SELECT i, ('0x' || substr(md5('3:' || i), 1, 12))::BIGINT / 281474976710656.0 AS u FROM (SELECT unnest(range(0, 5000)) AS i)) SELECT i AS pos, chr((40 + (SELECT count(*) FROM c WHERE k < 10 AND u.u >= reach))::INTEGER) AS token FROM u")
+def gen_zipf(spark, sf_dir):
+    return generators.zipf(spark, 5000, 10, 1.0, seed=3)
+
+
+@query("SELECT i AS pos, substr('ABCDEFGHIKLMNOP', (((i // 64) % 15) + 1)::BIGINT, 1) AS token FROM (SELECT unnest(range(0, 5000)) AS i)")
+def gen_blocks(spark, sf_dir):
+    return generators.blocks(spark, 5000, 64, "ABCDEFGHIKLMNOP")
+
+
+@query()
+def gen_debruijn(spark, sf_dir):
+    return generators.de_bruijn(spark, 8192, "0123", 6)
+
+
+@query()
+def gen_markov(spark, sf_dir):
+    return generators.markov(spark, 8, 512, 40)
+
+
+# ---------------------------------------------------------------- grams and keys
+
+
+@query("SELECT substr(x, i, 3) AS gram, count(*) AS n FROM (SELECT text AS x, unnest(range(1, length(text) - 1)) AS i FROM (" + TEXTS + ") WHERE length(text) >= 3) GROUP BY 1")
+def ngrams_chars(spark, sf_dir):
+    return _texts(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit("(?s)(?=(.{3}))"), 1)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query(GRAMS)
+def ngrams_tokens(spark, sf_dir):
+    return _grams(spark, sf_dir)
+
+
+@query(f"SELECT pid, k::BIGINT AS k, gram, 3::BIGINT AS m FROM ({PATTERN_GRAMS})")
+def pattern_grams(spark, sf_dir):
+    return _asked(spark, sf_dir)
+
+
+@query(f"SELECT pid, k::BIGINT AS k, gram, 3::BIGINT AS m FROM ({PATTERN_GRAMS}) WHERE k % 2 = 0 OR k = 1")
+def pattern_stride_grams(spark, sf_dir):
+    return match.stride(_asked(spark, sf_dir), N)
+
+
+@query("SELECT event_id, " + HASH.format("event_type || ':' || user_id") + " AS h FROM events")
+def hash_ids(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", hashing.md5_long(F.concat_ws(":", "event_type", "user_id")).alias("h"))
+
+
+@query("SELECT n, greatest(1, ceil(log2(n * (n - 1.0) / (-2 * ln(1 - 0.0001)))))::BIGINT AS bits, round(1 - exp(-(n * (n - 1.0)) / pow(2.0, 41)), 9) AS chance FROM (SELECT unnest([10, 1000, 100000, 1000000]) AS n)")
+def hash_width(spark, sf_dir):
+    n = F.col("n").cast("double")
+    return spark.createDataFrame([(10,), (1000,), (100000,), (1000000,)], "n int").select("n", hashing.bits_for(n, F.lit(0.0001)).alias("bits"), F.round(hashing.collision_chance(n, F.lit(40)), 9).alias("chance"))
+
+
+both("dictionary_encode", "SELECT token, CAST(dense_rank() OVER (ORDER BY first_at) AS BIGINT) AS id FROM (SELECT event_type AS token, min(event_id) AS first_at FROM events GROUP BY event_type) t")
+both("rank_transform", "SELECT user_id, event_type, CAST(dense_rank() OVER (PARTITION BY event_type ORDER BY n) AS BIGINT) AS r FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) t")
+both("alphabet_product", "SELECT a.t AS t0, b.t AS t1, CAST(row_number() OVER (ORDER BY a.t, b.t) - 1 AS BIGINT) AS id FROM (SELECT DISTINCT event_type AS t FROM events) a JOIN (SELECT DISTINCT event_type AS t FROM events) b ON 1 = 1")
+
+
+@query("SELECT event_id, ((user_id % 1024) << 20 | (event_id % 1048576))::BIGINT AS packed FROM events")
+def key_pack(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.shiftleft(F.col("user_id") % 1024, 20).bitwiseOR(F.col("event_id") % 1048576).alias("packed"))
+
+
+@query("SELECT user_id, level, user_id >> (20 - level) AS interval FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest([4, 8, 12, 16]) AS level)")
+def dyadic_interval(spark, sf_dir):
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select("user_id", F.explode(F.array(*map(F.lit, (4, 8, 12, 16)))).alias("level")).select("user_id", "level", F.expr("shiftrightunsigned(user_id, 20 - level)").alias("interval"))
+
+
+# ---------------------------------------------------------------- search
+
+
+@query(TEXT_MATCHES)
+def find_all_chars(spark, sf_dir):
+    return match.find_all(_texts(spark, sf_dir), _text_patterns(spark, sf_dir), MINED)
+
+
+@query(TEXT_MATCHES)
+def find_all_scan(spark, sf_dir):
+    return match.find_by_scan(_texts(spark, sf_dir), _text_patterns(spark, sf_dir))
+
+
+@query(f"SELECT pid, count(*) AS n, count(DISTINCT stream_id) AS n_streams FROM ({TEXT_MATCHES}) GROUP BY pid")
+def workload_counts(spark, sf_dir):
+    return find_all_chars(spark, sf_dir).groupBy("pid").agg(F.count("*").alias("n"), F.countDistinct("stream_id").alias("n_streams"))
+
+
+@query(f"SELECT pid, stream_id, ((length(text) - length(replace(text, pattern, ''))) // length(pattern))::BIGINT AS n FROM ({TEXTS}) JOIN ({TEXT_PATTERNS}) ON contains(text, pattern)")
+def find_nonoverlapping(spark, sf_dir):
+    return match.count_apart(_texts(spark, sf_dir), _text_patterns(spark, sf_dir))
+
+
+@query(f"SELECT DISTINCT pid FROM ({TEXT_MATCHES})")
+def pattern_exists(spark, sf_dir):
+    return _text_patterns(spark, sf_dir).join(find_all_chars(spark, sf_dir), "pid", "left_semi").select("pid")
+
+
+@query(f"SELECT pid FROM (SELECT item_id AS pid, substr(text, 1, {MINED - 1}) || '■' AS pattern FROM benchmark WHERE length(text) >= {MINED}) p WHERE NOT EXISTS (SELECT 1 FROM ({TEXTS}) WHERE contains(text, pattern))")
+def pattern_missing(spark, sf_dir):
+    spoilt = _text_patterns(spark, sf_dir).select("pid", F.concat(F.substring("pattern", 1, MINED - 1), F.lit("■")).alias("pattern"))
+    return spoilt.join(match.find_all(_texts(spark, sf_dir), spoilt, MINED), "pid", "left_anti").select("pid")
+
+
+@query(EVENT_MATCHES)
+def find_all_tokens(spark, sf_dir):
+    return _matches(spark, sf_dir)
+
+
+QUERIES["find_unbounded"], ORACLE_SQL["find_unbounded"] = find_all_tokens, EVENT_MATCHES
+
+
+@query(f"SELECT m.pid, m.stream_id, m.pos FROM ({EVENT_MATCHES}) m JOIN (SELECT stream_id, count(*) AS n FROM ({EVENT_STREAM}) GROUP BY 1) l USING (stream_id) WHERE pos >= greatest(n - {WINDOW}, 0) AND pos + 3 <= n")
+def find_window_exact(spark, sf_dir):
+    return match.in_window(_matches(spark, sf_dir), match.lengths(_events(spark, sf_dir)), _event_patterns(spark, sf_dir), match.first_kept_exact(F.col("n"), WINDOW))
+
+
+RETAINED = f"SELECT stream_id, n, greatest(CASE WHEN n - ((n - 1) // {BLOCK}) * {BLOCK} >= {WINDOW % BLOCK} + 2 THEN (n - 1) // {BLOCK} - {WINDOW // BLOCK} + 1 ELSE (n - 1) // {BLOCK} - {WINDOW // BLOCK} END, 0) * {BLOCK} AS kept FROM (SELECT stream_id, count(*) AS n FROM ({EVENT_STREAM}) GROUP BY 1)"
+
+
+@query(f"SELECT m.pid, m.stream_id, m.pos FROM ({EVENT_MATCHES}) m JOIN ({RETAINED}) l USING (stream_id) WHERE pos >= kept AND pos + 3 <= n")
+def retained_block_window(spark, sf_dir):
+    return match.in_window(_matches(spark, sf_dir), match.lengths(_events(spark, sf_dir)), _event_patterns(spark, sf_dir), match.first_kept_block(F.col("n"), WINDOW, BLOCK))
+
+
+@query(f"SELECT pid, stream_id, pos FROM ({EVENT_MATCHES}) WHERE pos // {BLOCK} < (pos + 2) // {BLOCK}")
+def find_boundary_crossing(spark, sf_dir):
+    return match.crossing(_matches(spark, sf_dir), _event_patterns(spark, sf_dir), BLOCK)
+
+
+@query(f"SELECT count(*) AS in_first, 0::BIGINT AS only_first, 0::BIGINT AS only_second FROM ({TEXT_MATCHES})")
+def result_diff(spark, sf_dir):
+    a, b = find_all_chars(spark, sf_dir).withColumn("a", F.lit(1)), find_all_scan(spark, sf_dir).withColumn("b", F.lit(1))
+    return a.join(b, ["pid", "stream_id", "pos"], "full").agg(F.count("a").alias("in_first"), F.count(F.when(F.col("b").isNull(), 1)).alias("only_first"), F.count(F.when(F.col("a").isNull(), 1)).alias("only_second"))
+
+
+@query(f"SELECT stream_id, pos, count(*) OVER (PARTITION BY stream_id, token ORDER BY pos RANGE BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS n FROM ({EVENT_STREAM})")
+def sliding_token_count(spark, sf_dir):
+    return _events(spark, sf_dir).select("stream_id", "pos", F.count("*").over(Window.partitionBy("stream_id", "token").orderBy("pos").rangeBetween(1 - WINDOW, 0)).alias("n"))
+
+
+LOADS = f"SELECT stream_id, unnest(range(1, n // {WINDOW} + 1)) AS load FROM (SELECT stream_id, count(*) AS n FROM ({EVENT_STREAM}) GROUP BY 1)"
+
+
+@query(f"SELECT l.stream_id, l.load, count(*) AS n FROM ({LOADS}) l JOIN ({EVENT_MATCHES}) m ON m.stream_id = l.stream_id AND m.pos + 3 <= l.load * {WINDOW} AND m.pos >= (l.load - 1) * {WINDOW} GROUP BY 1, 2")
+def tumbling_query_loads(spark, sf_dir):
+    loads = match.lengths(_events(spark, sf_dir)).where(F.col("n") >= WINDOW).select("stream_id", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(F.col("n") / WINDOW))).alias("load"))
+    found = _matches(spark, sf_dir).withColumn("load", F.floor(F.col("pos") / WINDOW) + 1).where(F.col("pos") + 3 <= F.col("load") * WINDOW)
+    return found.join(loads, ["stream_id", "load"]).groupBy("stream_id", "load").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT pid, stream_id, pos, (pos + 2) // {BLOCK // 2} AS flush FROM ({EVENT_MATCHES})")
+def find_delayed_batches(spark, sf_dir):
+    return _matches(spark, sf_dir).withColumn("flush", F.floor((F.col("pos") + 2) / (BLOCK // 2)))
+
+
+@query(f"SELECT stream_id, b AS level, 1 << b AS size FROM (SELECT stream_id, count(*) AS n FROM ({EVENT_STREAM}) GROUP BY 1), (SELECT unnest(range(0, 24))::INTEGER AS b) WHERE (n >> b) & 1 = 1")
+def lsm_segments(spark, sf_dir):
+    sized = match.lengths(_events(spark, sf_dir)).select("stream_id", "n", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("level"))
+    return sized.where(F.expr("shiftright(n, level) & 1 = 1")).select("stream_id", "level", F.expr("cast(shiftleft(1, level) as int)").alias("size"))
+
+
+# ---------------------------------------------------------------- hierarchy
+
+
+@query(f"SELECT level::BIGINT AS level, ({BLOCK} >> level)::BIGINT AS span, (1 << level)::BIGINT AS intervals FROM (SELECT unnest(range(0, 4))::INTEGER AS level)")
+def dyadic_levels(spark, sf_dir):
+    return spark.createDataFrame([(l, s, 1 << l) for l, s in hierarchy.levels(BLOCK, N)], "level long, span long, intervals long")
+
+
+def _members(spark, sf_dir):
+    return hierarchy.members(_grams(spark, sf_dir), BLOCK, N)
+
+
+@query(MEMBERS)
+def interval_members(spark, sf_dir):
+    return _members(spark, sf_dir)
+
+
+@query(f"SELECT DISTINCT pid, stream_id, block, interval FROM ({MEMBERS}) JOIN ({PATTERN_GRAMS}) USING (gram) WHERE level = 2 AND k = 0")
+def block_candidates(spark, sf_dir):
+    return hierarchy.candidates(_members(spark, sf_dir), _asked(spark, sf_dir), 2)
+
+
+@query(f"SELECT pid, stream_id, block, interval FROM (SELECT p.pid, m.stream_id, m.block, m.interval, count(*) AS met FROM ({MEMBERS}) m JOIN (SELECT DISTINCT pid, gram FROM ({PATTERN_GRAMS})) p USING (gram) WHERE level = 1 GROUP BY 1, 2, 3, 4) JOIN (SELECT pid, count(DISTINCT gram) AS needed FROM ({PATTERN_GRAMS}) GROUP BY pid) USING (pid) WHERE met = needed")
+def block_candidates_cgbs(spark, sf_dir):
+    return hierarchy.full_candidates(_members(spark, sf_dir), _asked(spark, sf_dir), 1)
+
+
+@query(EVENT_MATCHES)
+def verify_candidates(spark, sf_dir):
+    return hierarchy.verify(block_candidates(spark, sf_dir), _matches(spark, sf_dir), BLOCK, BLOCK >> 2)
+
+
+@query(f"SELECT level::BIGINT AS level, count(*) AS hits FROM ({MEMBERS}) JOIN (SELECT DISTINCT pid, gram FROM ({PATTERN_GRAMS})) USING (gram) GROUP BY 1")
+def probe_histogram(spark, sf_dir):
+    return hierarchy.probes(_members(spark, sf_dir), _asked(spark, sf_dir))
+
+
+@query("SELECT n, p, ceil(-n * ln(p) / (ln(2) * ln(2)))::BIGINT AS m, greatest(1, round(ceil(-n * ln(p) / (ln(2) * ln(2))) / n * ln(2)))::BIGINT AS k FROM (SELECT unnest([100, 1000, 100000]) AS n), (SELECT unnest([0.01::DOUBLE, 0.15::DOUBLE]) AS p)")
+def bloom_sizing(spark, sf_dir):
+    grid = spark.createDataFrame([(n, p) for n in (100, 1000, 100000) for p in (0.01, 0.15)], "n int, p double")
+    m = F.ceil(-F.col("n") * F.ln("p") / (F.ln(F.lit(2.0)) ** 2))
+    return grid.select("n", "p", m.cast("long").alias("m"), F.greatest(F.lit(1), F.round(m / F.col("n") * F.ln(F.lit(2.0)))).cast("long").alias("k"))
+
+
+@query(f"SELECT level::BIGINT AS level, ((1 << level) * least(25, {BLOCK} >> level))::BIGINT AS keys FROM (SELECT unnest(range(0, 4))::INTEGER AS level)")
+def bloom_memory(spark, sf_dir):
+    return dyadic_levels(spark, sf_dir).select("level", (F.col("intervals") * F.least(F.lit(25).cast("long"), F.col("span"))).alias("keys"))
+
+
+@query()
+def bloom_build(spark, sf_dir):
+    return hierarchy.bloom_build(_grams(spark, sf_dir), "stream_id", 512, 4).select("stream_id", "bucket", F.bitmap_count("bitmap").alias("ones"))
+
+
+@query()
+def bloom_probe(spark, sf_dir):
+    return hierarchy.bloom_probe(hierarchy.bloom_build(_grams(spark, sf_dir), "stream_id", 512, 4), "stream_id", _asked(spark, sf_dir).select("gram").distinct(), 512, 4)
+
+
+@query()
+def bloom_occupancy(spark, sf_dir):
+    ones = bloom_build(spark, sf_dir).groupBy("stream_id").agg(F.sum("ones").alias("ones"))
+    share = F.col("ones") / 512
+    return ones.select("stream_id", F.pow(share, F.lit(4)).alias("false_positives"), (-512 / 4 * F.ln(1 - F.least(share, F.lit(0.999)))).alias("distinct"))
+
+
+# ---------------------------------------------------------------- frequencies and sketches
+
+WORDS = "SELECT unnest(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS token FROM documents"
+WORD_COUNTS = f"SELECT token, count(*) AS n FROM ({WORDS}) GROUP BY token"
+
+
+def _words(spark, sf_dir):
+    return streams.words(table(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT token, n, round(n / (SELECT sum(n) FROM ({WORD_COUNTS})), 9) AS share FROM ({WORD_COUNTS})")
+def token_freq(spark, sf_dir):
+    return sketches.frequencies(_words(spark, sf_dir)).withColumn("share", F.round("share", 9))
+
+
+@query(f"SELECT 0.05::DOUBLE AS q, quantile_disc(n, 0.05) AS n FROM ({WORD_COUNTS}) UNION ALL SELECT 0.5::DOUBLE, quantile_disc(n, 0.5) FROM ({WORD_COUNTS}) UNION ALL SELECT 0.95::DOUBLE, quantile_disc(n, 0.95) FROM ({WORD_COUNTS})")
+def freq_quantile(spark, sf_dir):
+    counts = _words(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n"))
+    row = counts.agg(*[F.expr(f"percentile_disc({q}) within group (order by n)").cast("long").alias(f"q{k}") for k, q in enumerate((0.05, 0.5, 0.95))])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"q{k}").alias("n")) for k, q in enumerate((0.05, 0.5, 0.95))])).alias("s")).select("s.*")
+
+
+@query(f"SELECT n, count(*) AS tokens, round(sum(count(*)) OVER (ORDER BY n) / sum(count(*)) OVER (), 9) AS cdf FROM ({WORD_COUNTS}) GROUP BY n")
+def freq_cdf(spark, sf_dir):
+    # the window runs over distinct frequencies, which are few however many words there are
+    counts = _words(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("tokens"))
+    return counts.select("n", "tokens", F.round(F.sum("tokens").over(Window.orderBy("n")) / F.sum("tokens").over(Window.partitionBy()), 9).alias("cdf"))
+
+
+SAMPLE = f"SELECT bucket, arg_min(token, (priority, token)) AS token FROM (SELECT DISTINCT token, {HASH.format(chr(39) + 'b:' + chr(39) + ' || token')} % 256 AS bucket, {HASH.format(chr(39) + 'p:' + chr(39) + ' || token')} AS priority FROM ({WORDS})) GROUP BY bucket"
+
+
+@query(SAMPLE)
+def hops_sample(spark, sf_dir):
+    return sketches.bucket_sample(_words(spark, sf_dir), 256)
+
+
+@query(f"SELECT token, n FROM (SELECT token, n, row_number() OVER (ORDER BY n, token) AS r, count(*) OVER () AS size FROM ({SAMPLE}) JOIN ({WORD_COUNTS}) USING (token)) WHERE r = greatest(1, ceil(0.95 * size))")
+def hops_quantile(spark, sf_dir):
+    return sketches.sample_quantile(hops_sample(spark, sf_dir).select("token"), _words(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n")), 0.95)
+
+
+@query(f"SELECT DISTINCT token, {HASH.format(chr(39) + 'p:' + chr(39) + ' || token')} AS priority FROM ({WORDS}) ORDER BY priority, token LIMIT 100")
+def bottom_k(spark, sf_dir):
+    return sketches.bottom_k(_words(spark, sf_dir), 100)
+
+
+COUNTS5 = f"SELECT token, n, r FROM (SELECT token, count(*) AS n FROM ({EVENT_STREAM}) GROUP BY token), (SELECT unnest(range(0, 5)) AS r)"
+SKETCH = f"SELECT token, n, r, {HASH.format(chr(39) + 'b:' + chr(39) + ' || r || ' + chr(39) + ':' + chr(39) + ' || token')} % 64 AS bucket, CASE WHEN {HASH.format(chr(39) + 's:' + chr(39) + ' || r || ' + chr(39) + ':' + chr(39) + ' || token')} % 2 = 0 THEN 1 ELSE -1 END AS sign FROM ({COUNTS5})"
+
+
+@query(f"WITH s AS ({SKETCH}), v AS (SELECT r, bucket, sum(n * sign) AS value FROM s GROUP BY r, bucket) SELECT token, list_sort(list((value * sign)::BIGINT))[3] AS estimate FROM s JOIN v USING (r, bucket) GROUP BY token")
+def count_sketch_estimate(spark, sf_dir):
+    stream = _events(spark, sf_dir)
+    return sketches.sketch_estimates(sketches.count_sketch(stream, 64, 5), stream.select("token").distinct(), 64, 5)
+
+
+@query(f"WITH c AS ({WORD_COUNTS}), s AS (SELECT n FROM ({SAMPLE}) JOIN c USING (token)) SELECT (SELECT count(*) FROM s) AS sampled, (SELECT quantile_disc(n, 0.9) FROM s) AS estimate, (SELECT quantile_disc(n, 0.9) FROM c) AS truth, round(sqrt(ln(2 / 0.05) / (2 * (SELECT count(*) FROM s))), 9) AS band")
+def sampling_report(spark, sf_dir):
+    counts = _words(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n"))
+    q = F.expr("percentile_disc(0.9) within group (order by n)").cast("long")
+    sampled = hops_sample(spark, sf_dir).select("token").join(counts, "token").agg(F.count("*").alias("sampled"), q.alias("estimate"))
+    return sampled.crossJoin(counts.agg(q.alias("truth"))).withColumn("band", F.round(probability.dkw_band(F.col("sampled").cast("double"), F.lit(0.05)), 9))
+
+
+@query("SELECT eps, delta, ceil(ln(2 / delta) / (2 * eps * eps))::BIGINT AS needed, round(2048 * (1 - pow(1 - 1.0::DOUBLE / 2048, 1000)), 6) AS occupied FROM (SELECT unnest([0.025::DOUBLE, 0.05::DOUBLE]) AS eps), (SELECT unnest([0.05::DOUBLE, 0.01::DOUBLE]) AS delta)")
+def hops_design(spark, sf_dir):
+    grid = spark.createDataFrame([(e, d) for e in (0.025, 0.05) for d in (0.05, 0.01)], "eps double, delta double")
+    return grid.select("eps", "delta", probability.draws_needed(F.col("eps"), F.col("delta")).alias("needed"), F.round(probability.occupied(F.lit(2048.0), F.lit(1000.0)), 6).alias("occupied"))
+
+
+# ---------------------------------------------------------------- Markov models
+
+both("markov_unigram", "SELECT token, n, round(n / sum(n) OVER (), 9) AS p FROM (SELECT event_type AS token, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY event_type) t")
+TRANSITIONS = "SELECT before_token, token, CAST(count(*) AS DOUBLE) AS n FROM (SELECT event_type AS token, lag(event_type, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_token FROM events) l WHERE before_token IS NOT NULL GROUP BY before_token, token"
+both("markov_transitions", f"SELECT before_token, token, n, round(n / sum(n) OVER (PARTITION BY before_token), 9) AS p FROM ({TRANSITIONS}) t")
+both("markov_sequence_prob", f"SELECT user_id, round(sum(ln(coalesce(p, 0.000001))), 5) AS logp, count(*) AS n FROM (SELECT user_id, event_type AS token, lag(event_type, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_token FROM events) s LEFT JOIN (SELECT before_token, token, n / sum(n) OVER (PARTITION BY before_token) AS p FROM ({TRANSITIONS}) t) m USING (before_token, token) WHERE before_token IS NOT NULL GROUP BY user_id")
+
+# ---------------------------------------------------------------- pruning model
+
+FREQ = f"SELECT token, count(*) / (SELECT count(*) FROM events)::DOUBLE AS p FROM ({EVENT_STREAM}) GROUP BY token"
+
+
+def _freq(spark, sf_dir):
+    return sketches.frequencies(_events(spark, sf_dir)).select("token", F.col("share").alias("p"))
+
+
+@query(f"SELECT token, level::BIGINT AS level, round(1 - pow(1 - p, 1024 >> level), 6) AS h, round(1 - pow(1 - p, 1024 >> level) + 0.15 * pow(1 - p, 1024 >> level), 6) AS q FROM ({FREQ}), (SELECT unnest(range(0, 8))::INTEGER AS level)")
+def level_probs(spark, sf_dir):
+    levels = _freq(spark, sf_dir).select("token", "p", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("level"))
+    shift = F.expr("cast(shiftright(1024, level) as double)")
+    h = 1 - F.pow(1 - F.col("p"), shift)
+    return levels.select("token", F.col("level").cast("long").alias("level"), F.round(h, 6).alias("h"), F.round(probability.said(h, 0.15), 6).alias("q"))
+
+
+@query(f"SELECT p.pid, round(1 + q0 + q0 * q1, 6) AS probes, round(q0 * q1 * q2, 6) AS yes FROM (SELECT pid, 1 - pow(1 - a.p, 16) AS q0, 1 - pow(1 - b.p, 16) AS q1, 1 - pow(1 - c.p, 16) AS q2 FROM ({EVENT_PATTERNS}) x JOIN ({FREQ}) a ON a.token = t0 JOIN ({FREQ}) b ON b.token = t1 JOIN ({FREQ}) c ON c.token = t2) p")
+def expected_probes(spark, sf_dir):
+    tokens = _event_patterns(spark, sf_dir).select("pid", F.posexplode("tokens").alias("k", "token")).join(_freq(spark, sf_dir), "token")
+    q = tokens.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("k", (1 - F.pow(1 - F.col("p"), F.lit(16.0))).alias("q")))).alias("s")).select("pid", F.transform("s", lambda s: s["q"]).alias("q"))
+    return q.select("pid", F.round(probability.expected_probes(F.col("q")), 6).alias("probes"), F.round(probability.all_yes(F.col("q")), 6).alias("yes"))
+
+
+PLAIN_LEVEL = "least(ceil(ln(1024 / (ln(1 - 0.99) / ln(1 - p)))), 9)"
+
+
+@query(f"SELECT token, greatest(CASE WHEN {PLAIN_LEVEL} > 0 THEN {PLAIN_LEVEL} + 1 ELSE {PLAIN_LEVEL} END, 0)::BIGINT AS plain, least(greatest(ceil(ln(1024 / ((ln(1 - 0.99) - ln(1 - 0.15)) / ln(1 - p)))) + 1, 0), 10)::BIGINT AS filtered FROM ({FREQ})")
+def pruning_level(spark, sf_dir):
+    return _freq(spark, sf_dir).select("token", probability.pruning_level(1024, 0.99, F.col("p")).alias("plain"), probability.pruning_level_filtered(1024, 0.99, F.col("p"), 0.15).alias("filtered"))
+
+
+COSTS = f"SELECT token, level, (1 << level) * 97.0 + (1 << level) * (1 - pow(1 - p, 1024 >> level)) * (1024 >> level) * 26.0 AS cost FROM ({FREQ}), (SELECT unnest(range(0, 10))::INTEGER AS level)"
+
+
+@query(f"SELECT token, arg_min(level, (cost, level))::BIGINT AS level, round(min(cost), 4) AS cost FROM ({COSTS}) GROUP BY token")
+def choose_level(spark, sf_dir):
+    levels = _freq(spark, sf_dir).select("token", "p", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("level"))
+    nodes, span = F.expr("cast(shiftleft(1, level) as double)"), F.expr("cast(shiftright(1024, level) as double)")
+    cost = nodes * 97.0 + nodes * (1 - F.pow(1 - F.col("p"), span)) * span * 26.0
+    return levels.select("token", "level", cost.alias("cost")).groupBy("token").agg(F.min(F.struct("cost", "level")).alias("best")).select("token", F.col("best.level").cast("long").alias("level"), F.round("best.cost", 4).alias("cost"))
+
+
+BLOCK_FREQ = f"SELECT stream_id, pos // {BLOCK} AS block, token, count(*) AS n, sum(count(*)) OVER (PARTITION BY stream_id, pos // {BLOCK}) AS total FROM ({EVENT_STREAM}) GROUP BY 1, 2, 3"
+
+
+@query(f"SELECT stream_id, block, CASE WHEN p >= 1 THEN 0 ELSE least(greatest(ceil(ln({BLOCK} / ((ln(1 - 0.99) - ln(1 - 0.15)) / ln(1 - p)))) + 1, 0), 4) END::BIGINT AS dropped FROM (SELECT stream_id, block, min(n) / min(total)::DOUBLE AS p FROM ({BLOCK_FREQ}) GROUP BY 1, 2)")
+def memory_policy_levels(spark, sf_dir):
+    counts = _events(spark, sf_dir).groupBy("stream_id", F.floor(F.col("pos") / BLOCK).alias("block"), "token").agg(F.count("*").alias("n"))
+    rare = counts.groupBy("stream_id", "block").agg((F.min("n") / F.sum("n")).alias("p"))
+    return rare.select("stream_id", "block", F.when(F.col("p") >= 1, 0).otherwise(probability.pruning_level_filtered(BLOCK, 0.99, F.least("p", F.lit(0.999999)), 0.15)).cast("long").alias("dropped"))
+
+
+@query()
+def solve_b(spark, sf_dir):
+    p = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: 0.1 + 0.15 * hashing.unit(F.concat_ws(":", "id", k.cast("string"))))
+    solved = spark.range(100).withColumn("p", p).withColumn("b", probability.solve_width(F.col("p"), 0.99))
+    return solved.select("id", F.round("b", 6).alias("b"), F.round(F.aggregate("p", F.lit(1.0), lambda a, x: a * (1 - F.pow(1 - x, F.col("b")))), 6).alias("product"))
+
+
+@query()
+def cost_ie(spark, sf_dir):
+    freq = {r.token: r.p for r in _freq(spark, sf_dir).collect()}  # event types are few
+    rows = [(r.pid, float(probability.any_missing(16.0, [freq[t] for t in set(r.tokens)]))) for r in _event_patterns(spark, sf_dir).collect()]
+    return spark.createDataFrame(rows, "pid long, missing double")
+
+
+# ---------------------------------------------------------------- statistics of runs
+
+both("stats_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(sum(l_discount) / sum(l_quantity), 9) AS ratio FROM lineitem GROUP BY l_returnflag, l_linestatus")
+both("bench_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS avg_price FROM orders GROUP BY ROLLUP(o_orderstatus, o_orderpriority)")
+both("bench_pivot", "SELECT l_linenumber, round(avg(CASE WHEN l_returnflag = 'A' THEN l_quantity END), 6) AS a_qty, round(avg(CASE WHEN l_returnflag = 'N' THEN l_quantity END), 6) AS n_qty, round(avg(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 6) AS r_qty, count(*) AS n FROM lineitem GROUP BY l_linenumber")
+both("perf_pivot", "SELECT user_id, count(CASE WHEN event_type = 'click' THEN 1 END) AS clicks, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS purchases, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+both("trimmed_stats", "SELECT l_shipmode_key, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd, round(sum(a) / sum(b), 9) AS ratio FROM (SELECT l_returnflag AS l_shipmode_key, l_extendedprice / l_quantity AS x, l_extendedprice AS a, l_quantity AS b, row_number() OVER (PARTITION BY l_returnflag, l_linenumber ORDER BY l_extendedprice / l_quantity, l_orderkey) AS r, count(*) OVER (PARTITION BY l_returnflag, l_linenumber) AS c FROM lineitem) t WHERE r > 3 AND r <= c - 3 GROUP BY l_shipmode_key")
+both("cost_accuracy", "SELECT l_returnflag, count(*) AS n, round(sqrt(avg((pred - act) * (pred - act))), 6) AS rmse, round(avg(abs(pred - act) / act), 9) AS mape, round(abs(sum(pred) - sum(act)) / sum(act), 9) AS overall, round(avg(CAST(CASE WHEN pred > act THEN 1 ELSE 0 END AS DOUBLE)), 6) AS over_share FROM (SELECT l_returnflag, l_extendedprice * (1 - l_discount) AS pred, l_extendedprice * (1 - l_tax) AS act FROM lineitem) t GROUP BY l_returnflag")
+both("sampling_summary", "SELECT o_orderpriority, count(*) AS trials, round(avg(o_totalprice), 4) AS mean_value, CAST(sum(CASE WHEN o_totalprice <= 200000 THEN 1 ELSE 0 END) AS BIGINT) AS successes FROM orders GROUP BY o_orderpriority")
+
+
+# ---------------------------------------------------------------- suffix arrays
+
+SUFFIXES = f"SELECT stream_id, pos, list(token) OVER (PARTITION BY stream_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS suffix FROM ({EVENT_STREAM})"
+
+
+def _suffixes(spark, sf_dir):
+    stream = _events(spark, sf_dir)
+    longest = stream.agg(F.max("pos")).first()[0]
+    return suffix_array.suffix_array(stream, (longest or 0) + 1)
+
+
+@query(f"SELECT stream_id, pos, row_number() OVER (PARTITION BY stream_id ORDER BY suffix) - 1 AS rank FROM ({SUFFIXES})")
+def find_suffix_array(spark, sf_dir):
+    return _suffixes(spark, sf_dir)
+
+
+QUERIES["suffix_array"], ORACLE_SQL["suffix_array"] = QUERIES.pop("find_suffix_array"), ORACLE_SQL.pop("find_suffix_array")
+LCP = f"SELECT stream_id, rank, len(list_filter(range(1, least(len(suffix), len(coalesce(n, []))) + 1), lambda i: suffix[1:i] = n[1:i])) AS lcp FROM (SELECT stream_id, suffix, row_number() OVER (PARTITION BY stream_id ORDER BY suffix) - 1 AS rank, lead(suffix) OVER (PARTITION BY stream_id ORDER BY suffix) AS n FROM ({SUFFIXES}))"
+
+
+def _lcp(spark, sf_dir):
+    order = Window.partitionBy("stream_id").orderBy("pos")
+    rest = F.collect_list("token").over(order.rowsBetween(0, Window.unboundedFollowing))
+    suffixes = _events(spark, sf_dir).select("stream_id", "pos", rest.alias("suffix")).join(_suffixes(spark, sf_dir), ["stream_id", "pos"])
+    next_one = F.lead("suffix").over(Window.partitionBy("stream_id").orderBy("rank"))
+    differs = F.filter(F.transform(F.arrays_zip(F.col("suffix").alias("a"), F.coalesce("next", F.array()).alias("b")), lambda x, i: F.when(x["a"].eqNullSafe(x["b"]), F.lit(None)).otherwise(i)), lambda i: i.isNotNull())
+    return suffixes.withColumn("next", next_one).select("stream_id", "rank", F.coalesce(F.get(differs, F.lit(0)), F.size("suffix")).cast("long").alias("lcp"))
+
+
+@query(LCP)
+def lcp_array(spark, sf_dir):
+    return _lcp(spark, sf_dir)
+
+
+@query(f"SELECT stream_id, max(lcp) AS longest FROM ({LCP}) GROUP BY stream_id")
+def longest_repeat(spark, sf_dir):
+    return _lcp(spark, sf_dir).groupBy("stream_id").agg(F.max("lcp").alias("longest"))
+
+
+@query(f"SELECT pid, i AS prefix, coalesce(list_max(list_filter(range(0, i), lambda k: substr(pattern, 1, k) = substr(pattern, i - k + 1, k))), 0) AS border FROM (SELECT pid, pattern, unnest(range(1, length(pattern) + 1)) AS i FROM ({TEXT_PATTERNS}))")
+def prefix_function(spark, sf_dir):
+    borders = _text_patterns(spark, sf_dir).select("pid", F.posexplode(suffix_array.prefix_function(F.col("pattern"))).alias("i", "border"))
+    return borders.select("pid", (F.col("i") + 1).cast("long").alias("prefix"), F.col("border").cast("long").alias("border"))
