@@ -14,6 +14,9 @@ def reach(spark: SparkSession) -> None:
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, root]))
+    # Spark's default of 10000 rows a batch is for narrow rows; whole texts make batches of 100 MB with it
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     Where the cluster names none (tests, a laptop) a temporary folder is made and
     the setting is filled in, so that later calls find the same place.
     """
+    reach(spark)
     where = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not where:
