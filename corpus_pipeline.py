@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillscan.llm import bpe, jaccard, mixing, pii, quality
-from rillscan.session import shared_dir, table
+from rillscan.session import reach, shared_dir, table
 
 #: No SQL expresses the fitted stages; each is tested against a brute-force version.
 ORACLE_SQL = None
@@ -19,6 +19,7 @@ def _free(docs: DataFrame, names: list[str]) -> list[str]:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the rules' votes keep."""
+    reach(spark)
     return quality.keep_good(docs)
 
 
@@ -37,9 +38,9 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the domains' target weights ask; no document less than once, none over three times."""
+    """Documents as often as the domains' target weights ask; no document less than once, none over twice."""
     free = _free(docs, ["_tokens", "_good", "_low", "_toxic", "_copy"])
-    return mixing.copies(docs, table(spark, sf_dir, "labels"), free, weights=[0.92, 0.05, 0.03], budget=1.2, low=1.0, high=3.0)
+    return mixing.copies(docs, table(spark, sf_dir, "labels"), free, weights=[0.92, 0.05, 0.03], budget=1.1, low=1.0, high=2.0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

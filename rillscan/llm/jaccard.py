@@ -45,6 +45,8 @@ from ..session import cut
 #: Common shingles that are known to all tasks, at most (8 bytes each), and the share of documents that makes one common.
 MOST_COMMON = 1 << 17
 COMMON_SHARE = 0.002
+#: Bytes of texts that are cut into shingles at once.
+HASHED_AT_ONCE = 1 << 20
 #: Sets that are compared with one leader in one place; a larger group is split.
 GROUP = 256
 #: A set's size and a position take 24 bits of a packed entry, the share of uncommon shingles 10.
@@ -85,7 +87,7 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "key", "id", "size", "common"]
-        for part in chunks(batches):
+        for part in chunks(batches, most=HASHED_AT_ONCE):
             shingles, offsets = shingle_sets(*flat(part.column("text")), n)
             sizes = np.diff(offsets)
             yield pa.record_batch([part.column("doc_id"), part.column("key"), pa.array(set_ids(shingles, offsets)), pa.array(sizes, pa.int64()), pa.array([False] * part.num_rows)], names)
@@ -106,7 +108,7 @@ def _entries(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataF
         by_hash = np.argsort(common)
         ordered = common[by_hash]
         written: set[int] = set()
-        for part in chunks(batches):
+        for part in chunks(batches, most=HASHED_AT_ONCE):
             shingles, offsets = shingle_sets(*flat(part.column("text")), n)
             ids, sizes = set_ids(shingles, offsets), np.diff(offsets)
             place = np.zeros(len(shingles), np.int64)
@@ -153,7 +155,7 @@ def verify(docs: DataFrame, holders: DataFrame, pairs: DataFrame, n: int, percen
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(iter([batch])):
+            for part in chunks(iter([batch]), most=HASHED_AT_ONCE):
                 shingles, offsets = shingle_sets(*flat(part.column("text")), n)
                 columns: list[list] = [[] for _ in range(5)]
                 for k, (one, roles) in enumerate(zip(part.column("id").to_pylist(), part.column("roles").to_pylist())):
