@@ -134,7 +134,7 @@ def votes(at: str) -> list[Column]:
         _three_way(c["n_words"] < 20, c["n_words"] >= 20),
         _three_way((mean < 2.5) | (mean > 12), (mean >= 3) & (mean <= 9)),
         _three_way(c["n_symbols"] > 0.1 * some, c["n_symbols"] <= 0.01 * some),
-        _three_way(c["n_dup_lines"] > 0.3 * c["n_lines"], (c["n_dup_lines"] == 0) & (c["n_lines"] >= 2)),
+        _three_way((c["n_dup_lines"] > 0.5 * c["n_lines"]) & (c["n_lines"] >= 6), (c["n_dup_lines"] == 0) & (c["n_lines"] >= 2)),
         _three_way(c["n_repeat_words"] > 0.2 * some, long & (c["n_repeat_words"] <= 0.02 * some)),
         _three_way((upper > 0.4) & (c["n_letters"] >= 40), upper <= 0.15),
         _three_way(c["n_exclaims"] > 0.1 * some, c["n_exclaims"] <= 0.01 * some),
@@ -144,6 +144,8 @@ def votes(at: str) -> list[Column]:
 
 
 N_RULES = 9
+#: Share of good texts that a rule may speak against.
+WRONG = 0.005
 
 
 def pattern_of(at: str) -> Column:
@@ -158,7 +160,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, trust: floa
     """Expectation-maximisation over vote patterns.
 
     A rule that abstains says nothing. A rule's bad votes on good texts have a prior of
-    1 in 200, worth ``trust`` times the number of texts: rules are mostly right.
+    WRONG, worth ``trust`` times the number of texts, and are no more frequent than that.
     Returns the posterior probability of good for each pattern, the estimated
     probability of a vote by (class, rule, vote) where the rule votes, and the share of
     good texts.
@@ -166,13 +168,15 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, trust: floa
     digits = (patterns[:, None] // 3 ** np.arange(N_RULES)) % 3
     shown = np.eye(3)[digits][:, :, :2]
     # to begin with, a text that some rule speaks against is more likely bad than good
-    posterior = np.where((digits == 0).any(1), 0.1, 0.9)
-    prior = np.stack([np.ones((N_RULES, 2)), np.tile([0.005, 0.995], (N_RULES, 1)) * (trust * counts.sum() + 2)])
+    posterior = np.where((digits == 0).any(1), 0.05, 0.999)
+    prior = np.stack([np.ones((N_RULES, 2)), np.tile([WRONG, 1 - WRONG], (N_RULES, 1)) * (trust * counts.sum() + 2)])
     theta, share = np.zeros((2, N_RULES, 2)), 0.5
     for _ in range(rounds):
         weights = np.stack([(1 - posterior) * counts, posterior * counts])
         theta = np.einsum("cp,prv->crv", weights, shown) + prior
         theta /= theta.sum(2, keepdims=True)
+        theta[1, :, 0] = np.minimum(theta[1, :, 0], WRONG)
+        theta[1, :, 1] = 1 - theta[1, :, 0]
         share = (weights[1].sum() + 1) / (counts.sum() + 2)
         logs = np.einsum("prv,crv->cp", shown, np.log(theta)) + np.log([[1 - share], [share]])
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Text bytes that are worked on at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
+
+if sys.platform == "linux":
+    # workers live on between tasks: large arrays go back to the system when they are freed, Arrow's too
+    _libc = ctypes.CDLL(None)
+    if hasattr(_libc, "mallopt"):
+        _libc.mallopt(-3, 1 << 19)
+        _libc.mallopt(-1, 1 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
