@@ -53,7 +53,7 @@ def test_block_window_is_what_evicting_blocks_leaves(spark):
             if not trees or trees[-1][1] == block:
                 trees.append([i, 0])
             trees[-1][1] += 1
-            if trees[-1][1] + (len(trees) - 1) * block > window:
+            if trees[-1][1] - 1 + (len(trees) - 1) * block > window:
                 trees.pop(0)
         return trees[0][0] if trees else 0
 
