@@ -4,14 +4,16 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rillscan.llm import bpe, flac, jaccard, mixing, pii, pseudo, quality, suffixes, token_counts, urls
+from rillscan.llm import bpe, flac, jaccard, mixing, pii, pseudo, quality, queries, suffixes, token_counts, urls
 
+DATA = "/root/testdata/sf0.001"
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id long, text string, Key string, counts string, place string"
 ODD = [(900, None), (901, ""), (902, " \n\t"), (903, "one two"), (904, "same text here and there"), (904, "same text here and there"), (905, "wörter ä é 漢字 😀"), (None, "no id at all"), (906, "x" * 30000), (907, "a b " * 3000)]
@@ -220,3 +222,11 @@ def test_pipeline_stages(spark, tmp_path):
             parts = {r.doc_id: r.component_id for r in jaccard.components_of(before, 5, 80).collect()}
             assert {r.doc_id for r in docs.collect()} == {d for d, c in parts.items() if d == c}
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and docs.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_duckdb(spark, name):
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    wanted = duck.sql(queries.ORACLE_SQL[name])
+    assert sorted(tuple(r) for r in queries.QUERIES[name](spark, DATA).select(*wanted.columns).collect()) == sorted(wanted.fetchall())
