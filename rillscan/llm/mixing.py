@@ -6,7 +6,9 @@ probability of each domain, so membership is soft. Each document gets a rate, ho
 it is used on average. Rates lie between bounds and make the expected tokens of the
 domains as near to the targets as can be: projected gradient steps on the least
 squares ``(A r - b)' W (A r - b)``, A holding tokens times probability, W the inverse of
-the domains' token Gram matrix, under which a full step never overshoots. A step is
+the domains' token Gram matrix with a ridge, under which a full step never overshoots.
+The ridge bounds the pull of a domain that has next to no tokens: where the bounds on
+rates leave its target out of reach, the others don't move away from theirs. A step is
 one aggregate of as many sums as there are domains, and a document's rate follows from
 its probabilities and the steps, so rates are never stored or collected.
 
@@ -35,6 +37,8 @@ SAMPLE = 4000
 LEXICON = 24
 FEATURES = ["size", "symbols", "uppers", "exclaims", "gaps", "breaks", "telling"]
 ROUNDS = 15
+#: Ridge of the metric, as a share of the Gram matrix's largest eigenvalue.
+RIDGE = 0.01
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -120,7 +124,8 @@ def solve(table: DataFrame, names: list[str], weights: list[float], budget: floa
     start, moves, best = min(max(budget, low), high), [], (np.inf, 0)
     if not tokens:
         return start, moves
-    step = np.linalg.inv(np.array([[gram[f"g{i}{j}"] for j in range(k)] for i in range(k)]) / tokens + 1e-9 * np.eye(k))
+    shares = np.array([[gram[f"g{i}{j}"] for j in range(k)] for i in range(k)]) / tokens
+    step = np.linalg.inv(shares + RIDGE * np.linalg.eigvalsh(shares).max() * np.eye(k))
     want = np.array(weights) / sum(weights) * budget
     for _ in range(ROUNDS):
         sums = table.agg(*[F.sum(rate_of(names, start, moves, low, high) * t * p[i]).alias(f"s{i}") for i in range(k)]).first()

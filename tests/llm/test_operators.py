@@ -188,6 +188,21 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.rates(frame(spark, []), labels, [1, 1, 1], 0.5).count() == 0
 
 
+def test_mixing_bears_a_target_out_of_reach(spark):
+    # hardly a token of the second domain, and rates of at least 1 hold the third above its target
+    low, toxic = np.array([0.0005 * (1 + i % 12) for i in range(100)]), np.array([0.03] * 90 + [0.748] * 10)
+    chance, names = np.stack([1 - low - toxic, low, toxic], 1), ["n_tokens", "p_good", "p_low", "p_toxic"]
+    members = spark.createDataFrame([(100, *map(float, p)) for p in chance], "n_tokens long, p_good double, p_low double, p_toxic double")
+    start, moves = mixing.solve(members, names, [0.92, 0.05, 0.03], 1.1, 1.0, 2.0)
+    found = members.withColumn("rate", mixing.rate_of(names, start, moves, 1.0, 2.0)).collect()
+    rates = np.full(100, 1.1)
+    for _ in range(20000):  # the plain least squares, by small steps
+        rates = np.clip(rates - chance @ (chance.T @ rates / 100 - 1.1 * np.array([0.92, 0.05, 0.03])), 1, 2)
+    for k, name in enumerate(names[1:]):
+        assert abs(sum(r.rate * r[name] for r in found) - rates @ chance[:, k]) < 100 * 0.05
+    assert all(r.rate == 1 for r in found if r.p_toxic > 0.5)
+
+
 @pytest.mark.parametrize("most", [4000, 1])
 def test_repeats_equal_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(suffixes, "MOST_RUNS", most)
