@@ -36,7 +36,7 @@ SAMPLE = 4000
 #: Words that speak for a domain.
 LEXICON = 24
 FEATURES = ["size", "symbols", "uppers", "exclaims", "gaps", "breaks", "telling"]
-ROUNDS = 15
+ROUNDS = 30
 #: Ridge of the metric, as a share of the Gram matrix's largest eigenvalue.
 RIDGE = 0.01
 
@@ -131,7 +131,7 @@ def solve(table: DataFrame, names: list[str], weights: list[float], budget: floa
         sums = table.agg(*[F.sum(rate_of(names, start, moves, low, high) * t * p[i]).alias(f"s{i}") for i in range(k)]).first()
         miss = np.array([sums[f"s{i}"] for i in range(k)]) / tokens - want
         size = float(np.sqrt(miss @ step @ miss))
-        if best[0] - size < 1e-4:
+        if best[0] - size < 1e-6:
             break
         best = (size, len(moves))
         if size < 1e-5:

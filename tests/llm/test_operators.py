@@ -203,6 +203,13 @@ def test_mixing_bears_a_target_out_of_reach(spark):
     assert all(r.rate == 1 for r in found if r.p_toxic > 0.5)
 
 
+def test_pipeline_mixes_a_rare_domain_up_to_three_times(spark, tmp_path):
+    good, low = [(i, f"plain words of a good text {i} here. " * 8) for i in range(15)], [(1000 + i, "### | *** " * 30) for i in range(285)]
+    spark.createDataFrame([(d, int(d < 1000), 0) for d, _ in good + low], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = Counter(r.doc_id for r in corpus_pipeline.mix(spark, frame(spark, good + low), str(tmp_path)).collect())
+    assert {found[d] for d, _ in good} == {3} and all(1 <= found[d] <= 3 for d, _ in low)
+
+
 @pytest.mark.parametrize("most", [4000, 1])
 def test_repeats_equal_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(suffixes, "MOST_RUNS", most)
