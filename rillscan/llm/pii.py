@@ -35,7 +35,7 @@ BASE = {
 }
 #: Generators of candidates: kind, pattern.
 GENERATORS = {
-    "secret": r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9+/_-]{6,200}[\x22']?|\b[A-Z]{4}[0-9A-Z]{16}\b|\b(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{20,200}",
+    "secret": r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9+/_-]{6,}+[\x22']?|\b[A-Z]{4}[0-9A-Z]{16}\b|(?:\G|(?<![A-Za-z0-9+/_-]))(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+",
     "number": r"(?<![0-9A-Za-z.+-])\(?[0-9][0-9 ().-]{7,40}[0-9](?![0-9A-Za-z])",
     "handle": r"(?i)\b[a-z0-9._%+-]{2,64} ?[\[(]at[\])] ?[a-z0-9-]{2,64}(?: ?(?:\.|[\[(]dot[\])]) ?[a-z0-9-]{2,24}){1,4}",
 }

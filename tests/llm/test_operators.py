@@ -143,6 +143,15 @@ def test_base_spans_equal_plain_patterns(spark):
     assert pii.redact(frame(spark, [(1, text), (2, "a clean text of words")]), ["_a", "_b"]).orderBy("doc_id").first().text == "write [email] or [secret] now"
 
 
+def test_long_secrets_are_one_span_to_their_end(spark):
+    random.seed(6)
+    hexa, alnum = lambda n: "".join(random.choice("0123456789abcdef") for _ in range(n)), lambda n: "".join(random.choice("abcdefXYZ0123456789") for _ in range(n))
+    texts = [f"x token = {hexa(512)} end", f"see {alnum(900)} end", f"{'a' * 250}{hexa(300)} end", f"AKIA{'ABCDEFGH12345678'}-{alnum(300)} end"]
+    found = {r.doc_id: r.c for r in frame(spark, list(enumerate(texts))).select("doc_id", pii.candidates(F.col("text")).alias("c")).collect()}
+    assert [[(c.start, c.end) for c in found[k] if c.kind == "secret"] for k in range(4)] == [[(2, 522)], [(4, 904)], [(0, 550)], [(0, 20), (20, 321)]]
+    assert [r.text for r in pii.redact(frame(spark, [(0, texts[0])]), ["_a", "_b"]).collect()] == ["x [secret] end"]
+
+
 def test_bpe_equals_tiktoken_and_counts_equal_tokenizers(spark):
     import tiktoken
     from tokenizers import Tokenizer
