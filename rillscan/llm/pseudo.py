@@ -2,9 +2,14 @@
 
 A small network sees the two words before and the two words after a place, not the
 word itself, and predicts that word's class; a class is one of the corpus' most common
-words or a bucket of the others. Inside a bucket a word has the probability of its
-bytes, by their frequencies in the corpus. The score of a text is the sum of its words'
-conditional log-probabilities.
+words or a bucket of the others. Inside a bucket every word that the corpus holds more
+than once has the probability of its own count; words that occur once share theirs by
+their bytes' frequencies. The score of a text is the sum of its words' conditional
+log-probabilities.
+
+The table of words grows with the corpus. Tasks look up its ``KNOWN`` most common rows;
+for all other words scoring writes a row for each text and word, and a join gives it
+its log-probability.
 
 Words and bytes are counted over all documents. The network is trained in numpy where
 the texts are: every task makes gradient steps on every ``STRIDE``-th window of all its
@@ -22,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +46,12 @@ ROUNDS = 2
 BATCH = 1024
 #: Distinct words counted in a task before they are written out.
 COUNTED_AT_ONCE = 300_000
+#: Words that tasks look up by themselves; all others are joined.
+KNOWN = 1 << 15
+
+
+def _keys(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(1)).astype(np.int64)
 
 
 def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,7 +76,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         for part in chunks(batches):
             data, starts, ends, _, hashes = _tokens(part)
-            held.append(np.unique(hashes >> np.uint64(1), return_counts=True))
+            held.append(np.unique(_keys(hashes), return_counts=True))
             inside = np.zeros(len(data) + 1, np.int8)
             np.add.at(inside, starts, 1)
             np.add.at(inside, ends, -1)
@@ -82,26 +94,35 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Corpus:
-    """Classes of words and log-probabilities of bytes."""
+    """Classes of words, log-probabilities of bytes, and those of the most common words in their buckets."""
 
-    def __init__(self, common: np.ndarray, octets: np.ndarray):
+    def __init__(self, common: np.ndarray, octets: np.ndarray, known: np.ndarray, inside: np.ndarray):
         self.order = np.argsort(common)
         self.common = common[self.order]
         p = (octets + 1.0) / (octets.sum() + 256.0)
         self.octet = np.log(p)
+        order = np.argsort(known)
+        self.known, self.logs = known[order], inside[order]
 
-    def classes(self, hashes: np.ndarray) -> np.ndarray:
-        bucket = COMMON + (hashes % np.uint64(BUCKETS)).astype(np.int64)
+    def classes(self, key: np.ndarray) -> np.ndarray:
+        bucket = COMMON + key % BUCKETS
         if not len(self.common):
             return bucket
-        key = (hashes >> np.uint64(1)).astype(np.int64)
         at = np.minimum(np.searchsorted(self.common, key), len(self.common) - 1)
         return np.where(self.common[at] == key, self.order[at], bucket)
 
-    def inside(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Log-probability of each word within its class."""
+    def inside(self, key: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of each word within its class, 0 where it has to be joined, and where that is."""
+        if not len(self.known):
+            return np.zeros(len(key)), kind >= COMMON
+        at = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
+        found = self.known[at] == key
+        return np.where(found, self.logs[at], 0.0), (kind >= COMMON) & ~found
+
+    def spelled(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Log-probability of each word by its bytes, among the words of a bucket."""
         sums = np.concatenate([[0.0], np.cumsum(self.octet[data])])
-        return np.where(kind < COMMON, 0.0, sums[ends] - sums[starts] + np.log(BUCKETS))
+        return sums[ends] - sums[starts] + np.log(BUCKETS)
 
 
 def first_parameters() -> np.ndarray:
@@ -172,7 +193,7 @@ def train(docs: DataFrame, corpus: Corpus) -> np.ndarray:
             network, seen, held = Network(start), 0, []
             for part in chunks(batches):
                 _, _, _, where, hashes = _tokens(part)
-                kind = corpus.classes(hashes)
+                kind = corpus.classes(_keys(hashes))
                 at = np.arange(turn % STRIDE, len(kind), STRIDE)
                 held.append((contexts(kind, where)[:, at], kind[at]))
                 if sum(len(k) for _, k in held) >= BATCH:
@@ -201,25 +222,52 @@ def score(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = docs.select("text")
     counts = cut(count_words(texts))
-    top = counts.where("word >= 0").orderBy(F.desc("times"), "word").limit(COMMON).collect()
+    rare = counts.where("word >= 0")
+    top = rare.orderBy(F.desc("times"), "word").limit(KNOWN).collect()
     octets = np.zeros(256)
     for r in counts.where("word < 0").collect():
         octets[-1 - r["word"]] = r["times"]
-    corpus = Corpus(np.array([r["word"] for r in top], np.int64), octets)
+    common, known = top[:COMMON], [r for r in top[COMMON:] if r["times"] > 1]
+    # words in each bucket, and those of them that occur once
+    size, once = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for r in rare.groupBy(F.expr(f"word % {BUCKETS}").alias("bucket")).agg(F.sum("times").alias("n"), F.sum((F.col("times") == 1).cast("long")).alias("once")).collect():
+        size[r["bucket"]], once[r["bucket"]] = r["n"], r["once"]
+    for r in common:
+        size[r["word"] % BUCKETS] -= r["times"]
+        once[r["word"] % BUCKETS] -= r["times"] == 1
+    size, once = np.log(np.maximum(size, 1)), np.log(np.maximum(once, 1))
+    keys, times = np.array([r["word"] for r in known], np.int64), np.array([r["times"] for r in known], float)
+    corpus = Corpus(np.array([r["word"] for r in common], np.int64), octets, keys, np.log(times) - size[keys % BUCKETS])
     parameters = train(texts, corpus)
+    names = ["row", "word", "times", "value", "doc_id", "n_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = Network(parameters)
+        network, row = Network(parameters), TaskContext.get().partitionId() << 40
         for part in chunks(batches):
             data, starts, ends, where, hashes = _tokens(part)
-            kind = corpus.classes(hashes)
-            logs = corpus.inside(data, starts, ends, kind)
+            key = _keys(hashes)
+            kind = corpus.classes(key)
+            logs, joined = corpus.inside(key, kind)
             context = contexts(kind, where)
             for a in range(0, len(kind), 16384):
                 logs[a : a + 16384] += network.log_probabilities(context[:, a : a + 16384], kind[a : a + 16384])
-            n = np.bincount(where, minlength=part.num_rows)
-            total = np.bincount(where, logs, minlength=part.num_rows)
-            mean = [round(t / k, 6) if k else None for t, k in zip(total.tolist(), n.tolist())]
-            yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.round(total, 4)), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
-
-    return docs.mapInArrow(run, "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double")
+            own, n = row + np.arange(part.num_rows), np.bincount(where, minlength=part.num_rows)
+            # a text's own row has a word below 0 to itself, so that the join spreads these rows
+            yield pa.record_batch([pa.array(own), pa.array(-1 - own), pa.array(np.zeros(len(own), np.int64)), pa.array(np.bincount(where, logs, minlength=part.num_rows)), part.column("doc_id"), pa.array(n, pa.int64())], names)
+            at = np.flatnonzero(joined)
+            if len(at):
+                at = at[np.lexsort((key[at], where[at]))]
+                first = np.flatnonzero(np.concatenate([[True], (key[at[1:]] != key[at[:-1]]) | (where[at[1:]] != where[at[:-1]])]))
+                often = np.diff(np.append(first, len(at)))
+                at = at[first]
+                value = np.where(often == 1, corpus.spelled(data, starts, ends)[at].astype(np.float32), 0).astype(np.float64)
+                none = pa.nulls(len(at), pa.int64())
+                yield pa.record_batch([pa.array(row + where[at]), pa.array(key[at]), pa.array(often), pa.array(value), none, none], names)
+            row += part.num_rows
+
+    found = docs.mapInArrow(run, "row long, word long, times long, value double, doc_id long, n_words long")
+    of = lambda logs: F.element_at(F.array(*[F.lit(float(v)) for v in logs]), F.expr(f"int(pmod(word, {BUCKETS})) + 1"))
+    priced = rare.select("word", (F.col("times") == 1).alias("once"), (F.when(F.col("times") == 1, of(once)).otherwise(F.log("times")) - of(size)).alias("inside"))
+    share = F.when(F.col("word") < 0, F.col("value")).otherwise(F.col("times") * F.col("inside") + F.when(F.col("once"), F.col("value")).otherwise(0.0))
+    summed = found.join(priced, "word", "left").select("row", "doc_id", "n_words", share.alias("share")).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("share").alias("total"))
+    return summed.select("doc_id", "n_words", F.round("total", 4).alias("log_likelihood"), F.when(F.col("n_words") > 0, F.round(F.col("total") / F.col("n_words"), 6)).alias("mean_log_likelihood"))

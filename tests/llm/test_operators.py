@@ -99,6 +99,20 @@ def test_pseudo_likelihood_prefers_the_corpus(spark):
     assert len(pseudo.score(frame(spark, [])).collect()) == 0
 
 
+def test_pseudo_likelihood_knows_every_word_by_its_own_count(spark, monkeypatch):
+    random.seed(8)
+    names = [f"{i:04d}" for i in random.sample(range(10000), 600)]
+    # of equal bytes and in equal contexts, half of the words stand in many texts and half in two
+    rows = [(k * 1000 + i, f"aa bb {w} cc dd") for i, w in enumerate(names) for k in range(40 if i % 2 else 2)]
+    found = []
+    for known in (1 << 15, 200, 96):
+        monkeypatch.setattr(pseudo, "KNOWN", known)
+        found.append({r.doc_id: r.log_likelihood for r in pseudo.score(frame(spark, rows + ODD)).collect()})
+    often, seldom = (np.mean([found[0][i] for i in range(half, 600, 2)]) for half in (1, 0))
+    assert often > seldom + 1.5
+    assert all(found[0][i] == pytest.approx(f[i], abs=1e-3) for f in found[1:] for i in range(600))
+
+
 @pytest.mark.parametrize("coefficients", [False, True])
 def test_flac_round_trip_and_blocks(spark, coefficients):
     rng = np.random.default_rng(0)
