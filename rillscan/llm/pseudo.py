@@ -12,8 +12,8 @@ for all other words scoring writes a row for each text and word, and a join give
 its log-probability.
 
 Words and bytes are counted over all documents. The network is trained in numpy where
-the texts are: every task makes gradient steps on every ``STRIDE``-th window of all its
-texts, and the parameters of the tasks are averaged by weight after each round.
+the texts are: every task makes gradient steps on the windows of all its texts, each window in one
+round of ``ROUNDS``, and the parameters of the tasks are averaged by weight after each.
 Parameters are a few thousand numbers; the averages are summed as a table, so that the
 driver receives one row for each block of parameters however many tasks there are.
 
@@ -40,8 +40,7 @@ CLASSES = COMMON + BUCKETS
 OUTSIDE = CLASSES
 SIDES = (-2, -1, 1, 2)
 HIDDEN = 16
-#: Of a text's windows one in so many is trained on, from a place that the text's length decides.
-STRIDE = 8
+#: Rounds of training; a window's place in its text decides the round that it is trained on in.
 ROUNDS = 2
 BATCH = 1024
 #: Distinct words counted in a task before they are written out.
@@ -183,6 +182,11 @@ def contexts(kind: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
+def windows(docs: np.ndarray, turn: int) -> np.ndarray:
+    """Places whose windows a round trains on."""
+    return np.flatnonzero((np.arange(len(docs)) - np.searchsorted(docs, docs)) % ROUNDS == turn)
+
+
 def train(docs: DataFrame, corpus: Corpus) -> np.ndarray:
     """Parameters after ROUNDS rounds of local steps and averaging."""
     parameters = first_parameters()
@@ -194,7 +198,7 @@ def train(docs: DataFrame, corpus: Corpus) -> np.ndarray:
             for part in chunks(batches):
                 _, _, _, where, hashes = _tokens(part)
                 kind = corpus.classes(_keys(hashes))
-                at = np.arange(turn % STRIDE, len(kind), STRIDE)
+                at = windows(where, turn)
                 held.append((contexts(kind, where)[:, at], kind[at]))
                 if sum(len(k) for _, k in held) >= BATCH:
                     context, target = np.concatenate([c for c, _ in held], axis=1), np.concatenate([k for _, k in held])

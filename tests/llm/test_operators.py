@@ -99,6 +99,13 @@ def test_pseudo_likelihood_prefers_the_corpus(spark):
     assert len(pseudo.score(frame(spark, [])).collect()) == 0
 
 
+def test_pseudo_likelihood_trains_on_every_place(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f g h") for i in range(8000)], "doc_id long, text string").coalesce(1)
+    assert pseudo.score(docs).first().mean_log_likelihood > -3
+    where = np.repeat(np.arange(5), [1, 7, 2, 0, 5])
+    assert sorted(np.concatenate([pseudo.windows(where, k) for k in range(pseudo.ROUNDS)])) == list(range(len(where)))
+
+
 def test_pseudo_likelihood_knows_every_word_by_its_own_count(spark, monkeypatch):
     random.seed(8)
     names = [f"{i:04d}" for i in random.sample(range(10000), 600)]
