@@ -173,6 +173,26 @@ def test_long_secrets_are_one_span_to_their_end(spark):
     assert [r.text for r in pii.redact(frame(spark, [(0, texts[0])]), ["_a", "_b"]).collect()] == ["x [secret] end"]
 
 
+def test_spans_that_only_overlap_others_are_redacted_whole(spark):
+    texts = {
+        'password="' + "aB3x" * 80 + '" end': "[secret] end",
+        'secret = "Zx9+14995556503Qw8Er7Ty6Ui5Op4" x': "[secret] x",
+        "SSN 123-45-6789 x": "SSN [number] x",
+        "call 1.2.3.4 555 123 4567 now": "call [ip] now",
+        "version 12.345.678 12 of 2019-10-12": "version 12.345.678 12 of 2019-10-12",
+    }
+    found = {r.doc_id: r.text for r in pii.redact(frame(spark, list(enumerate(texts))), ["_a", "_b"]).collect()}
+    assert [found[k] for k in range(len(texts))] == list(texts.values())
+
+
+def test_places_of_very_many_spans(spark):
+    text = " é1.2.3.4" * 3000
+    spans = pii.find(frame(spark, [(1, text), (2, None), (3, "")])).orderBy("doc_id").collect()
+    assert spans[0].spans == ",".join(f"ip:{9 * k + 2}:{9 * k + 9}" for k in range(3000)) and (spans[0].n_ip, spans[0].n_spans) == (3000, 3000)
+    assert [(r.spans, r.n_spans) for r in spans[1:]] == [("", 0)] * 2
+    assert pii.find(frame(spark, [])).count() == 0
+
+
 def test_bpe_equals_tiktoken_and_counts_equal_tokenizers(spark):
     import tiktoken
     from tokenizers import Tokenizer
