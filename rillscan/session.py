@@ -70,7 +70,7 @@ def keep(df: DataFrame) -> DataFrame:
     """Compute once and keep as Parquet in the shared folder, so that later reads take single columns; removed when the session ends."""
     spark = df.sparkSession
     where = f"{shared_dir(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(where)
+    df.write.option("compression", "zstd").parquet(where)
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(where)
