@@ -146,7 +146,7 @@ def _deal(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 slot = slot + 1 & 0xFFFF
             taken.add(slot)
             slots[k] = slot
-        yield _rows(np.full(len(hi), chunk % (1 << bits)), np.full(len(hi), chunk), slots[nth], sets)
+        yield _rows((chunk + np.arange(len(hi))) % (1 << bits), np.full(len(hi), chunk), slots[nth], sets)
         sizes = np.diff(offsets)
         mine = np.zeros(len(hi), bool)
         mine[firsts] = True
