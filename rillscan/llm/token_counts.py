@@ -1,15 +1,18 @@
 """Token counts without token ids.
 
-Every text falls into pre-tokens; a text is the table of its distinct pre-tokens
-and how often each occurs. The tokenizer sees each distinct pre-token once for each
-worker, giving the table (pre-token, pieces); joining both tables on the pre-token
-and summing frequency times pieces counts the text. No ids are made for texts.
+Every text falls into pre-tokens; a text is the table of its distinct pre-tokens and how
+often each occurs. Pieces are counted once for each distinct pre-token of the whole table,
+giving (pre-token, pieces); joining both on the pre-token and summing frequency times
+pieces counts the text. No ids are made for texts.
 
-The join runs inside the task that holds the texts. As a shuffle it would move about
-as many rows as there are distinct words in every text, several times the input.
+The frequencies are kept for some documents at a time, pre-tokens as numbers of a list of
+the distinct ones among them. Only these lists are shuffled to meet the pieces, and the
+pieces come back as one list for each, so the shuffle holds a word once for up to
+``DOCUMENTS_AT_ONCE`` documents however often they use it.
 
 Special strings inside a text are one token each, as the library has it by default.
-Null counts as empty: no bytes, no tokens. Repeated rows give repeated rows.
+Null counts as empty: no bytes, no tokens. A null doc_id stays null. Repeated rows give
+repeated rows, an empty table none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,14 +22,19 @@ import os
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pre-tokens a worker remembers; beyond it the table starts anew.
-REMEMBERED = 400_000
+from ..session import keep, reach
+
+#: Documents, and distinct pre-tokens in documents, that are packed into a row together.
+DOCUMENTS_AT_ONCE, COUNTED_AT_ONCE = 20_000, 1 << 20
+#: Tasks that share a common pre-token.
+SALT = 8
 
 
 def read_vocabulary(path: str) -> str:
@@ -40,18 +48,13 @@ def read_vocabulary(path: str) -> str:
     return text
 
 
-class PieceTable:
-    """Pieces of each distinct pre-token, filled in as pre-tokens turn up."""
+class Splitter:
+    """Pre-tokens of a text, and the special strings between them."""
 
     def __init__(self, vocabulary: str, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(vocabulary)
         special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.split = regex.compile(pattern).findall
-        self.pieces: dict[str, int] = {}
 
     def frequencies(self, text: str) -> tuple[Counter, int]:
         """Pre-tokens of a text with their frequencies, and how many special strings stand between them."""
@@ -63,28 +66,95 @@ class PieceTable:
             counts.update(self.split(part))
         return counts, len(parts) - 1
 
-    def count(self, texts: list[str]) -> list[int]:
-        tables = [self.frequencies(text) for text in texts]
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        pieces = self.pieces
-        if new := [t for t in dict.fromkeys(t for table, _ in tables for t in table) if t not in pieces]:
-            for token, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                pieces[token] = len(coded)
-        return [specials + sum(n * pieces[t] for t, n in table.items()) for table, specials in tables]
 
+def _frequencies(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """A row for some documents at once: their frequencies as numbers of the row's own list of distinct pre-tokens."""
 
-def token_counts(docs: DataFrame, vocabulary_path: str, pattern: str, limit: int) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every whole text."""
-    vocabulary = read_vocabulary(vocabulary_path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = Splitter(vocabulary, pattern)
+        codes: dict[str, int] = {}
+        rows: list[list] = [[] for _ in range(4)]
+        which, times = [], []
+        number = 0
+
+        def packed() -> pa.RecordBatch:
+            part = pa.array([TaskContext.get().partitionId() << 32 | number], pa.int64())
+            lists = [pa.array([x], pa.list_(t)) for x, t in zip((*rows, list(codes)), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))]
+            # sorted within each document, so that differences are small
+            code, often, owner = np.array(which, np.int64), np.array(times, np.int64), np.repeat(np.arange(len(rows[3])), rows[3])
+            order = np.lexsort((code, owner))
+            code, often = code[order], often[order]
+            steps = np.diff(code, prepend=0)
+            firsts = (np.cumsum(rows[3]) - rows[3])[np.array(rows[3]) > 0]
+            steps[firsts] = code[firsts]
+            blobs = [pa.array([x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary()) for x in (steps, often)]
+            return pa.record_batch([part, *lists, *blobs], ["part", "doc_ids", "n_bytes", "specials", "distinct", "words", "which", "times"])
+
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                text = text.as_py() or ""
+                counts, specials = splitter.frequencies(text)
+                if rows[0] and (len(rows[0]) >= DOCUMENTS_AT_ONCE or len(which) + len(counts) > COUNTED_AT_ONCE):
+                    yield packed()
+                    codes, rows, which, times, number = {}, [[] for _ in range(4)], [], [], number + 1
+                for column, value in zip(rows, (doc, len(text.encode()), specials, len(counts))):
+                    column.append(value)
+                for word, n in counts.items():
+                    which.append(codes.setdefault(word, len(codes)))
+                    times.append(n)
+        if rows[0]:
+            yield packed()
+
+    return docs.mapInArrow(run, "part long, doc_ids array<long>, n_bytes array<long>, specials array<int>, distinct array<int>, words array<string>, which binary, times binary")
+
+
+def _pieces(words: DataFrame, vocabulary: str) -> DataFrame:
+    """(word, pieces) for each row of words(word): what the tokenizer makes of a pre-token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PieceTable(vocabulary, pattern)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_str(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column("text").fill_null("")
-                counts = pa.array(table.count(texts.to_pylist()), pa.int64())
-                yield pa.record_batch([part.column("doc_id"), pc.binary_length(texts).cast(pa.int64()), counts, pc.greater(counts, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            coded = tokenizer.encode_batch_fast(batch.column("word").to_pylist(), add_special_tokens=False)
+            yield pa.record_batch([batch.column("word"), pa.array([len(c) for c in coded], pa.int32())], ["word", "pieces"])
+
+    return words.mapInArrow(run, "word string, pieces int")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+def _sums(rows: DataFrame, limit: int) -> DataFrame:
+    """Sums of frequency times pieces for each document of rows that know their words' pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, sizes, specials, distinct, known = (batch.column(c)[k].values for c in ("doc_ids", "n_bytes", "specials", "distinct", "known"))
+                pieces = np.zeros(len(known), np.int64)
+                if len(known):
+                    pieces[known.field("code").to_numpy()] = known.field("pieces").to_numpy()
+                steps, times = (np.ascontiguousarray(np.frombuffer(batch.column(c)[k].as_py(), np.uint8).reshape(4, -1).T).view(np.uint32).ravel() for c in ("which", "times"))
+                number = distinct.to_numpy()
+                ends, summed = np.cumsum(number), np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+                which = summed[1:] - np.repeat(summed[ends - number], number)
+                total = np.concatenate([[0], np.cumsum(pieces[which] * times)])
+                counts = total[ends] - total[ends - number] + specials.to_numpy()
+                yield pa.record_batch([ids, sizes, pa.array(counts, pa.int64()), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+
+
+def token_counts(docs: DataFrame, vocabulary_path: str, pattern: str, limit: int) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit) of every whole text."""
+    reach(docs.sparkSession)
+    vocabulary = read_vocabulary(vocabulary_path)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = keep(_frequencies(docs, vocabulary, pattern))
+    words = rows.select("part", F.posexplode("words").alias("code", "word"))
+    pieces = _pieces(words.select("word").distinct(), vocabulary)
+    # a common word stands in nearly every row of documents, so each word has SALT places to meet at
+    salted = pieces.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    known = words.withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(SALT))).join(salted, ["word", "salt"]).groupBy("part").agg(F.collect_list(F.struct("code", "pieces")).alias("known"))
+    full = rows.where(F.size("words") > 0).drop("words").join(known, "part")
+    empty = rows.where(F.size("words") == 0).drop("words").withColumn("known", F.array().cast(known.schema["known"].dataType))
+    return _sums(full.unionByName(empty), limit)
