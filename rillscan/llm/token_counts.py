@@ -19,11 +19,13 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,9 +34,7 @@ from pyspark.sql import functions as F
 from ..session import keep, reach
 
 #: Documents, and distinct pre-tokens in documents, that are packed into a row together.
-DOCUMENTS_AT_ONCE, COUNTED_AT_ONCE = 20_000, 1 << 20
-#: Tasks that share a common pre-token.
-SALT = 8
+DOCUMENTS_AT_ONCE, COUNTED_AT_ONCE = 50_000, 1 << 22
 
 
 def read_vocabulary(path: str) -> str:
@@ -74,7 +74,7 @@ def _frequencies(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         splitter = Splitter(vocabulary, pattern)
         codes: dict[str, int] = {}
         rows: list[list] = [[] for _ in range(4)]
-        which, times = [], []
+        which, times = array("I"), array("I")
         number = 0
 
         def packed() -> pa.RecordBatch:
@@ -96,7 +96,7 @@ def _frequencies(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 counts, specials = splitter.frequencies(text)
                 if rows[0] and (len(rows[0]) >= DOCUMENTS_AT_ONCE or len(which) + len(counts) > COUNTED_AT_ONCE):
                     yield packed()
-                    codes, rows, which, times, number = {}, [[] for _ in range(4)], [], [], number + 1
+                    codes, rows, which, times, number = {}, [[] for _ in range(4)], array("I"), array("I"), number + 1
                 for column, value in zip(rows, (doc, len(text.encode()), specials, len(counts))):
                     column.append(value)
                 for word, n in counts.items():
@@ -109,18 +109,24 @@ def _frequencies(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
 
 def _pieces(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(word, pieces) for each row of words(word): what the tokenizer makes of a pre-token."""
+    """(part, code, pieces) for words(part, code, word): each distinct pre-token goes to one task, which tokenizes it once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(vocabulary)
+        last, before = None, 0
         for batch in batches:
-            coded = tokenizer.encode_batch_fast(batch.column("word").to_pylist(), add_special_tokens=False)
-            yield pa.record_batch([batch.column("word"), pa.array([len(c) for c in coded], pa.int32())], ["word", "pieces"])
+            runs = pc.run_end_encode(batch.column("word"))
+            distinct, ends = runs.values.to_pylist(), np.asarray(runs.run_ends)
+            known = 1 if distinct and distinct[0] == last else 0
+            pieces = [before] * known + [len(c) for c in tokenizer.encode_batch_fast(distinct[known:], add_special_tokens=False)]
+            if distinct:
+                last, before = distinct[-1], pieces[-1]
+            yield pa.record_batch([batch.column("part"), batch.column("code"), pa.array(np.repeat(np.array(pieces, np.int32), np.diff(ends, prepend=0)), pa.int32())], ["part", "code", "pieces"])
 
-    return words.mapInArrow(run, "word string, pieces int")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "part long, code int, pieces int")
 
 
 def _sums(rows: DataFrame, limit: int) -> DataFrame:
@@ -150,11 +156,9 @@ def token_counts(docs: DataFrame, vocabulary_path: str, pattern: str, limit: int
     vocabulary = read_vocabulary(vocabulary_path)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = keep(_frequencies(docs, vocabulary, pattern))
+    # a word stands once in a row of documents at most, so no word has a large share of these rows
     words = rows.select("part", F.posexplode("words").alias("code", "word"))
-    pieces = _pieces(words.select("word").distinct(), vocabulary)
-    # a common word stands in nearly every row of documents, so each word has SALT places to meet at
-    salted = pieces.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    known = words.withColumn("salt", F.pmod(F.xxhash64("part"), F.lit(SALT))).join(salted, ["word", "salt"]).groupBy("part").agg(F.collect_list(F.struct("code", "pieces")).alias("known"))
+    known = _pieces(words, vocabulary).groupBy("part").agg(F.collect_list(F.struct("code", "pieces")).alias("known"))
     full = rows.where(F.size("words") > 0).drop("words").join(known, "part")
     empty = rows.where(F.size("words") == 0).drop("words").withColumn("known", F.array().cast(known.schema["known"].dataType))
     return _sums(full.unionByName(empty), limit)
