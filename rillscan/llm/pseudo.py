@@ -1,24 +1,27 @@
 """Language-model scores by masked pseudo-likelihood.
 
-A small network sees the two words before and the two words after a place, not the
-word itself, and predicts that word's class; a class is one of the corpus' most common
-words or a bucket of the others. Inside a bucket every word that the corpus holds more
-than once has the probability of its own count; words that occur once share theirs by
-their bytes' frequencies. The score of a text is the sum of its words' conditional
-log-probabilities.
+A small network sees the two words before and the two words after a place, not the word
+itself, and predicts the word in two steps: one of GROUPS groups, then one of the group's
+WORDS most common words or, as one more outcome, the group's other words. The most common
+words of the corpus are dealt to the groups by rank, the others by hash. Among a group's
+other words each one that the corpus holds more than once has the probability of its own
+count; words that occur once share theirs by their bytes' frequencies. The score of a text
+is the sum of its words' conditional log-probabilities.
 
 The table of words grows with the corpus. Tasks look up its ``KNOWN`` most common rows;
 for all other words scoring writes a row for each text and word, and a join gives it
 its log-probability.
 
-Words and bytes are counted over all documents. The network is trained in numpy where
-the texts are: every task makes gradient steps on the windows of all its texts, each window in one
-round of ``ROUNDS``, and the parameters of the tasks are averaged by weight after each.
-Parameters are a few thousand numbers; the averages are summed as a table, so that the
-driver receives one row for each block of parameters however many tasks there are.
+Words and bytes are counted over all documents. The network starts from these counts and is
+trained in numpy: texts become sequences of word numbers, dealt by their hashes to shards of
+about SHARD words; each shard makes gradient steps on the windows of all its texts, each
+window in one round of ``ROUNDS``, and the shards' parameters are averaged by weight after
+each. Shards and the order in them follow from the texts, and averages are sums of whole
+numbers, so that the model does not depend on how the table is split into partitions.
 
-Null and empty texts have no words and a score of 0; their mean is null. Repeated rows
-are scored each. Other columns are not read.
+Null and empty texts have no words and a score of 0; their mean is null. Repeated rows are
+scored each. A null doc_id stays null. An empty table gives no rows. Other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -32,21 +35,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import chunks, flat, span_hashes, words
-from ..session import cut
-
-COMMON, BUCKETS = 96, 32
-CLASSES = COMMON + BUCKETS
-#: Class of a place outside the text.
-OUTSIDE = CLASSES
+from ..session import cut, keep, reach
+
+#: Groups of words, and outcomes in a group: its other words, then its common ones.
+GROUPS, WORDS = 64, 63
+OUTCOMES = WORDS + 1
+COMMON = GROUPS * WORDS
+#: Number of a place outside the text.
+OUTSIDE = GROUPS * OUTCOMES
 SIDES = (-2, -1, 1, 2)
 HIDDEN = 16
 #: Rounds of training; a window's place in its text decides the round that it is trained on in.
 ROUNDS = 2
-BATCH = 1024
+BATCH, RATE = 1024, 0.3
+#: Words that one model is trained on before models are averaged.
+SHARD = 1 << 21
 #: Distinct words counted in a task before they are written out.
 COUNTED_AT_ONCE = 300_000
 #: Words that tasks look up by themselves; all others are joined.
 KNOWN = 1 << 15
+#: Parameters that are summed in one place.
+BLOCK = 1 << 13
 
 
 def _keys(hashes: np.ndarray) -> np.ndarray:
@@ -93,7 +102,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Corpus:
-    """Classes of words, log-probabilities of bytes, and those of the most common words in their buckets."""
+    """Numbers of words, log-probabilities of bytes, and those of the most common words among their group's others."""
 
     def __init__(self, common: np.ndarray, octets: np.ndarray, known: np.ndarray, inside: np.ndarray):
         self.order = np.argsort(common)
@@ -103,42 +112,61 @@ class Corpus:
         order = np.argsort(known)
         self.known, self.logs = known[order], inside[order]
 
-    def classes(self, key: np.ndarray) -> np.ndarray:
-        bucket = COMMON + key % BUCKETS
+    def numbers(self, key: np.ndarray) -> np.ndarray:
+        """group * OUTCOMES + outcome of each word."""
+        other = key % GROUPS * OUTCOMES
         if not len(self.common):
-            return bucket
+            return other
         at = np.minimum(np.searchsorted(self.common, key), len(self.common) - 1)
-        return np.where(self.common[at] == key, self.order[at], bucket)
+        rank = self.order[at]
+        return np.where(self.common[at] == key, rank % GROUPS * OUTCOMES + 1 + rank // GROUPS, other)
 
-    def inside(self, key: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability of each word within its class, 0 where it has to be joined, and where that is."""
+    def inside(self, key: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of each word among its group's others, 0 where it has to be joined, and where that is."""
+        others = number % OUTCOMES == 0
         if not len(self.known):
-            return np.zeros(len(key)), kind >= COMMON
+            return np.zeros(len(key)), others
         at = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
         found = self.known[at] == key
-        return np.where(found, self.logs[at], 0.0), (kind >= COMMON) & ~found
+        return np.where(found & others, self.logs[at], 0.0), others & ~found
 
     def spelled(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Log-probability of each word by its bytes, among the words of a bucket."""
+        """Log-probability of each word by its bytes, among the words of a group."""
         sums = np.concatenate([[0.0], np.cumsum(self.octet[data])])
-        return sums[ends] - sums[starts] + np.log(BUCKETS)
+        return sums[ends] - sums[starts] + np.log(GROUPS)
+
+
+_SHAPES = {"side": (len(SIDES), OUTSIDE + 1, HIDDEN), "bias": (HIDDEN,), "group": (HIDDEN, GROUPS), "group_prior": (GROUPS,), "word": (GROUPS, HIDDEN, OUTCOMES), "word_prior": (GROUPS, OUTCOMES)}
 
 
-def first_parameters() -> np.ndarray:
+def first_parameters(times: np.ndarray) -> np.ndarray:
+    """Parameters under which every outcome has the share of its times (GROUPS * OUTCOMES numbers) whatever the neighbours."""
     rng = np.random.default_rng(5)
-    return np.concatenate([rng.normal(0, 0.1, len(SIDES) * (CLASSES + 1) * HIDDEN), np.zeros(HIDDEN), rng.normal(0, 0.1, HIDDEN * CLASSES), np.zeros(CLASSES)]).astype(np.float32)
+    logs = np.log(times.reshape(GROUPS, OUTCOMES) + 0.5)
+    totals = np.log(np.exp(logs).sum(1))
+    own = {"group_prior": totals - totals.max(), "word_prior": logs - totals[:, None], "bias": np.zeros(HIDDEN)}
+    return np.concatenate([np.ravel(own[k] if k in own else rng.normal(0, 0.1, shape)) for k, shape in _SHAPES.items()]).astype(np.float32)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
 
 
 class Network:
-    """Class of a word from its neighbours' classes."""
+    """A word's number from its neighbours' numbers."""
 
     def __init__(self, parameters: np.ndarray):
-        a = len(SIDES) * (CLASSES + 1) * HIDDEN
         self.all = parameters.astype(np.float32).copy()
-        self.side = self.all[:a].reshape(len(SIDES), CLASSES + 1, HIDDEN)
-        self.bias = self.all[a : a + HIDDEN]
-        self.out = self.all[a + HIDDEN : a + HIDDEN + HIDDEN * CLASSES].reshape(HIDDEN, CLASSES)
-        self.prior = self.all[a + HIDDEN + HIDDEN * CLASSES :]
+        at = 0
+        for name, shape in _SHAPES.items():
+            size = int(np.prod(shape))
+            setattr(self, name, self.all[at : at + size].reshape(shape))
+            at += size
+        #: Squared gradients so far, which slow the steps of often moved parameters.
+        self.moved = np.full((len(SIDES), OUTSIDE + 1, 1), 1e-6, np.float32)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         z = self.side[0][context[0]]
@@ -147,38 +175,68 @@ class Network:
         z += self.bias
         return np.tanh(z, out=z)
 
-    def log_probabilities(self, context: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        z = self.hidden(context) @ self.out
-        z += self.prior
-        z -= z.max(1, keepdims=True)
-        picked = z[np.arange(len(kind)), kind]
-        return picked - np.log(np.exp(z, out=z).sum(1))
+    def _by_group(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(number // OUTCOMES, kind="stable")
+        group = (number // OUTCOMES)[order]
+        firsts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        return order, firsts, np.append(firsts[1:], len(group)), group[firsts]
 
-    def step(self, context: np.ndarray, kind: np.ndarray, rate: float) -> None:
+    def log_probabilities(self, context: np.ndarray, number: np.ndarray) -> np.ndarray:
         h = self.hidden(context)
-        z = h @ self.out + self.prior
+        z = h @ self.group
+        z += self.group_prior
         z -= z.max(1, keepdims=True)
-        p = np.exp(z, out=z)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(kind)), kind] -= 1
-        p *= rate / len(kind)
-        back = (p @ self.out.T) * (1 - h * h)
-        self.out -= h.T @ p
-        self.prior -= p.sum(0)
-        self.bias -= back.sum(0)
+        out = z[np.arange(len(number)), number // OUTCOMES] - np.log(np.exp(z).sum(1))
+        order, firsts, ends, groups = self._by_group(number)
+        sorted_h, outcome = h[order], (number % OUTCOMES)[order]
+        inner = np.empty(len(number), np.float32)
+        for a, b, g in zip(firsts.tolist(), ends.tolist(), groups.tolist()):
+            z = sorted_h[a:b] @ self.word[g]
+            z += self.word_prior[g]
+            z -= z.max(1, keepdims=True)
+            picked = z[np.arange(b - a), outcome[a:b]]
+            inner[a:b] = picked - np.log(np.exp(z, out=z).sum(1))
+        out[order] += inner
+        return out
+
+    def step(self, context: np.ndarray, number: np.ndarray, rate: float) -> None:
+        n = len(number)
+        order, firsts, ends, groups = self._by_group(number)
+        context, number = context[:, order], number[order]
+        h = self.hidden(context)
+        p = _softmax(h @ self.group + self.group_prior)
+        p[np.arange(n), number // OUTCOMES] -= 1
+        back = p @ self.group.T
+        outcome = number % OUTCOMES
+        for a, b, g in zip(firsts.tolist(), ends.tolist(), groups.tolist()):
+            q = _softmax(h[a:b] @ self.word[g] + self.word_prior[g])
+            q[np.arange(b - a), outcome[a:b]] -= 1
+            back[a:b] += q @ self.word[g].T
+            # a group's own steps go by its own windows
+            q *= rate / (b - a) ** 0.5 / n**0.5
+            self.word[g] -= h[a:b].T @ q
+            self.word_prior[g] -= q.sum(0)
+        back *= 1 - h * h
+        self.group -= h.T @ p * (rate / n)
+        self.group_prior -= p.sum(0) * (rate / n)
+        self.bias -= back.sum(0) * (rate / n)
         for k in range(len(SIDES)):
-            hot = np.zeros((CLASSES + 1, len(kind)), np.float32)
-            hot[context[k], np.arange(len(kind))] = 1
-            self.side[k] -= hot @ back
-
-
-def contexts(kind: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Classes of the neighbours of each place, by side; outside the text a class of its own."""
-    out = np.full((len(SIDES), len(kind)), OUTSIDE, np.int64)
+            by = np.argsort(context[k], kind="stable")
+            places = context[k][by]
+            starts = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+            sums = np.add.reduceat(back[by], starts, axis=0)
+            rows = places[starts]
+            self.moved[k][rows] += (sums * sums).mean(1, keepdims=True)
+            self.side[k][rows] -= rate * sums / np.sqrt(self.moved[k][rows])
+
+
+def contexts(number: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Numbers of the neighbours of each place, by side; outside the text a number of its own."""
+    out = np.full((len(SIDES), len(number)), OUTSIDE, np.int64)
     for k, side in enumerate(SIDES):
         a, b = (slice(-side, None), slice(None, side)) if side < 0 else (slice(None, -side), slice(side, None))
-        if abs(side) < len(kind):
-            out[k][a] = np.where(docs[a] == docs[b], kind[b], OUTSIDE)
+        if abs(side) < len(number):
+            out[k][a] = np.where(docs[a] == docs[b], number[b], OUTSIDE)
     return out
 
 
@@ -187,62 +245,135 @@ def windows(docs: np.ndarray, turn: int) -> np.ndarray:
     return np.flatnonzero((np.arange(len(docs)) - np.searchsorted(docs, docs)) % ROUNDS == turn)
 
 
-def train(docs: DataFrame, corpus: Corpus) -> np.ndarray:
-    """Parameters after ROUNDS rounds of local steps and averaging."""
-    parameters = first_parameters()
+def sequences(docs: DataFrame, corpus: Corpus, shards: int) -> DataFrame:
+    """(shard, key, numbers): each text of docs(text, key) with a word as its words' numbers, 16 bits each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            _, _, _, where, hashes = _tokens(part)
+            number = corpus.numbers(_keys(hashes)).astype("<u2")
+            edges = np.searchsorted(where, np.arange(part.num_rows + 1))
+            some = np.flatnonzero(np.diff(edges))
+            key = part.column("key").to_numpy()[some]
+            yield pa.record_batch([pa.array(key % shards), pa.array(key), pa.array([number[a:b].tobytes() for a, b in zip(edges[some], edges[some + 1])], pa.binary())], ["shard", "key", "numbers"])
+
+    return docs.select("text", F.xxhash64("text").alias("key")).mapInArrow(run, "shard long, key long, numbers binary")
+
+
+def _learn(network: Network, batches: Iterator[list[np.ndarray]], turn: int, rate: float) -> int:
+    """Steps on the windows of all sequences, in their order; returns how many."""
+    seen, held, waiting = 0, [], 0
+    for texts in batches:
+        number, where = np.concatenate(texts).astype(np.int64), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        at = windows(where, turn)
+        held.append((contexts(number, where)[:, at], number[at]))
+        waiting += len(at)
+        if waiting >= BATCH:
+            context, target = np.concatenate([c for c, _ in held], axis=1), np.concatenate([k for _, k in held])
+            rest = len(target) // BATCH * BATCH
+            for a in range(0, rest, BATCH):
+                network.step(context[:, a : a + BATCH], target[a : a + BATCH], rate)
+            seen += rest
+            held, waiting = [(context[:, rest:], target[rest:])], len(target) - rest
+    for context, target in held:
+        if len(target):
+            network.step(context, target, rate)
+            seen += len(target)
+    return seen
+
+
+def train(texts: DataFrame, first: np.ndarray, total: int) -> np.ndarray:
+    """Parameters after ROUNDS rounds of steps in the shards of texts(shard, key, numbers) and averaging."""
+    parameters = first
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # sums of whole numbers are the same in any order; their scale leaves room for all words
+    scale = float(1 << min(20, 55 - int(total).bit_length()))
     for turn in range(ROUNDS):
-        start, rate = parameters, 0.8 / (1 + turn)
+        start, rate = parameters, RATE / (1 + turn)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            network, seen, held = Network(start), 0, []
-            for part in chunks(batches):
-                _, _, _, where, hashes = _tokens(part)
-                kind = corpus.classes(_keys(hashes))
-                at = windows(where, turn)
-                held.append((contexts(kind, where)[:, at], kind[at]))
-                if sum(len(k) for _, k in held) >= BATCH:
-                    context, target = np.concatenate([c for c, _ in held], axis=1), np.concatenate([k for _, k in held])
-                    for a in range(0, len(target) - BATCH + 1, BATCH):
-                        network.step(context[:, a : a + BATCH], target[a : a + BATCH], rate)
-                        seen += BATCH
-                    rest = len(target) // BATCH * BATCH
-                    held = [(context[:, rest:], target[rest:])]
-            for context, target in held:
-                if len(target):
-                    network.step(context, target, rate * len(target) / BATCH)
-                    seen += len(target)
-            if seen:
-                yield pa.record_batch([pa.array(np.arange(len(network.all))), pa.array(network.all.astype(np.float64) * seen), pa.array(np.full(len(network.all), float(seen)))], ["place", "value", "weight"])
-
-        summed = docs.mapInArrow(run, "place long, value double, weight double").groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("mean"))
-        means = summed.orderBy("place").collect()  # as many rows as there are parameters
-        if means:
-            parameters = np.array([r["mean"] for r in means], np.float32)
+            sums, weight = np.zeros(len(start), np.int64), 0
+            for texts in _shards(batches):
+                network = Network(start)
+                seen = _learn(network, texts, turn, rate)
+                sums += np.rint(network.all.astype(np.float64) * scale * seen).astype(np.int64)
+                weight += seen
+            if weight:
+                blocks = range(0, len(sums), BLOCK)
+                yield pa.record_batch([pa.array(range(len(blocks)), pa.int64()), pa.array([sums[a : a + BLOCK].tobytes() for a in blocks], pa.binary()), pa.array([weight] * len(blocks), pa.int64())], ["block", "sums", "weight"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, tuple[np.ndarray, int]] = {}
+            for batch in batches:
+                for block, sums, weight in zip(*(batch.column(c).to_pylist() for c in ("block", "sums", "weight"))):
+                    have, before = found.get(block, (0, 0))
+                    found[block] = have + np.frombuffer(sums, np.int64), before + weight
+            yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array([x.tobytes() for x, _ in found.values()], pa.binary()), pa.array([w for _, w in found.values()], pa.int64())], ["block", "sums", "weight"])
+
+        schema = "block long, sums binary, weight long"
+        learnt = texts.repartition(partitions, "shard").sortWithinPartitions("shard", "key", "numbers").mapInArrow(run, schema)
+        rows = sorted(learnt.repartition("block").mapInArrow(add, schema).collect())  # a row for each BLOCK parameters
+        if rows:
+            parameters = (np.concatenate([np.frombuffer(r["sums"], np.int64) / r["weight"] for r in rows]) / scale).astype(np.float32)
     return parameters
 
 
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[list[np.ndarray]]]:
+    """Of each shard in turn its sequences, some at a time; rows come sorted by shard."""
+    pending: list[tuple[int, list[np.ndarray]]] = []
+
+    def pieces() -> Iterator[tuple[int, list[np.ndarray]]]:
+        for batch in batches:
+            shard = batch.column("shard").to_numpy()
+            texts = [np.frombuffer(x, "<u2") for x in batch.column("numbers").to_pylist()]
+            edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else [0]
+            for a, b in zip(edges[:-1], edges[1:]):
+                for at in range(a, b, 64):
+                    yield int(shard[a]), texts[at : min(at + 64, b)]
+
+    source = pieces()
+
+    def own(first: tuple[int, list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+        yield first[1]
+        for shard, texts in source:
+            if shard != first[0]:
+                pending.append((shard, texts))
+                return
+            yield texts
+
+    for begun in source:
+        pending.append(begun)
+        while pending:
+            yield own(pending.pop())
+
+
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, log_likelihood, mean_log_likelihood) for each row of docs."""
+    reach(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = docs.select("text")
     counts = cut(count_words(texts))
     rare = counts.where("word >= 0")
-    top = rare.orderBy(F.desc("times"), "word").limit(KNOWN).collect()
+    top = rare.orderBy(F.desc("times"), "word").limit(COMMON + KNOWN).collect()
     octets = np.zeros(256)
     for r in counts.where("word < 0").collect():
         octets[-1 - r["word"]] = r["times"]
     common, known = top[:COMMON], [r for r in top[COMMON:] if r["times"] > 1]
-    # words in each bucket, and those of them that occur once
-    size, once = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in rare.groupBy(F.expr(f"word % {BUCKETS}").alias("bucket")).agg(F.sum("times").alias("n"), F.sum((F.col("times") == 1).cast("long")).alias("once")).collect():
-        size[r["bucket"]], once[r["bucket"]] = r["n"], r["once"]
-    for r in common:
-        size[r["word"] % BUCKETS] -= r["times"]
-        once[r["word"] % BUCKETS] -= r["times"] == 1
+    # other words of each group, and those of them that occur once
+    size, once = np.zeros(GROUPS), np.zeros(GROUPS)
+    for r in rare.groupBy(F.expr(f"word % {GROUPS}").alias("group")).agg(F.sum("times").alias("n"), F.sum((F.col("times") == 1).cast("long")).alias("once")).collect():
+        size[r["group"]], once[r["group"]] = r["n"], r["once"]
+    total, times = int(size.sum()), np.zeros((GROUPS, OUTCOMES))
+    for rank, r in enumerate(common):
+        size[r["word"] % GROUPS] -= r["times"]
+        once[r["word"] % GROUPS] -= r["times"] == 1
+        times[rank % GROUPS, 1 + rank // GROUPS] = r["times"]
+    times[:, 0] = size
     size, once = np.log(np.maximum(size, 1)), np.log(np.maximum(once, 1))
-    keys, times = np.array([r["word"] for r in known], np.int64), np.array([r["times"] for r in known], float)
-    corpus = Corpus(np.array([r["word"] for r in common], np.int64), octets, keys, np.log(times) - size[keys % BUCKETS])
-    parameters = train(texts, corpus)
+    keys, often = np.array([r["word"] for r in known], np.int64), np.array([r["times"] for r in known], float)
+    corpus = Corpus(np.array([r["word"] for r in common], np.int64), octets, keys, np.log(often) - size[keys % GROUPS])
+    shards = 1 << max(0, (total // SHARD).bit_length())
+    parameters = train(keep(sequences(texts, corpus, shards)), first_parameters(times), total)
     names = ["row", "word", "times", "value", "doc_id", "n_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,27 +381,28 @@ def score(docs: DataFrame) -> DataFrame:
         for part in chunks(batches):
             data, starts, ends, where, hashes = _tokens(part)
             key = _keys(hashes)
-            kind = corpus.classes(key)
-            logs, joined = corpus.inside(key, kind)
-            context = contexts(kind, where)
-            for a in range(0, len(kind), 16384):
-                logs[a : a + 16384] += network.log_probabilities(context[:, a : a + 16384], kind[a : a + 16384])
+            number = corpus.numbers(key)
+            logs, joined = corpus.inside(key, number)
+            context = contexts(number, where)
+            for a in range(0, len(number), 16384):
+                logs[a : a + 16384] += network.log_probabilities(context[:, a : a + 16384], number[a : a + 16384])
             own, n = row + np.arange(part.num_rows), np.bincount(where, minlength=part.num_rows)
             # a text's own row has a word below 0 to itself, so that the join spreads these rows
-            yield pa.record_batch([pa.array(own), pa.array(-1 - own), pa.array(np.zeros(len(own), np.int64)), pa.array(np.bincount(where, logs, minlength=part.num_rows)), part.column("doc_id"), pa.array(n, pa.int64())], names)
+            sums = np.bincount(where, logs, minlength=part.num_rows).astype(np.float64)
+            yield pa.record_batch([pa.array(own), pa.array(-1 - own), pa.array(np.zeros(len(own), np.int64)), pa.array(sums), part.column("doc_id"), pa.array(n, pa.int64())], names)
             at = np.flatnonzero(joined)
             if len(at):
                 at = at[np.lexsort((key[at], where[at]))]
                 first = np.flatnonzero(np.concatenate([[True], (key[at[1:]] != key[at[:-1]]) | (where[at[1:]] != where[at[:-1]])]))
-                often = np.diff(np.append(first, len(at)))
+                repeats = np.diff(np.append(first, len(at)))
                 at = at[first]
-                value = np.where(often == 1, corpus.spelled(data, starts, ends)[at].astype(np.float32), 0).astype(np.float64)
+                value = np.where(repeats == 1, corpus.spelled(data, starts, ends)[at].astype(np.float32), 0).astype(np.float64)
                 none = pa.nulls(len(at), pa.int64())
-                yield pa.record_batch([pa.array(row + where[at]), pa.array(key[at]), pa.array(often), pa.array(value), none, none], names)
+                yield pa.record_batch([pa.array(row + where[at]), pa.array(key[at]), pa.array(repeats), pa.array(value), none, none], names)
             row += part.num_rows
 
     found = docs.mapInArrow(run, "row long, word long, times long, value double, doc_id long, n_words long")
-    of = lambda logs: F.element_at(F.array(*[F.lit(float(v)) for v in logs]), F.expr(f"int(pmod(word, {BUCKETS})) + 1"))
+    of = lambda logs: F.element_at(F.array(*[F.lit(float(v)) for v in logs]), F.expr(f"int(pmod(word, {GROUPS})) + 1"))
     priced = rare.select("word", (F.col("times") == 1).alias("once"), (F.when(F.col("times") == 1, of(once)).otherwise(F.log("times")) - of(size)).alias("inside"))
     share = F.when(F.col("word") < 0, F.col("value")).otherwise(F.col("times") * F.col("inside") + F.when(F.col("once"), F.col("value")).otherwise(0.0))
     summed = found.join(priced, "word", "left").select("row", "doc_id", "n_words", share.alias("share")).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("share").alias("total"))

@@ -99,6 +99,55 @@ def test_pseudo_likelihood_prefers_the_corpus(spark):
     assert len(pseudo.score(frame(spark, [])).collect()) == 0
 
 
+def test_pseudo_likelihood_equals_plain_sums_under_given_parameters(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    random.seed(7)
+    twice = [f"w{i}" for i in range(4100)] * 2 + [f"Once{i}é" for i in range(60)]
+    random.shuffle(twice)
+    rows = ODD + [(i, " ".join(twice[20 * i : 20 * i + 20])) for i in range(len(twice) // 20)]
+    own = {k: rng.normal(0, 0.5, v) for k, v in pseudo._SHAPES.items()}
+    monkeypatch.setattr(pseudo, "train", lambda texts, first, total: np.concatenate([np.ravel(x) for x in own.values()]).astype(np.float32))
+    texts = ["".join(c.lower() if "A" <= c <= "Z" else c for c in t or "") for _, t in rows]
+    tokens = [[w.encode() for w in re.findall(WORD, t)] for t in texts]
+    counts = Counter(w for t in tokens for w in t)
+    octets = Counter(b for _, t in rows for w in re.findall(WORD, t or "") for b in w.encode())
+    raw = [[w.encode() for w in re.findall(WORD, t or "")] for _, t in rows]
+    key = {w: int(pseudo._keys(pseudo.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), lower=True))[0]) for w in counts}
+    ranked = sorted(counts, key=lambda w: (-counts[w], key[w]))[:4032]
+    number = {w: key[w] % 64 * 64 for w in counts} | {w: r % 64 * 64 + 1 + r // 64 for r, w in enumerate(ranked)}
+    others = {g: [w for w in set(counts) - set(ranked) if key[w] % 64 == g] for g in range(64)}
+
+    def log_softmax(z):
+        return z - z.max() - np.log(np.exp(z - z.max()).sum())
+
+    wanted = {}
+    for (d, _), words, cased in zip(rows, tokens, raw):
+        total = 0.0
+        for i, w in enumerate(words):
+            near = [number[words[i + s]] if 0 <= i + s < len(words) else 4096 for s in pseudo.SIDES]
+            h = np.tanh(sum(own["side"][k][c] for k, c in enumerate(near)) + own["bias"])
+            g, outcome = divmod(number[w], 64)
+            total += log_softmax(h @ own["group"] + own["group_prior"])[g] + log_softmax(h @ own["word"][g] + own["word_prior"][g])[outcome]
+            if outcome == 0:
+                size, single = sum(counts[x] for x in others[g]), sum(counts[x] == 1 for x in others[g])
+                if counts[w] > 1:
+                    total += np.log(counts[w] / size)
+                else:
+                    total += np.log(single / size) + np.log(64) + sum(np.log((octets[b] + 1) / (sum(octets.values()) + 256)) for b in cased[i])
+        wanted.setdefault(d, []).append((len(words), total))
+    for r in pseudo.score(frame(spark, rows)).collect():
+        assert any(r.n_words == n and abs(r.log_likelihood - x) < 1e-2 + 1e-4 * abs(x) for n, x in wanted[r.doc_id])
+
+
+def test_pseudo_likelihood_does_not_depend_on_partitions(spark):
+    rows = [(i, " ".join(random.Random(i).choice(["a", "b", "c", "dd", "ee"]) for _ in range(40))) for i in range(400)] + ODD
+    docs = frame(spark, rows)
+    one, many = ({r.doc_id: r.log_likelihood for r in pseudo.score(x).collect() if r.doc_id != 904} for x in (docs.coalesce(1), docs.repartition(8)))
+    assert one == pytest.approx(many, abs=1e-2)
+    only = spark.createDataFrame([(1, None), (2, ""), (3, " \n")], "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in pseudo.score(only).collect()} == {(k, 0, 0.0, None) for k in (1, 2, 3)}
+
+
 def test_pseudo_likelihood_trains_on_every_place(spark):
     docs = spark.createDataFrame([(i, "a b c d e f g h") for i in range(8000)], "doc_id long, text string").coalesce(1)
     assert pseudo.score(docs).first().mean_log_likelihood > -3
