@@ -17,11 +17,16 @@ Column expressions and aggregates only. The driver sees the labelled sample
 
 Null text counts as empty: no tokens, the probabilities of an empty text, a rate like
 any other. Without labelled documents all probabilities are equal. Repeated rows get
-rates each. Other columns are kept by ``copies`` and not read by ``rates``.
+rates each; of several texts under one labelled doc_id the classifier learns from the one
+of the least hash. A tie of labels goes to the worse. A null doc_id is never labelled. An
+empty table gives no rows. Other columns are kept by ``copies``, whatever their names, and
+not read by ``rates``. Whole copies meet the targets on average: a coin decides a
+document's last copy whatever its size, so few large documents leave more scatter.
 """
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -41,6 +46,14 @@ ROUNDS = 30
 RIDGE = 0.01
 
 
+def unused(taken: list[str], name: str) -> str:
+    """A column name like ``name`` that is not taken, in any case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def domain_of(labels: DataFrame) -> DataFrame:
     """(doc_id, domain): one row for each labelled document, the worst label where there are several."""
     toxic, quality = F.coalesce("toxic", F.lit(0)), F.coalesce("quality", F.lit(1))
@@ -93,14 +106,17 @@ def members(docs: DataFrame, labels: DataFrame, keep: list[str], names: list[str
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sample = domain_of(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    labelled = cut(texts.join(F.broadcast(sample), "doc_id").select("domain", "text"))  # at most SAMPLE rows of two numbers
+    one = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "domain").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    labelled = cut(one.select("doc_id", "domain", "least.text"))  # at most SAMPLE rows
     lexicon = _telling_words(labelled)
-    rows = labelled.select("domain", *[c.alias(n) for n, c in _measured(F.col("text"), lexicon).items()]).limit(2 * SAMPLE).collect()
+    rows = labelled.select("doc_id", "domain", *[c.alias(n) for n, c in _measured(F.col("text"), lexicon).items()]).orderBy("doc_id").collect()
     w = fit(np.array([[r[f] for f in FEATURES] for r in rows]).reshape(-1, len(FEATURES)), np.array([r.domain for r in rows], int))
-    measured = docs.select(*[F.col(f"`{c}`") for c in keep], _tokens(text).alias(names[0]), F.struct(*[c.alias(n) for n, c in _measured(text, lexicon).items()]).alias(names[0] + "_f"))
-    logits = [reduce(lambda a, b: a + b, [F.col(f"`{names[0]}_f`.{f}") * float(w[i, k]) for i, f in enumerate(FEATURES)]) + float(w[-1, k]) for k in range(len(DOMAINS))]
-    scored = measured.withColumn(names[0] + "_z", F.array(*logits))
-    z = F.col(f"`{names[0]}_z`")
+    features = unused([*keep, *names], "_features")
+    scores = unused([*keep, *names, features], "_scores")
+    measured = docs.select(*[F.col(f"`{c}`") for c in keep], _tokens(text).alias(names[0]), F.struct(*[c.alias(n) for n, c in _measured(text, lexicon).items()]).alias(features))
+    logits = [reduce(lambda a, b: a + b, [F.col(f"`{features}`.{f}") * float(w[i, k]) for i, f in enumerate(FEATURES)]) + float(w[-1, k]) for k in range(len(DOMAINS))]
+    scored = measured.withColumn(scores, F.array(*logits))
+    z = F.col(f"`{scores}`")
     top = F.array_max(z)
     total = reduce(lambda a, b: a + b, [F.exp(z[k] - top) for k in range(len(DOMAINS))])
     return scored.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{names[0]}`"), *[(F.exp(z[k] - top) / total).alias(names[1 + k]) for k in range(len(DOMAINS))])
@@ -137,6 +153,8 @@ def solve(table: DataFrame, names: list[str], weights: list[float], budget: floa
         if size < 1e-5:
             break
         moves = [*moves, [round(float(v), 12) for v in step @ miss]]
+    else:
+        warnings.warn(f"rates still move after {ROUNDS} rounds; the domains miss their targets by {best[0]:.3g}")
     return start, moves[: best[1]]
 
 
@@ -162,7 +180,7 @@ def copies(docs: DataFrame, labels: DataFrame, free: list[str], weights: list[fl
     number = whole(F.round(rate_of(names, start, moves, low, high), 6), F.col("doc_id"))
     # the partition's number is no fixed function of the row, which keeps filters on the copies from being moved
     # below this projection, where every use of a rate would be written out in full
-    barrier = free[4] + "_at"
+    barrier = unused([*docs.columns, *free], "_at")
     counted = table.select(*[F.col(f"`{c}`") for c in docs.columns], number.alias(free[4]), F.spark_partition_id().alias(barrier))
     n = F.col(f"`{free[4]}`")
     return counted.withColumn(barrier, F.explode(F.array_repeat(F.col(f"`{barrier}`"), n.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
