@@ -4,7 +4,8 @@ The coder works on many frames at once: every field of every frame (sub-frame
 header, warm-up samples, Rice parameter, Rice-coded residuals) is a value and a
 number of bits, positions are running sums, and all bits are set together. The
 decoder moves along all frames at once, a sample at each step, undoes the
-predictors (fixed, or with coefficients), and checks the CRC-8 of every header, the
+predictors (fixed, or with coefficients that were fitted to the frame where those leave
+less), and checks the CRC-8 of every header, the
 CRC-16 of every frame and the MD5 of the samples. A seek point for each frame tells
 where each block of samples lies.
 
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import chunks, flat
+from ..session import reach
 
 BLOCK = 576
 #: Payload bytes coded at once.
@@ -36,6 +38,8 @@ RATE = 8000
 _CONSTANT, _VERBATIM, _FIXED, _LPC = 0, 1, 8, 32
 #: Coefficients of the fixed predictors by order.
 FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
+#: Fitted predictors: order, bits of a coefficient, and its fraction's bits.
+ORDER, PRECISION, SHIFT = 4, 7, 5
 
 
 class CorruptStream(ValueError):
@@ -99,11 +103,20 @@ def frame_header(number: int) -> bytes:
     return header + bytes([crc8(header)])
 
 
-def code_frames(samples: np.ndarray, numbers: np.ndarray, as_coefficients: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the frames of a (frames, 576) array, and where each starts (frames + 1 offsets).
+def fitted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised coefficients of each frame's linear predictor, and what it leaves from place ORDER on."""
+    wide = x.astype(np.int64)
+    lags = np.stack([(wide[:, k:] * wide[:, : BLOCK - k]).sum(1) for k in range(ORDER + 1)], 1).astype(float)
+    lags[:, 0] += lags[:, 0] * 1e-4 + 1
+    toeplitz = lags[:, np.abs(np.subtract.outer(np.arange(ORDER), np.arange(ORDER)))]
+    exact = np.linalg.solve(toeplitz, lags[:, 1:, None])[:, :, 0]
+    coefficients = np.clip(np.rint(exact * (1 << SHIFT)), -(1 << PRECISION - 1), (1 << PRECISION - 1) - 1).astype(np.int32)
+    guess = sum(coefficients[:, j : j + 1] * x[:, ORDER - 1 - j : BLOCK - 1 - j] for j in range(ORDER)) >> SHIFT
+    return coefficients, x[:, ORDER:] - guess
 
-    as_coefficients: write the predictors as coefficients rather than as fixed ones.
-    """
+
+def code_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the frames of a (frames, 576) array, and where each starts (frames + 1 offsets)."""
     m = len(samples)
     x = samples.astype(np.int32)
     best = np.abs(x[:, 4:]).sum(1)
@@ -115,6 +128,12 @@ def code_frames(samples: np.ndarray, numbers: np.ndarray, as_coefficients: bool
         best = np.where(better, cost, best)
         order[better] = k
         residual[better, k:] = level[better]
+    coefficients, left = fitted(x)
+    # halving what is left saves a bit for each sample; the coefficients take this many
+    extra = 9 + ORDER * PRECISION + 8 * (ORDER - order)
+    lpc = np.abs(left).sum(1) * 2.0 ** (extra / (BLOCK - ORDER)) < best
+    order[lpc] = ORDER
+    residual[lpc, ORDER:] = left[lpc]
     column = np.arange(BLOCK)
     tail = column >= order[:, None]
     folded = np.where(tail, (residual << 1) ^ (residual >> 31), 0)
@@ -122,11 +141,11 @@ def code_frames(samples: np.ndarray, numbers: np.ndarray, as_coefficients: bool
     most = folded.max(1)
     size = np.stack([np.where(most >> k > 15, 1 << 30, (folded >> k).sum(1) + (k + 1) * (BLOCK - order)) for k in range(8)])
     rice = size.argmin(0)
-    bits = size.min(0) + 18 + 8 * order + (as_coefficients & (order > 0)) * (9 + 4 * order)
+    bits = size.min(0) + 18 + 8 * order + lpc * (9 + ORDER * PRECISION)
     constant = (x == x[:, :1]).all(1)
     verbatim = ~constant & (bits >= 8 + 8 * BLOCK)
     coded = ~constant & ~verbatim
-    lpc = coded & as_coefficients & (order > 0)
+    lpc &= coded
 
     value = np.zeros((m, BLOCK + 3), np.int64)
     width = np.zeros((m, BLOCK + 3), np.int64)
@@ -144,11 +163,11 @@ def code_frames(samples: np.ndarray, numbers: np.ndarray, as_coefficients: bool
     k, f = rice[r], folded[r, c]
     value[r, c + 3] = (1 << k) | (f & ((1 << k) - 1))
     width[r, c + 3] = (f >> k) + 1 + k
-    for row in np.flatnonzero(lpc):  # precision 4 bits, shift 0, the coefficients
-        n, word = int(order[row]), 3 << 5
-        for coefficient in FIXED[n]:
-            word = word << 4 | coefficient & 15
-        value[row, n + 1], width[row, n + 1] = word, 9 + 4 * n
+    some = np.flatnonzero(lpc)
+    word = np.full(len(some), PRECISION - 1 << 5 | SHIFT, np.int64)
+    for j in range(ORDER):
+        word = word << PRECISION | coefficients[some, j] & (1 << PRECISION) - 1
+    value[some, ORDER + 1], width[some, ORDER + 1] = word, 9 + ORDER * PRECISION
 
     headers = [frame_header(int(n)) for n in numbers]
     lengths = np.array([len(h) for h in headers])
@@ -159,10 +178,10 @@ def code_frames(samples: np.ndarray, numbers: np.ndarray, as_coefficients: bool
     shifted = (value << (-last & 7)).ravel()
     at = ((last + 7) >> 3).ravel() - 1
     out = np.zeros(starts[-1] + 8)
-    for k in range(5 if as_coefficients else 3):
+    for k in range(6 if len(some) else 3):
         part = shifted >> (8 * k) & 255
-        some = np.flatnonzero(part)
-        out += np.bincount(at[some] - k, part[some], minlength=len(out))
+        filled = np.flatnonzero(part)
+        out += np.bincount(at[filled] - k, part[filled], minlength=len(out))
     out = out[: starts[-1]].astype(np.uint8)
     heads = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, lengths)])
     out[heads] = np.frombuffer(b"".join(headers), np.uint8)
@@ -185,7 +204,7 @@ def wrap(frames: bytes, sizes: np.ndarray, samples: bytes) -> bytes:
     return b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + frames
 
 
-def encode_payloads(data: np.ndarray, offsets: np.ndarray, as_coefficients: bool = False) -> list[bytes]:
+def encode_payloads(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     """A stream for each text of a flat batch."""
     lengths = np.diff(offsets)
     blocks = np.maximum(1, -(-lengths // BLOCK))
@@ -193,7 +212,7 @@ def encode_payloads(data: np.ndarray, offsets: np.ndarray, as_coefficients: bool
     padded = np.full(first[-1] * BLOCK, 255, np.uint8)
     padded[np.repeat(first[:-1] * BLOCK - offsets[:-1], lengths) + np.arange(offsets[-1])] = data
     samples = (padded ^ 128).view(np.int8)
-    frames, starts = code_frames(samples.reshape(-1, BLOCK), np.arange(first[-1]) - np.repeat(first[:-1], blocks), as_coefficients)
+    frames, starts = code_frames(samples.reshape(-1, BLOCK), np.arange(first[-1]) - np.repeat(first[:-1], blocks))
     sizes = np.diff(starts)
     return [wrap(frames[starts[a] : starts[b]].tobytes(), sizes[a:b], samples[a * BLOCK : b * BLOCK].tobytes()) for a, b in zip(first[:-1], first[1:])]
 
@@ -416,13 +435,14 @@ def decode_streams(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def store(docs: DataFrame, as_coefficients: bool = False) -> DataFrame:
+def store(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text as a FLAC stream."""
+    reach(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, most=CODED_AT_ONCE):
             data, offsets = flat(part.column("text"))
-            yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(encode_payloads(data, offsets, as_coefficients), pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(encode_payloads(data, offsets), pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
@@ -438,33 +458,47 @@ def _media_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Record
                 start, held, size = k + 1, [], 0
 
 
-def digest(stored: DataFrame) -> DataFrame:
-    """Reads each stream back: payload and media digests, and a feature of the samples.
-
-    feature: samples, sum, energy, sign changes and peak of the decoded signal.
-    """
+def decode(stored: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, media_bytes, media_sha256, sample_offsets, byte_offsets, pcm): each stream's PCM blocks, in order, and where each can be sought."""
+    reach(stored.sparkSession)
+    kept = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, streams in _media_chunks(batches):
-            rows = []
-            for stream, (samples, _) in zip(streams, decode_streams(streams)):
-                payload = (samples + 128).astype(np.uint8).tobytes()
-                feature = f"{len(samples)}:{samples.sum()}:{(samples * samples).sum()}:{((samples[1:] < 0) != (samples[:-1] < 0)).sum()}:{np.abs(samples).max()}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), feature))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.record_batch([part.column("doc_id"), part.column("n_bytes"), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            samples, places, pcm = [], [], []
+            for whole, table in decode_streams(streams):
+                bounds = [*table[:, 0].tolist(), len(whole)]
+                octets = whole.astype(np.int8).tobytes()
+                pcm.append([octets[a:b] for a, b in zip(bounds, bounds[1:])])
+                samples.append(bounds[:-1])
+                places.append(table[:, 1].tolist())
+            yield pa.record_batch([*(part.column(c) for c in kept), pa.array(samples, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64())), pa.array(pcm, pa.list_(pa.binary()))], [*kept, "sample_offsets", "byte_offsets", "pcm"])
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    sized = stored.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    return sized.mapInArrow(run, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, sample_offsets array<long>, byte_offsets array<long>, pcm array<binary>")
 
 
-def pcm_blocks(stored: DataFrame) -> DataFrame:
-    """(doc_id, block, sample_offset, byte_offset, pcm): the decoded blocks, in order, with where each can be sought."""
+def digest(decoded: DataFrame) -> DataFrame:
+    """Digests of each stream's payload, made from its PCM blocks, and a feature of the samples.
+
+    feature: samples, sum, energy, sign changes and peak of the signal.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, streams in _media_chunks(batches):
-            for doc, (samples, table) in zip(part.column("doc_id"), decode_streams(streams)):
-                bounds = [*table[:, 0].tolist(), len(samples)]
-                pcm = [samples[a:b].astype(np.int8).tobytes() for a, b in zip(bounds, bounds[1:])]
-                yield pa.record_batch([pa.array([doc.as_py()] * len(pcm), pa.int64()), pa.array(range(len(pcm)), pa.int64()), pa.array(table[:, 0], pa.int64()), pa.array(table[:, 1], pa.int64()), pa.array(pcm, pa.binary())], ["doc_id", "block", "sample_offset", "byte_offset", "pcm"])
+        for batch in batches:
+            rows = []
+            for blocks in batch.column("pcm"):
+                small = np.frombuffer(b"".join(blocks.values.to_pylist()), np.int8)
+                payload, samples = (small.view(np.uint8) ^ 128).tobytes(), small.astype(np.int64)
+                feature = f"{len(samples)}:{samples.sum()}:{(samples * samples).sum()}:{((small[1:] < 0) != (small[:-1] < 0)).sum()}:{np.abs(samples).max()}"
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature))
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string()))]
+            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "n_bytes")), *columns[:3], *(batch.column(c) for c in ("media_bytes", "media_sha256")), columns[3]], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return stored.select("doc_id", "media").mapInArrow(run, "doc_id long, block long, sample_offset long, byte_offset long, pcm binary")
+    return decoded.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def pcm_blocks(stored: DataFrame) -> DataFrame:
+    """(doc_id, block, sample_offset, byte_offset, pcm): a row for each PCM block."""
+    zipped = F.arrays_zip("sample_offsets", "byte_offsets", "pcm")
+    return decode(stored).select("doc_id", F.posexplode(zipped).alias("block", "b")).select("doc_id", F.col("block").cast("long").alias("block"), F.col("b.sample_offsets").alias("sample_offset"), F.col("b.byte_offsets").alias("byte_offset"), F.col("b.pcm").alias("pcm"))

@@ -26,8 +26,8 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as FLAC, read back and digested."""
-    return flac.digest(flac.store(table(spark, sf_dir, "documents")))
+    """Every text stored as FLAC, decoded into PCM blocks and digested."""
+    return flac.digest(flac.decode(flac.store(table(spark, sf_dir, "documents"))))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
