@@ -9,9 +9,10 @@ What reaches the driver is the number of documents for each vote pattern, at mos
 3 ** rules rows however many documents there are; the posteriors go back as a table
 of the same bound, which is broadcast.
 
-Null text counts as empty: no words, every count 0, rejected by the base rule.
-Repeated rows are judged each by themselves. Other columns stay as they are,
-whatever their names.
+Null text counts as empty: no words, every count 0, rejected by the base rule. A null
+doc_id stays null. Repeated rows are judged each by themselves, an empty table gives no
+rows. A posterior that equals the threshold keeps the text. Other columns stay as they
+are, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .text import chunks, flat, mix, run_hashes, span_hashes, words
-from ..session import cut
+from ..session import cut, reach
 
 #: Counts made of each text, all of them whole numbers.
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_letters", "n_exclaims", "n_stops"]
@@ -106,6 +107,7 @@ def count_texts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def count(docs: DataFrame, into: str, keep: list[str]) -> DataFrame:
     """The columns in ``keep`` and the counts as one struct named ``into``."""
+    reach(docs.sparkSession)
     text = "text" if "text" in keep else None
     source = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text else [F.col("text").cast("string")]))
     schema = T.StructType([source.schema[c] for c in keep] + [T.StructField(into, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
@@ -144,8 +146,8 @@ def votes(at: str) -> list[Column]:
 
 
 N_RULES = 9
-#: Share of good texts that a rule may speak against.
-WRONG = 0.005
+#: Prior share of good texts that a rule speaks against, and its weight as a share of all texts: the estimates are free, but good texts stay the class that rules seldom speak against.
+WRONG, TRUST = 0.002, 0.2
 
 
 def pattern_of(at: str) -> Column:
@@ -156,11 +158,13 @@ def pattern_of(at: str) -> Column:
     return out
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, trust: float = 0.2) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, trust: float = TRUST) -> tuple[np.ndarray, np.ndarray, float]:
     """Expectation-maximisation over vote patterns.
 
-    A rule that abstains says nothing. A rule's bad votes on good texts have a prior of
-    WRONG, worth ``trust`` times the number of texts, and are no more frequent than that.
+    A rule that abstains says nothing. Rules are taken to vote independently for each class;
+    those on repeats (lines, windows, distinct words) and on size (which among texts that pass
+    the base rule never speaks against one) are not quite. A rule's bad votes on good texts
+    have a prior of WRONG, worth ``trust`` times the number of texts; all rates are estimated.
     Returns the posterior probability of good for each pattern, the estimated
     probability of a vote by (class, rule, vote) where the rule votes, and the share of
     good texts.
@@ -175,8 +179,6 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, trust: floa
         weights = np.stack([(1 - posterior) * counts, posterior * counts])
         theta = np.einsum("cp,prv->crv", weights, shown) + prior
         theta /= theta.sum(2, keepdims=True)
-        theta[1, :, 0] = np.minimum(theta[1, :, 0], WRONG)
-        theta[1, :, 1] = 1 - theta[1, :, 0]
         share = (weights[1].sum() + 1) / (counts.sum() + 2)
         logs = np.einsum("prv,crv->cp", shown, np.log(theta)) + np.log([[1 - share], [share]])
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))

@@ -91,6 +91,33 @@ def test_fitted_rules_separate_marked_texts():
     assert good[0] > 0.9 > 0.1 > good[1]
 
 
+def test_kept_follows_the_posterior_of_given_votes(spark):
+    """The verdict on whole texts against plain expectation-maximisation over single documents."""
+    random.seed(9)
+    good = "Plain words of a good text stand here, and they end. Another line follows with other words in it.\n"
+    rows = [(i, good + f"Number {i} differs a little from the rest of them. " * 2) for i in range(60)]
+    rows += [(1000 + i, ("### $$$ *** &&& word %% " * 8 + f"{i} ") * 2) for i in range(12)]
+    found = {r.doc_id: r for r in quality.judge(frame(spark, rows + ODD)).collect()}
+    patterns = {r.doc_id: r.p for r in quality.count(frame(spark, rows), "c", ["doc_id"]).select("doc_id", quality.pattern_of("c").alias("p")).collect()}
+    inside = [d for d, _ in rows + ODD[9:10] if not found[d].base_failed]
+    shown = {d: [(r, patterns[d] // 3**r % 3) for r in range(quality.N_RULES) if patterns[d] // 3**r % 3 < 2] for d in inside if d in patterns}
+    belief = {d: 0.05 if any(v == 0 for _, v in s) else 0.999 for d, s in shown.items()}
+    for _ in range(300):
+        theta = {}
+        for c in (0, 1):
+            for r in range(quality.N_RULES):
+                n = [sum((belief[d] if c else 1 - belief[d]) for d, s in shown.items() if (r, v) in s) for v in (0, 1)]
+                prior = [1, 1] if not c else [w * (quality.TRUST * len(shown) + 2) for w in (quality.WRONG, 1 - quality.WRONG)]
+                total = sum(n) + sum(prior)
+                theta[c, r] = [(n[v] + prior[v]) / total for v in (0, 1)]
+        share = (sum(belief.values()) + 1) / (len(shown) + 2)
+        for d, s in shown.items():
+            both = [np.prod([theta[c, r][v] for r, v in s]) * (share if c else 1 - share) for c in (0, 1)]
+            belief[d] = both[1] / sum(both)
+    for d in shown:
+        assert found[d].posterior == pytest.approx(belief[d], abs=1e-4) and found[d].kept == (belief[d] >= 0.5)
+
+
 def test_pseudo_likelihood_prefers_the_corpus(spark):
     rows = [(i, "the cat sat on the mat and the dog ran to the door again " * 8) for i in range(60)] + [(99, "mat the to dog again and ran sat door on cat the " * 8)] + ODD
     found = {r.doc_id: r for r in pseudo.score(frame(spark, rows)).collect()}
