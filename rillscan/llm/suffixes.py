@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import chunks, flat, mix, powers
-from ..session import cut
+from ..session import cut, reach
 
 LENGTH = 400
 GRAM = 32
@@ -412,25 +412,26 @@ def _count_early(every: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, a, b): byte ranges of docs(doc_id, key, text) whose strings occur elsewhere too."""
+    """(doc_id, key, a, b), distinct: byte ranges of docs(doc_id, key, text) whose strings occur elsewhere too."""
     every = cut(runs(docs))
-    kinds = _count_early(every).repartition("anchor").groupBy(*RUN).agg(F.sum("times").alias("times"), F.min(F.struct("doc_id", "key", "start")).alias("one"))
-    bucket = Window.partitionBy("anchor")
-    kinds = cut(kinds.withColumn("kinds", F.count("*").over(bucket)).where("times > 1 or kinds > 1"))
-    wanted = kinds.where("kinds > 1").select("one.*", *RUN, "kinds")
-    contexts = _contexts(docs, wanted)
+    kinds = cut(_count_early(every).repartition(*RUN).groupBy(*RUN).agg(F.sum("times").alias("times"), F.min(F.struct("doc_id", "key", "start")).alias("one")))
+    # counted apart and joined, as one anchor may have a large share of all runs
+    buckets = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = cut(kinds.join(buckets, "anchor").select("one.*", *RUN, "kinds"))
+    contexts = _contexts(docs, mixed)
     whole = kinds.where("times > 1").select(*RUN, F.lit(0).cast("long").alias("first"), (_near_far()[1] - _near_far()[0]).alias("last"))
-    if kinds.where(F.col("kinds") > MOST_RUNS).take(1):
+    if mixed.where(F.col("kinds") > MOST_RUNS).take(1):
         contexts = cut(contexts)
         found = _sort_buckets(contexts.where(F.col("kinds") <= MOST_RUNS)).unionByName(_narrow(contexts.where(F.col("kinds") > MOST_RUNS)))
     else:
         found = _sort_buckets(contexts)
     found = whole.unionByName(found)
-    return every.join(found, RUN).select("doc_id", "key", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + LENGTH).alias("b"))
+    return every.join(found, RUN).select("doc_id", "key", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + LENGTH).alias("b")).distinct()
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs."""
+    reach(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     ranges = cut(repeated_ranges(docs).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
