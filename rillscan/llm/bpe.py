@@ -24,6 +24,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reach
+
 #: Pre-tokens whose ids a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 300_000
 
@@ -117,6 +119,7 @@ class Codec:
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): the ids of each text as little-endian unsigned 32-bit integers."""
+    reach(docs.sparkSession)
     model = serialise(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +135,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, text_bytes): ids back to the bytes they stand for; null ids give null."""
+    reach(encoded.sparkSession)
     model = serialise(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +154,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     Columns: doc_id, n_tokens, ids_sha256, decoded_sha256.
     """
+    reach(docs.sparkSession)
     model = serialise(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

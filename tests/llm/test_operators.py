@@ -356,6 +356,35 @@ def test_urls(spark):
     assert sum((s >= cut) == a for s, a in held) / len(held) > 0.97
 
 
+def test_url_models_equal_plain_witten_bell():
+    good, bad = ["abcab", "abd", "", "xyz"], ["zzz", "zab"]
+
+    def chance(texts, context, c):
+        p = 1 / 256
+        for k in range(urls.ORDER + 1):
+            tail = context[len(context) - k :]
+            seen = [("\x02" * urls.ORDER + t + "\x03") for t in texts]
+            follows = [s[i] for s in seen for i in range(urls.ORDER, len(s)) if s[i - k : i] == tail]
+            if follows:
+                kinds = len(set(follows))
+                p = (follows.count(c) + kinds * p) / (len(follows) + kinds)
+        return p
+
+    judge = urls.Judge(good, bad)
+    for text in ("abc", "zzab", "q", "xyzabd"):
+        padded = "\x02" * urls.ORDER + text + "\x03"
+        each = [np.log(chance(good, padded[i - urls.ORDER : i], padded[i]) / chance(bad, padded[i - urls.ORDER : i], padded[i])) for i in range(urls.ORDER, len(padded))]
+        assert judge.score(text) == pytest.approx(sum(each) / len(each)) or judge.score(text) == pytest.approx(sum(each) / len(text))
+
+
+def test_url_nulls_repeats_and_clashing_columns(spark):
+    rows = [(1, None, "h"), (1, None, "h"), (2, "nourl", "h"), (3, "", "h"), (None, "a://b.example.net/en/", "h"), (4, "x://" + "long." * 30000 + "net/", "h")]
+    found = urls.judge(spark.createDataFrame(rows, "page_id long, url string, Host string").repartition(3)).collect()
+    assert sorted([(r.page_id, r.host[:20], r.path, r.rule) for r in found], key=str) == sorted([(1, "", "", None)] * 2 + [(2, "", "", None), (3, "", "", None), (None, "b.example.net", "/en/", "example.net/en/"), (4, "long.long.long.long.", "/", "net/")], key=str)
+    assert len({r.verdict for r in found if r.host == ""}) == 1
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
 def test_mixing_meets_its_targets(spark):
     random.seed(3)
     rows = [(i, "word and text here. " * random.randint(5, 40)) for i in range(300)] + [(1000 + i, "### | *** " * 30) for i in range(100)] + [(2000 + i, "stupid text of words here. " * 20) for i in range(100)] + ODD
@@ -410,6 +439,51 @@ def test_repeats_equal_brute_force(spark, monkeypatch, most):
     assert rows_of(suffixes.remove_repeats(frame(spark, rows)), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == sorted(wanted, key=str)
 
 
+@pytest.mark.parametrize("name", ["jaccard", "flac", "bpe", "counts", "repeats", "score"])
+def test_empty_tables_and_only_empty_texts(spark, name):
+    path, pattern = public_tokenizers.path, public_tokenizers.PATTERN
+    run = {
+        "jaccard": jaccard.components_of,
+        "flac": lambda d: flac.digest(flac.decode(flac.store(d))),
+        "bpe": lambda d: bpe.round_trip(d, path("byte_bpe_50k.tiktoken"), pattern),
+        "counts": lambda d: token_counts.token_counts(d, path("byte_bpe_50k.json"), pattern, 1024),
+        "repeats": suffixes.remove_repeats,
+        "score": pseudo.score,
+    }[name]
+    assert run(frame(spark, [])).count() == 0
+    assert run(frame(spark, [(1, None), (2, ""), (None, None), (2, "")])).count() == 4
+
+
+def test_stages_bear_empty_tables_nulls_and_clashing_names(spark, tmp_path):
+    schema = "doc_id long, text string, _tokens_f string, _Counts string, _base_spans string, c0 string, _at long, key long, component string"
+    words = "Plain words of a good text stand here, and they all end with one more line of words. "
+    rows = [(d, t, "f", "c", "s", "z", 5, 7, "q") for d, t in ODD + [(50 + k, words + words + str(k)) for k in range(6)]]
+    spark.createDataFrame([(50, 1, 0), (51, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        for some in ([], rows):
+            docs = spark.createDataFrame(some, schema)
+            out = stage(spark, docs, str(tmp_path))
+            found = out.collect()
+            assert len(found) == 0 or some
+            if out.columns != ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]:
+                assert out.columns == docs.columns and all((r._tokens_f, r.c0, r["_at"], r["key"]) == ("f", "z", 5, 7) for r in found)
+
+
+def test_long_texts_cross_chunks_and_segments(spark):
+    random.seed(10)
+    long = " ".join(f"w{random.randrange(10**6)}" for _ in range(620_000))
+    changed = long.replace(" w1", " v1", 200)
+    rows = [(1, long), (2, changed), (3, "short " + long[1_000_000:1_000_900])]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components_of(frame(spark, rows)).collect()}
+    w = [t.split() for _, t in rows]
+    sets = [{tuple(x[i : i + 4]) for i in range(len(x) - 3)} for x in w]
+    assert found[1] == (len(sets[0]), 1) and found[3] == (len(sets[2]), 3)
+    assert found[2] == (len(sets[1]), 1 if 100 * len(sets[0] & sets[1]) >= 85 * len(sets[0] | sets[1]) else 2)
+    twice = [(1, "ab" * 10 + long + "x"), (2, long[300_000:4_500_000] + "y"), (3, "nothing")]
+    found = {r.doc_id: (r.n_removed, r.n_spans) for r in suffixes.remove_repeats(frame(spark, twice)).collect()}
+    assert found == {1: (4_200_000, 1), 2: (4_200_000, 1), 3: (0, 0)}
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
