@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import hashing, probability
 from .operators import hierarchy, match, sketches, suffix_array
+from .plans import costs, levels, presets
 from .sources import generators, streams
 from .session import table
 
@@ -23,17 +24,20 @@ TABLES = ["documents", "events", "lineitem", "orders", "benchmark", "conversatio
 N = 2
 BLOCK = 16
 WINDOW = 24
-MINED = 6
+#: Patterns of characters: every whole benchmark text, and a prefix of 1 to 60 characters of each.
+PREFIX = 60
 
 #: Streams and patterns as DuckDB sees them.
 EVENT_STREAM = "SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, event_type AS token FROM events WHERE event_type IS NOT NULL"
 EVENT_PATTERNS = f"SELECT token || ',' || t1 || ',' || t2 AS name, token AS t0, t1, t2, row_number() OVER (ORDER BY token || ',' || t1 || ',' || t2) AS pid FROM (SELECT DISTINCT token, t1, t2 FROM (SELECT pos, token, lead(token, 1) OVER w AS t1, lead(token, 2) OVER w AS t2 FROM ({EVENT_STREAM}) WINDOW w AS (PARTITION BY stream_id ORDER BY pos)) WHERE pos = 0 AND t2 IS NOT NULL)"
 EVENT_MATCHES = f"SELECT p.pid, s.stream_id, s.pos FROM (SELECT stream_id, pos, token, lead(token, 1) OVER w AS t1, lead(token, 2) OVER w AS t2 FROM ({EVENT_STREAM}) WINDOW w AS (PARTITION BY stream_id ORDER BY pos)) s JOIN ({EVENT_PATTERNS}) p ON s.token = p.t0 AND s.t1 = p.t1 AND s.t2 = p.t2"
 TEXTS = "SELECT doc_id AS stream_id, regexp_replace(text, '[\\r\\n]', '', 'g') AS text FROM documents WHERE text IS NOT NULL"
-TEXT_PATTERNS = f"SELECT item_id AS pid, substr(text, 1, {MINED}) AS pattern FROM benchmark WHERE length(text) >= {MINED}"
-TEXT_MATCHES = f"SELECT pid, stream_id, unnest(list_filter(range(1, length(text) - length(pattern) + 2), lambda i: substr(text, i, length(pattern)) = pattern)) - 1 AS pos FROM ({TEXTS}) JOIN ({TEXT_PATTERNS}) ON contains(text, pattern)"
+TEXT_PATTERNS = f"SELECT 2 * item_id AS pid, text AS pattern FROM benchmark UNION ALL SELECT 2 * item_id + 1, substr(text, 1, (1 + item_id * 7 % {PREFIX})::BIGINT) FROM benchmark"
+TEXT_MATCHES = f"SELECT pid, stream_id, unnest(list_filter(range(1, length(text) - length(pattern) + 2), lambda i: substr(text, i, length(pattern)) = pattern)) - 1 AS pos FROM ({TEXTS}) JOIN ({TEXT_PATTERNS}) ON pattern <> '' AND contains(text, pattern)"
 GRAMS = f"SELECT stream_id, pos, token || chr(1) || t1 AS gram FROM (SELECT stream_id, pos, token, lead(token, 1) OVER (PARTITION BY stream_id ORDER BY pos) AS t1 FROM ({EVENT_STREAM})) WHERE t1 IS NOT NULL"
 PATTERN_GRAMS = f"SELECT pid, 0 AS k, t0 || chr(1) || t1 AS gram FROM ({EVENT_PATTERNS}) UNION ALL SELECT pid, 1, t1 || chr(1) || t2 FROM ({EVENT_PATTERNS})"
+MIXED_PATTERNS = f"SELECT array_to_string(tokens, ',') AS name, tokens, row_number() OVER (ORDER BY array_to_string(tokens, ',')) AS pid FROM (SELECT DISTINCT tokens FROM (SELECT list(token ORDER BY pos) AS tokens FROM ({EVENT_STREAM}) WHERE pos >= stream_id % 5 AND pos <= stream_id % 5 + stream_id % 7 GROUP BY stream_id))"
+MIXED_MATCHES = f"SELECT pid, stream_id, i - 1 AS pos FROM (SELECT stream_id, all_tokens, unnest(range(1, len(all_tokens) + 1)) AS i FROM (SELECT stream_id, list(token ORDER BY pos) AS all_tokens FROM ({EVENT_STREAM}) GROUP BY stream_id)) JOIN ({MIXED_PATTERNS}) ON all_tokens[i:i + len(tokens) - 1] = tokens"
 MEMBERS = f"SELECT DISTINCT stream_id, pos // {BLOCK} AS block, level::BIGINT AS level, (pos % {BLOCK}) // ({BLOCK} // (1 << level)) AS interval, gram FROM ({GRAMS}), (SELECT unnest(range(0, 4))::INTEGER AS level)"
 HASH = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
 
@@ -78,8 +82,17 @@ def _texts(spark, sf_dir):
     return streams.stripped_texts(table(spark, sf_dir, "documents"))
 
 
+def _mixed_patterns(spark, sf_dir):
+    """A pattern of 1 to 7 tokens from each stream, from one of its first five places on, without repeats."""
+    place = F.col("stream_id") % 5
+    cut_out = _events(spark, sf_dir).where((F.col("pos") >= place) & (F.col("pos") <= place + F.col("stream_id") % 7)).groupBy("stream_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("tokens"))
+    return cut_out.select("tokens").distinct().select(F.row_number().over(Window.orderBy(F.array_join("tokens", ","))).cast("long").alias("pid"), "tokens")
+
+
 def _text_patterns(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").where(F.length("text") >= MINED).select(F.col("item_id").alias("pid"), F.substring("text", 1, MINED).alias("pattern"))
+    items = table(spark, sf_dir, "benchmark")
+    prefixes = items.select((2 * F.col("item_id") + 1).alias("pid"), F.expr(f"substring(text, 1, int(1 + item_id * 7 % {PREFIX}))").alias("pattern"))
+    return items.select((2 * F.col("item_id")).alias("pid"), F.col("text").alias("pattern")).unionByName(prefixes)
 
 
 def _grams(spark, sf_dir):
@@ -220,7 +233,7 @@ def dyadic_interval(spark, sf_dir):
 
 @query(TEXT_MATCHES)
 def find_all_chars(spark, sf_dir):
-    return match.find_all(_texts(spark, sf_dir), _text_patterns(spark, sf_dir), MINED)
+    return match.find_all(_texts(spark, sf_dir), _text_patterns(spark, sf_dir))
 
 
 @query(TEXT_MATCHES)
@@ -233,7 +246,7 @@ def workload_counts(spark, sf_dir):
     return find_all_chars(spark, sf_dir).groupBy("pid").agg(F.count("*").alias("n"), F.countDistinct("stream_id").alias("n_streams"))
 
 
-@query(f"SELECT pid, stream_id, ((length(text) - length(replace(text, pattern, ''))) // length(pattern))::BIGINT AS n FROM ({TEXTS}) JOIN ({TEXT_PATTERNS}) ON contains(text, pattern)")
+@query(f"SELECT pid, stream_id, ((length(text) - length(replace(text, pattern, ''))) // length(pattern))::BIGINT AS n FROM ({TEXTS}) JOIN ({TEXT_PATTERNS}) ON pattern <> '' AND contains(text, pattern)")
 def find_nonoverlapping(spark, sf_dir):
     return match.count_apart(_texts(spark, sf_dir), _text_patterns(spark, sf_dir))
 
@@ -243,10 +256,10 @@ def pattern_exists(spark, sf_dir):
     return _text_patterns(spark, sf_dir).join(find_all_chars(spark, sf_dir), "pid", "left_semi").select("pid")
 
 
-@query(f"SELECT pid FROM (SELECT item_id AS pid, substr(text, 1, {MINED - 1}) || '■' AS pattern FROM benchmark WHERE length(text) >= {MINED}) p WHERE NOT EXISTS (SELECT 1 FROM ({TEXTS}) WHERE contains(text, pattern))")
+@query(f"SELECT pid FROM (SELECT pid, pattern || '■' AS pattern FROM ({TEXT_PATTERNS})) p WHERE NOT EXISTS (SELECT 1 FROM ({TEXTS}) WHERE contains(text, pattern))")
 def pattern_missing(spark, sf_dir):
-    spoilt = _text_patterns(spark, sf_dir).select("pid", F.concat(F.substring("pattern", 1, MINED - 1), F.lit("■")).alias("pattern"))
-    return spoilt.join(match.find_all(_texts(spark, sf_dir), spoilt, MINED), "pid", "left_anti").select("pid")
+    spoilt = _text_patterns(spark, sf_dir).select("pid", F.concat("pattern", F.lit("■")).alias("pattern"))
+    return spoilt.join(match.find_all(_texts(spark, sf_dir), spoilt), "pid", "left_anti").select("pid")
 
 
 @query(EVENT_MATCHES)
@@ -254,12 +267,30 @@ def find_all_tokens(spark, sf_dir):
     return _matches(spark, sf_dir)
 
 
-QUERIES["find_unbounded"], ORACLE_SQL["find_unbounded"] = find_all_tokens, EVENT_MATCHES
+@query(MIXED_MATCHES)
+def find_mixed_tokens(spark, sf_dir):
+    return match.find_tokens(_events(spark, sf_dir), _mixed_patterns(spark, sf_dir), N)
+
+
+def _preset(name):
+    def run(spark, sf_dir):
+        return presets.preset(name, BLOCK, N).report(_events(spark, sf_dir), _mixed_patterns(spark, sf_dir))
+
+    QUERIES[f"search_{name}"], ORACLE_SQL[f"search_{name}"] = run, MIXED_MATCHES
+
+
+for _name in ("bs", "cp", "cgbs", "cf"):
+    _preset(_name)
+
+
+@query(MIXED_MATCHES)
+def find_unbounded(spark, sf_dir):
+    return suffix_array.find(_events(spark, sf_dir), _suffixes(spark, sf_dir), _mixed_patterns(spark, sf_dir))
 
 
 @query(f"SELECT m.pid, m.stream_id, m.pos FROM ({EVENT_MATCHES}) m JOIN (SELECT stream_id, count(*) AS n FROM ({EVENT_STREAM}) GROUP BY 1) l USING (stream_id) WHERE pos >= greatest(n - {WINDOW}, 0) AND pos + 3 <= n")
 def find_window_exact(spark, sf_dir):
-    return match.in_window(_matches(spark, sf_dir), match.lengths(_events(spark, sf_dir)), _event_patterns(spark, sf_dir), match.first_kept_exact(F.col("n"), WINDOW))
+    return match.find_tokens(match.last_tokens(_events(spark, sf_dir), match.first_kept_exact(F.col("n"), WINDOW)), _event_patterns(spark, sf_dir), N)
 
 
 RETAINED = f"SELECT stream_id, n, greatest(CASE WHEN n - ((n - 1) // {BLOCK}) * {BLOCK} >= {WINDOW % BLOCK} + 2 THEN (n - 1) // {BLOCK} - {WINDOW // BLOCK} + 1 ELSE (n - 1) // {BLOCK} - {WINDOW // BLOCK} END, 0) * {BLOCK} AS kept FROM (SELECT stream_id, count(*) AS n FROM ({EVENT_STREAM}) GROUP BY 1)"
@@ -267,7 +298,7 @@ RETAINED = f"SELECT stream_id, n, greatest(CASE WHEN n - ((n - 1) // {BLOCK}) *
 
 @query(f"SELECT m.pid, m.stream_id, m.pos FROM ({EVENT_MATCHES}) m JOIN ({RETAINED}) l USING (stream_id) WHERE pos >= kept AND pos + 3 <= n")
 def retained_block_window(spark, sf_dir):
-    return match.in_window(_matches(spark, sf_dir), match.lengths(_events(spark, sf_dir)), _event_patterns(spark, sf_dir), match.first_kept_block(F.col("n"), WINDOW, BLOCK))
+    return match.find_tokens(match.last_tokens(_events(spark, sf_dir), match.first_kept_block(F.col("n"), WINDOW, BLOCK)), _event_patterns(spark, sf_dir), N)
 
 
 @query(f"SELECT pid, stream_id, pos FROM ({EVENT_MATCHES}) WHERE pos // {BLOCK} < (pos + 2) // {BLOCK}")
@@ -324,24 +355,36 @@ def interval_members(spark, sf_dir):
     return _members(spark, sf_dir)
 
 
-@query(f"SELECT DISTINCT pid, stream_id, block, interval FROM ({MEMBERS}) JOIN ({PATTERN_GRAMS}) USING (gram) WHERE level = 2 AND k = 0")
+AT = f"SELECT p.pid, p.k, m.stream_id, m.block, m.level, m.interval FROM ({MEMBERS}) m JOIN ({PATTERN_GRAMS}) p USING (gram)"
+RANGES = f"SELECT a.pid, a.stream_id, CASE WHEN b.pid IS NULL THEN a.block * {BLOCK} + a.interval * 4 + 3 ELSE a.block * {BLOCK} + a.interval * 4 END AS lo, a.block * {BLOCK} + a.interval * 4 + 3 AS hi FROM (SELECT * FROM ({AT}) WHERE level = 2 AND k = 0) a LEFT JOIN (SELECT * FROM ({AT}) WHERE level = 2 AND k = 1) b ON a.pid = b.pid AND a.stream_id = b.stream_id AND a.block = b.block AND a.interval = b.interval"
+
+
+def _ranges(spark, sf_dir, plan):
+    return hierarchy.candidates(_members(spark, sf_dir), hierarchy.with_levels(_asked(spark, sf_dir), plan), BLOCK, N)
+
+
+@query(RANGES)
 def block_candidates(spark, sf_dir):
-    return hierarchy.candidates(_members(spark, sf_dir), _asked(spark, sf_dir), 2)
+    return _ranges(spark, sf_dir, levels.Fixed(2).levels(_asked(spark, sf_dir)))[0]
 
 
-@query(f"SELECT pid, stream_id, block, interval FROM (SELECT p.pid, m.stream_id, m.block, m.interval, count(*) AS met FROM ({MEMBERS}) m JOIN (SELECT DISTINCT pid, gram FROM ({PATTERN_GRAMS})) p USING (gram) WHERE level = 1 GROUP BY 1, 2, 3, 4) JOIN (SELECT pid, count(DISTINCT gram) AS needed FROM ({PATTERN_GRAMS}) GROUP BY pid) USING (pid) WHERE met = needed")
+@query(RANGES)
 def block_candidates_cgbs(spark, sf_dir):
-    return hierarchy.full_candidates(_members(spark, sf_dir), _asked(spark, sf_dir), 1)
+    # the second gram is probed from level 2 on only, where the first level's intervals have been halved
+    return _ranges(spark, sf_dir, _asked(spark, sf_dir).select("pid", "k", (F.col("k") + 1).alias("level")))[0]
 
 
 @query(EVENT_MATCHES)
 def verify_candidates(spark, sf_dir):
-    return hierarchy.verify(block_candidates(spark, sf_dir), _matches(spark, sf_dir), BLOCK, BLOCK >> 2)
+    return hierarchy.verify(_events(spark, sf_dir), _event_patterns(spark, sf_dir), block_candidates(spark, sf_dir))
 
 
-@query(f"SELECT level::BIGINT AS level, count(*) AS hits FROM ({MEMBERS}) JOIN (SELECT DISTINCT pid, gram FROM ({PATTERN_GRAMS})) USING (gram) GROUP BY 1")
+@query(f"""WITH placed AS MATERIALIZED ({AT}), a0 AS (SELECT * FROM placed WHERE k = 0), whole AS (SELECT a.pid, a.stream_id, a.block, a.level, a.interval FROM a0 a JOIN placed b USING (pid, stream_id, block, level, interval) WHERE b.k = 1),
+nodes AS (SELECT 0 AS level, (SELECT count(*) FROM ({EVENT_PATTERNS})) * (SELECT count(*) FROM (SELECT DISTINCT stream_id, block FROM ({MEMBERS}))) AS n UNION ALL SELECT level + 1, 2 * count(*) FROM whole WHERE level < 2 GROUP BY level UNION ALL SELECT 3, 0),
+hits AS (SELECT level, count(*) AS n FROM a0 WHERE level = 0 GROUP BY level UNION ALL SELECT a.level, count(*) FROM a0 a JOIN whole w ON w.pid = a.pid AND w.stream_id = a.stream_id AND w.block = a.block AND w.level = a.level - 1 AND w.interval = a.interval // 2 WHERE a.level IN (1, 2) GROUP BY a.level)
+SELECT level::BIGINT AS level, nodes.n::BIGINT AS nodes, (nodes.n + coalesce(hits.n, 0))::BIGINT AS probes FROM nodes LEFT JOIN hits USING (level)""")
 def probe_histogram(spark, sf_dir):
-    return hierarchy.probes(_members(spark, sf_dir), _asked(spark, sf_dir))
+    return _ranges(spark, sf_dir, levels.Root().levels(_asked(spark, sf_dir)))[1]
 
 
 @query("SELECT n, p, ceil(-n * ln(p) / (ln(2) * ln(2)))::BIGINT AS m, greatest(1, round(ceil(-n * ln(p) / (ln(2) * ln(2))) / n * ln(2)))::BIGINT AS k FROM (SELECT unnest([100, 1000, 100000]) AS n), (SELECT unnest([0.01::DOUBLE, 0.15::DOUBLE]) AS p)")
@@ -550,12 +593,9 @@ LCP = f"SELECT stream_id, rank, len(list_filter(range(1, least(len(suffix), len(
 
 
 def _lcp(spark, sf_dir):
-    order = Window.partitionBy("stream_id").orderBy("pos")
-    rest = F.collect_list("token").over(order.rowsBetween(0, Window.unboundedFollowing))
-    suffixes = _events(spark, sf_dir).select("stream_id", "pos", rest.alias("suffix")).join(_suffixes(spark, sf_dir), ["stream_id", "pos"])
-    next_one = F.lead("suffix").over(Window.partitionBy("stream_id").orderBy("rank"))
-    differs = F.filter(F.transform(F.arrays_zip(F.col("suffix").alias("a"), F.coalesce("next", F.array()).alias("b")), lambda x, i: F.when(x["a"].eqNullSafe(x["b"]), F.lit(None)).otherwise(i)), lambda i: i.isNotNull())
-    return suffixes.withColumn("next", next_one).select("stream_id", "rank", F.coalesce(F.get(differs, F.lit(0)), F.size("suffix")).cast("long").alias("lcp"))
+    stream = _events(spark, sf_dir)
+    longest = stream.agg(F.max("pos")).first()[0]
+    return suffix_array.lcp(_suffixes(spark, sf_dir), suffix_array.doubled(stream, (longest or 0) + 1))
 
 
 @query(LCP)
@@ -570,5 +610,4 @@ def longest_repeat(spark, sf_dir):
 
 @query(f"SELECT pid, i AS prefix, coalesce(list_max(list_filter(range(0, i), lambda k: substr(pattern, 1, k) = substr(pattern, i - k + 1, k))), 0) AS border FROM (SELECT pid, pattern, unnest(range(1, length(pattern) + 1)) AS i FROM ({TEXT_PATTERNS}))")
 def prefix_function(spark, sf_dir):
-    borders = _text_patterns(spark, sf_dir).select("pid", F.posexplode(suffix_array.prefix_function(F.col("pattern"))).alias("i", "border"))
-    return borders.select("pid", (F.col("i") + 1).cast("long").alias("prefix"), F.col("border").cast("long").alias("border"))
+    return suffix_array.borders(_text_patterns(spark, sf_dir))

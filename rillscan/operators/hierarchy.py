@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from . import match
+
 
 def levels(block: int, least: int) -> list[tuple[int, int]]:
-    """(level, span) from the whole block down to spans of ``least`` tokens."""
+    """(level, span) from the whole block down to spans of ``least`` tokens, which are the effective leaves; least 1 keeps those below a gram's length."""
     out, span = [], block
     while span >= least and span >= 1:
         out.append((len(out), span))
@@ -22,32 +27,85 @@ def members(grams: DataFrame, block: int, least: int) -> DataFrame:
     return placed.select("stream_id", "block", F.col("s.level").cast("long").alias("level"), F.floor(F.col("at") / F.col("s.span")).alias("interval"), "gram").distinct()
 
 
-def candidates(held: DataFrame, asked: DataFrame, level: int) -> DataFrame:
-    """(pid, stream_id, block, interval): intervals of a level that hold a pattern's first gram.
+def with_levels(asked: DataFrame, plan: DataFrame) -> DataFrame:
+    """asked(pid, k, gram, m) with ``seed``, the level where a pattern's search begins, and ``least``, from which on each gram is probed.
 
-    A match may begin in the interval; the pattern's other grams may lie behind its end.
+    plan(pid, level) or plan(pid, k, level). With a level for each gram the search begins at the
+    first gram's, and a gram is skipped above its own.
     """
-    seed = asked.where("k = 0").select("pid", "gram")
-    return held.where(F.col("level") == level).join(seed, "gram").select("pid", "stream_id", "block", "interval").distinct()
+    if "k" not in plan.columns:
+        return asked.join(plan.select("pid", F.col("level").alias("seed")), "pid").withColumn("least", F.col("seed"))
+    own = plan.select("pid", "k", F.col("level").alias("least"))
+    return asked.join(own, ["pid", "k"]).join(plan.where("k = 0").select("pid", F.col("level").alias("seed")), "pid")
 
 
-def full_candidates(held: DataFrame, asked: DataFrame, level: int) -> DataFrame:
-    """(pid, stream_id, block, interval) whose filter says yes to every gram of the pattern."""
-    distinct = asked.select("pid", "gram").distinct()
-    needed = distinct.groupBy("pid").agg(F.count("*").alias("needed"))
-    met = held.where(F.col("level") == level).join(distinct, "gram").groupBy("pid", "stream_id", "block", "interval").agg(F.count("*").alias("met"))
-    return met.join(needed, "pid").where("met = needed").select("pid", "stream_id", "block", "interval")
+def step(held: DataFrame, nodes: DataFrame, asked: DataFrame, level: int) -> DataFrame:
+    """What probing a pattern's grams in order finds in nodes(pid, stream_id, block, interval) of a level.
+
+    met: leading grams that the interval holds, all of them where no probed one is missing; grams: all of the pattern.
+    A gram is probed from its ``least`` level on, the first always; after a miss the ones skipped
+    before it are probed too, so that ``met`` is exact.
+    """
+    at = held.where(F.col("level") == level).select("stream_id", "block", "interval", "gram", F.lit(1).alias("yes"))
+    probed = nodes.join(asked, "pid").join(at, ["stream_id", "block", "interval", "gram"], "left")
+    missing = F.when(F.col("yes").isNull(), F.col("k"))
+    counted = probed.groupBy("pid", "stream_id", "block", "interval").agg(F.count("*").alias("grams"), F.min(missing).alias("first"), F.min(F.when((F.col("least") <= level) | (F.col("k") == 0), missing)).alias("seen"), F.first("m").alias("m"))
+    return counted.select("pid", "stream_id", "block", "interval", "grams", "m", F.when(F.col("seen").isNull(), F.col("grams")).otherwise(F.col("first")).alias("met"))
 
 
-def probes(held: DataFrame, asked: DataFrame) -> DataFrame:
-    """(level, hits): how many probes of each level say yes."""
-    return held.join(asked.select("pid", "gram").distinct(), "gram").groupBy("level").agg(F.count("*").alias("hits"))
+def candidates(held: DataFrame, asked: DataFrame, block: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """(pid, stream_id, lo, hi): ranges of places where a match may start, and (level, nodes, probes) of the descent to them.
+
+    asked comes from ``with_levels``. An interval without a pattern's first gram is dropped. One with
+    all grams is halved while a half can hold the pattern, else it is a range. One with the first c
+    grams alone can hold starts in its last c places only: an earlier one's gram c would be inside.
+    """
+    geometry = levels(block, least)
+    firsts = asked.where("k = 0")
+    blocks_ = held.where("level = 0").select("stream_id", "block").distinct()
+    number = blocks_.agg(F.count("*").alias("blocks"))
+    ranges, visits, nodes = [], [], None
+    for level, span in geometry:
+        at = held.where(F.col("level") == level)
+        seeds = at.join(firsts.where(F.col("seed") == level).select("pid", "gram"), "gram").select("pid", "stream_id", "block", "interval")
+        begun = firsts.where(F.col("seed") == level).agg(F.count("*").alias("patterns")).crossJoin(number).select((F.col("patterns") * F.col("blocks") * (1 << level)).alias("n"))
+        if nodes is not None:
+            halves = nodes.select("pid", "stream_id", "block", F.explode(F.array(F.col("interval") * 2, F.col("interval") * 2 + 1)).alias("interval"))
+            begun = begun.unionByName(halves.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("n"))
+            seeds = seeds.unionByName(halves.join(firsts.select("pid", "gram"), "pid").join(at.drop("level"), ["stream_id", "block", "interval", "gram"], "left_semi").select("pid", "stream_id", "block", "interval"))
+        found = cut(step(held, seeds, asked, level).where("met > 0"))
+        # an interval without the first gram costs one probe; one that misses gram c costs c + 1
+        visits.append(begun.crossJoin(found.agg(F.count("*").alias("hit"), F.coalesce(F.sum(F.least(F.col("met") + 1, F.col("grams"))), F.lit(0)).alias("probes"))).select(F.lit(level).cast("long").alias("level"), F.col("n").alias("nodes"), (F.col("n") - F.col("hit") + F.col("probes")).alias("probes")))
+        halved = (F.col("met") == F.col("grams")) & (F.col("m") <= span // 2) & F.lit(level + 1 < len(geometry))
+        nodes = found.where(halved)
+        start, end = F.col("block") * block + F.col("interval") * span, F.col("block") * block + (F.col("interval") + 1) * span - 1
+        ranges.append(found.where(~halved).select("pid", "stream_id", F.when(F.col("met") == F.col("grams"), start).otherwise(F.greatest(start, end - F.col("met") + 1)).alias("lo"), end.alias("hi")))
+    return reduce(DataFrame.unionByName, ranges), reduce(DataFrame.unionByName, visits)
+
+
+def verify(stream: DataFrame, patterns: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(pid, stream_id, pos): starts in the ranges where the stream's tokens are the pattern's; no other place is compared."""
+    starts = ranges.select("pid", "stream_id", F.explode(F.sequence("lo", "hi")).alias("start")).distinct()
+    tokens = patterns.select("pid", F.size("tokens").alias("m"), F.posexplode("tokens").alias("k", "token"))
+    wanted = starts.join(tokens, "pid").select("pid", "stream_id", "start", "m", (F.col("start") + F.col("k")).alias("pos"), "token")
+    same = wanted.join(stream, ["stream_id", "pos", "token"]).groupBy("pid", "stream_id", "start").agg(F.count("*").alias("same"), F.first("m").alias("m"))
+    return same.where("same = m").select("pid", "stream_id", F.col("start").alias("pos"))
+
+
+def search(stream: DataFrame, patterns: DataFrame, plan: DataFrame, block: int, n: int) -> DataFrame:
+    """(pid, stream_id, pos) of all matches: grams that no pattern has are dropped, the rest is indexed by interval, descended and verified.
+
+    Patterns need n tokens at least. plan(pid, level) or plan(pid, k, level) says where search begins.
+    """
+    asked = match.pattern_grams(patterns, n)
+    grams = match.ngrams(stream, n).join(asked.select("gram").distinct(), "gram", "left_semi")
+    held = members(grams, block, n)
+    return verify(stream, patterns, candidates(held, with_levels(asked, plan), block, n)[0])
 
 
-def verify(found: DataFrame, matches: DataFrame, block: int, span: int) -> DataFrame:
-    """Matches whose start lies in a candidate interval."""
-    placed = matches.select("pid", "stream_id", F.floor(F.col("pos") / block).alias("block"), F.floor(F.col("pos") % block / span).alias("interval"), "pos")
-    return placed.join(found, ["pid", "stream_id", "block", "interval"], "left_semi").select("pid", "stream_id", "pos")
+def drop_levels(held: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Membership without the upper levels that dropped(stream_id, block, dropped) names; search then begins below them."""
+    return held.join(dropped, ["stream_id", "block"], "left").where(F.col("dropped").isNull() | (F.col("level") >= F.col("dropped"))).drop("dropped")
 
 
 def _places(gram, bits: int, hashes: int):
@@ -66,6 +124,5 @@ def bloom_probe(filters: DataFrame, key: str, asked: DataFrame, bits: int, hashe
     """(key, gram) pairs of asked(gram) that a filter says yes to: never a false no."""
     places = asked.select("gram", F.explode(F.array_distinct(_places(F.col("gram"), bits, hashes))).alias("p")).withColumns({"bucket": F.bitmap_bucket_number("p"), "bit": F.bitmap_bit_position("p").cast("int")})
     needed = places.groupBy("gram").agg(F.count("*").alias("needed"))
-    octet = F.conv(F.hex(F.substring(F.col("bitmap"), (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     met = places.join(filters, "bucket").where(F.expr("shiftright(conv(hex(substring(bitmap, cast(floor(bit / 8) as int) + 1, 1)), 16, 10)::int, bit % 8) & 1 = 1"))
     return met.groupBy(key, "gram").agg(F.count("*").alias("met")).join(needed, "gram").where("met = needed").select(key, "gram")

@@ -1,20 +1,29 @@
 """Exact pattern search: every start of every pattern in every stream.
 
-Characters are searched in blocks: a text is cut into overlapping blocks, a block that
-does not contain a pattern is dropped, and only the others are scanned. Token streams
-are searched by relational division: the n-grams of patterns are joined with those of
-streams, and a start counts if all of a pattern's grams agree on it. Patterns are the
-small side; Spark broadcasts them only if they are under its size limit.
+Characters are searched by one automaton over all patterns, which reads each text once
+whatever the number and the lengths of the patterns; a workload too large for one automaton
+is joined with overlapping blocks of the texts instead. Token streams are searched by
+relational division: the n-grams of patterns are joined with those of streams, and a start
+counts if all of a pattern's grams agree on it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reach
+
 #: Starts in a block of characters.
 BLOCK = 512
 SEPARATOR = "\x01"
+#: Characters of all patterns that one automaton holds.
+MOST_CHARACTERS = 1 << 22
 
 
 def blocks(texts: DataFrame, overlap: int, size: int = BLOCK) -> DataFrame:
@@ -24,8 +33,46 @@ def blocks(texts: DataFrame, overlap: int, size: int = BLOCK) -> DataFrame:
     return texts.select("stream_id", F.posexplode(parts).alias("at", "part")).select("stream_id", (F.col("at").cast("long") * size).alias("off"), F.concat("part.own", "part.next").alias("block"))
 
 
-def find_all(texts: DataFrame, patterns: DataFrame, longest: int, size: int = BLOCK) -> DataFrame:
-    """(pid, stream_id, pos) of all, overlapping matches of patterns(pid, pattern), none longer than ``longest``."""
+def find_all(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pid, stream_id, pos) of all, overlapping matches of patterns(pid, pattern); an empty pattern matches nowhere."""
+    some = patterns.where("length(pattern) > 0").select(F.col("pid").cast("long").alias("pid"), "pattern")
+    size, longest = some.agg(F.coalesce(F.sum(F.length("pattern")), F.lit(0)), F.coalesce(F.max(F.length("pattern")), F.lit(1))).first()
+    if size > MOST_CHARACTERS:
+        return find_in_blocks(texts, some, longest)
+    pids: dict[str, list[int]] = {}
+    for row in some.collect():  # at most MOST_CHARACTERS characters
+        pids.setdefault(row["pattern"], []).append(row["pid"])
+    return find_by_automaton(texts, pids)
+
+
+def find_by_automaton(texts: DataFrame, pids: dict[str, list[int]]) -> DataFrame:
+    """The same answers for patterns in memory, each with the numbers it goes by."""
+    reach(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, machine = list(pids), ahocorasick.Automaton()
+        for number, word in enumerate(words):
+            machine.add_word(word, number)
+        if words:
+            machine.make_automaton()
+        lengths = np.array([len(w) for w in words], np.int64)
+        times = np.array([len(pids[w]) for w in words], np.int64)
+        owners, firsts = np.array([i for w in words for i in pids[w]], np.int64), np.cumsum(times) - times
+        for batch in batches if words else ():
+            for stream, text in zip(batch.column("stream_id"), batch.column("text")):
+                found = np.array(list(machine.iter(text.as_py())), np.int64).reshape(-1, 2)
+                if not len(found):
+                    continue
+                pos, word = found[:, 0] - lengths[found[:, 1]] + 1, found[:, 1]
+                n = times[word]
+                nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.record_batch([pa.array(owners[np.repeat(firsts[word], n) + nth]), pa.array([stream.as_py()] * int(n.sum()), pa.int64()), pa.array(np.repeat(pos, n))], ["pid", "stream_id", "pos"])
+
+    return texts.where("text is not null").select(F.col("stream_id").cast("long").alias("stream_id"), "text").mapInArrow(run, "pid long, stream_id long, pos long")
+
+
+def find_in_blocks(texts: DataFrame, patterns: DataFrame, longest: int, size: int = BLOCK) -> DataFrame:
+    """The same answers by a join of blocks of texts with patterns, none longer than ``longest``; a block without a pattern is not scanned for it."""
     held = blocks(texts, longest - 1, size).join(patterns.where("length(pattern) > 0"), F.expr("contains(block, pattern)"))
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("block") - F.length("pattern") + 1, F.lit(1))), lambda i: (F.substring(F.col("block"), i, F.length("pattern")) == F.col("pattern")) & (i <= size))
     return held.select("pid", "stream_id", "off", F.explode(starts).alias("i")).select("pid", "stream_id", (F.col("off") + F.col("i") - 1).alias("pos"))
@@ -38,9 +85,10 @@ def find_by_scan(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def count_apart(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pid, stream_id, n): matches from the left that do not overlap."""
+    """(pid, stream_id, n): matches from the left that do not overlap. Only texts that hold a pattern are joined with it."""
     n = ((F.length("text") - F.length(F.replace("text", "pattern"))) / F.length("pattern")).cast("long")
-    return texts.join(patterns.where("length(pattern) > 0"), F.expr("contains(text, pattern)")).select("pid", "stream_id", n.alias("n"))
+    pairs = find_all(texts, patterns).select("pid", "stream_id").distinct()
+    return pairs.join(patterns, "pid").join(texts, "stream_id").select("pid", "stream_id", n.alias("n"))
 
 
 def ngrams(stream: DataFrame, n: int) -> DataFrame:
@@ -62,11 +110,21 @@ def stride(grams: DataFrame, n: int) -> DataFrame:
 
 
 def find_tokens(stream: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
-    """(pid, stream_id, pos) by relational division over n-grams; only the stride's grams are joined, which is enough."""
-    asked = stride(pattern_grams(patterns, n), n)
-    needed = asked.groupBy("pid").agg(F.count("*").alias("needed"))
-    met = ngrams(stream, n).join(asked, "gram").groupBy("pid", "stream_id", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("met"))
-    return met.join(needed, "pid").where("met = needed").select("pid", "stream_id", F.col("start").alias("pos"))
+    """(pid, stream_id, pos) by relational division over n-grams; only the stride's grams are joined, which is enough.
+
+    Patterns of fewer than n tokens are divided by single tokens.
+    """
+    sized = patterns.where(F.size("tokens") > 0)
+
+    def divide(asked: DataFrame, grams: DataFrame) -> DataFrame:
+        needed = asked.groupBy("pid").agg(F.count("*").alias("needed"))
+        met = grams.join(asked, "gram").groupBy("pid", "stream_id", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("met"))
+        return met.join(needed, "pid").where("met = needed").select("pid", "stream_id", F.col("start").alias("pos"))
+
+    long = divide(stride(pattern_grams(sized, n), n), ngrams(stream, n))
+    if n == 1 or not sized.where(F.size("tokens") < n).take(1):
+        return long
+    return long.unionByName(divide(pattern_grams(sized.where(F.size("tokens") < n), 1), ngrams(stream, 1)))
 
 
 def lengths(stream: DataFrame) -> DataFrame:
@@ -87,6 +145,12 @@ def first_kept_block(n: Column, window: int, block: int) -> Column:
     return F.when(n <= 0, 0).otherwise(F.greatest(F.when(filled >= r + 2, last - q + 1).otherwise(last - q), F.lit(0)) * block).cast("long")
 
 
+def last_tokens(stream: DataFrame, kept: Column) -> DataFrame:
+    """The tokens that a window keeps, so that a search reads no others; ``kept`` is an expression of the stream's n."""
+    ends = Window.partitionBy("stream_id")
+    return stream.withColumn("n", F.count("*").over(ends)).where(F.col("pos") >= kept).drop("n")
+
+
 def in_window(matches: DataFrame, ends: DataFrame, patterns: DataFrame, kept: Column) -> DataFrame:
     """Matches that start in the window and end in the stream; ``kept`` is an expression of the stream's n."""
     sized = patterns.select("pid", F.size("tokens").alias("m"))

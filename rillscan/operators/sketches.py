@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def _salted(name: str, row, token):
     return md5_long(F.concat_ws(":", F.lit(name), row.cast("string"), token))
 
 
+def sketch_size(epsilon: float, delta: float) -> tuple[int, int]:
+    """(width, depth): a power of two of at least 3 / epsilon ** 2 buckets, and ln(1 / delta) rows, an odd number."""
+    return 1 << max(0, math.ceil(math.log2(3 / epsilon**2))), max(1, math.ceil(math.log(1 / delta))) | 1
+
+
 def count_sketch(stream: DataFrame, width: int, depth: int) -> DataFrame:
     """(row, bucket, value): signed counts. Tokens are counted first, so a common token is one row in each sketch row."""
     counted = stream.groupBy("token").agg(F.count("*").alias("n")).select("token", "n", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("row"))

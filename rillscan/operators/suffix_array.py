@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, reach
+
+#: Patterns that are sent to every stream's search at once.
+MOST_PATTERNS = 100_000
 
 
 def suffix_array(stream: DataFrame, longest: int) -> DataFrame:
@@ -20,7 +26,75 @@ def suffix_array(stream: DataFrame, longest: int) -> DataFrame:
     return ranks
 
 
-def prefix_function(text):
-    """Of each prefix the longest proper prefix that is also its suffix (border lengths), as an array."""
-    place = F.sequence(F.lit(1), F.length(text))
-    return F.transform(place, lambda i: F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), i - 1), lambda k: F.substring(text, F.lit(1), k) == F.substring(text, i - k + 1, k))), F.lit(0)))
+def lcp(ranks: DataFrame, steps: list[tuple[int, DataFrame]]) -> DataFrame:
+    """(stream_id, rank, lcp): tokens that each suffix shares with the next in order, from the ranks of doubling.
+
+    steps(span, ranks of the first ``span`` tokens), the longest first: where both suffixes have equal ranks
+    they share ``span`` tokens more, and the comparison goes on behind them.
+    """
+    by = Window.partitionBy("stream_id").orderBy("rank")
+    pairs = ranks.select("stream_id", "rank", F.col("pos").alias("a"), F.lead("pos").over(by).alias("b")).withColumn("lcp", F.lit(0).cast("long"))
+    for span, known in steps:
+        one, two = (known.select("stream_id", (F.col("pos")).alias(f"{side}_at"), F.col("rank").alias(f"{side}_rank")) for side in "ab")
+        both = pairs.withColumns({"a_at": F.col("a") + F.col("lcp"), "b_at": F.col("b") + F.col("lcp")}).join(one, ["stream_id", "a_at"], "left").join(two, ["stream_id", "b_at"], "left")
+        pairs = both.select("stream_id", "rank", "a", "b", F.when(F.col("a_rank") == F.col("b_rank"), F.col("lcp") + span).otherwise(F.col("lcp")).alias("lcp"))
+    return pairs.select("stream_id", "rank", "lcp")
+
+
+def doubled(stream: DataFrame, longest: int) -> list[tuple[int, DataFrame]]:
+    """(span, (stream_id, pos, rank)) by the first 1, 2, 4 .. tokens, the longest first; ranks only of places with so many tokens left."""
+    by = lambda *c: Window.partitionBy("stream_id").orderBy(*c)
+    ranks = cut(stream.select("stream_id", "pos", F.dense_rank().over(by("token")).cast("long").alias("rank")))
+    steps, span = [(1, ranks)], 1
+    while 2 * span <= longest:
+        paired = ranks.withColumn("next", F.lead("rank", span).over(by("pos"))).where("next is not null")
+        ranks = cut(paired.select("stream_id", "pos", F.dense_rank().over(by("rank", "next")).cast("long").alias("rank")))
+        span *= 2
+        steps.append((span, ranks))
+    return steps[::-1]
+
+
+def find(stream: DataFrame, ranks: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pid, stream_id, pos): binary search of patterns(pid, tokens) in each stream's suffix array(stream_id, pos, rank).
+
+    The suffixes that begin with a pattern are neighbours, from the first that is not below it on. All patterns
+    are searched at once, and each round of the search halves every range by one join.
+    """
+    sized = patterns.where(F.size("tokens") > 0).select("pid", "tokens", F.size("tokens").alias("m"))
+    longest = sized.agg(F.max("m")).first()[0] or 1
+    order = Window.partitionBy("stream_id").orderBy("pos").rowsBetween(0, longest - 1)
+    heads = cut(stream.select("stream_id", "pos", F.collect_list("token").over(order).alias("head")).join(ranks, ["stream_id", "pos"]).select("stream_id", "pos", "rank", "head"))
+    ends = heads.groupBy("stream_id").agg(F.count("*").alias("n"))
+    most = ends.agg(F.max("n")).first()[0] or 0
+    # low: ranks below the pattern for sure; high: ranks from here on are not below it (first) or above it (last)
+    bounds = ends.crossJoin(F.broadcast(sized)) if sized.count() <= MOST_PATTERNS else ends.join(sized)
+    ranges = bounds.select("stream_id", "pid", "m", "tokens", F.lit(0).cast("long").alias("low"), F.col("n").alias("high"), F.lit(0).cast("long").alias("low2"), F.col("n").alias("high2"))
+    for _ in range(int(most).bit_length() + 1):
+        for low, high, goes_right in (("low", "high", F.col("part") < F.col("tokens")), ("low2", "high2", F.col("part") <= F.col("tokens"))):
+            middle = F.floor((F.col(low) + F.col(high)) / 2).cast("long")
+            probed = ranges.withColumn("rank", middle).join(heads.select("stream_id", "rank", "head"), ["stream_id", "rank"], "left").withColumn("part", F.slice("head", 1, F.col("m")))
+            open_ = F.col(low) < F.col(high)
+            right = F.coalesce(goes_right, F.lit(False))
+            moved = probed.withColumns({low: F.when(open_ & right, middle + 1).otherwise(F.col(low)), high: F.when(open_ & ~right, middle).otherwise(F.col(high))})
+            ranges = moved.select("stream_id", "pid", "m", "tokens", "low", "high", "low2", "high2")
+        ranges = cut(ranges)
+    found = ranges.where("low < low2").select("pid", "stream_id", F.explode(F.sequence(F.col("low"), F.col("low2") - 1)).alias("rank"))
+    return found.join(heads.select("stream_id", "rank", "pos"), ["stream_id", "rank"]).select("pid", "stream_id", "pos")
+
+
+def borders(patterns: DataFrame) -> DataFrame:
+    """(pid, prefix, border): of each prefix of patterns(pid, pattern) the longest proper prefix that is also its suffix, in linear time."""
+    reach(patterns.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pid, text in zip(batch.column("pid"), batch.column("pattern").to_pylist()):
+                out, k = [0] * len(text), 0
+                for i in range(1, len(text)):
+                    while k and text[i] != text[k]:
+                        k = out[k - 1]
+                    k += text[i] == text[k]
+                    out[i] = k
+                yield pa.record_batch([pa.array([pid.as_py()] * len(out), pa.int64()), pa.array(range(1, len(out) + 1), pa.int64()), pa.array(out, pa.int64())], ["pid", "prefix", "border"])
+
+    return patterns.where("pattern is not null").select(F.col("pid").cast("long").alias("pid"), "pattern").mapInArrow(run, "pid long, prefix long, border long")

@@ -1 +1 @@
-"""plans of the pattern-search engine."""
+"""Where the search of a pattern begins: plans, cost functions, and the presets that combine them."""

@@ -42,8 +42,9 @@ def test_every_search_agrees_on_edge_cases(spark):
     t = spark.createDataFrame(list(enumerate(texts)), "stream_id long, text string")
     p = spark.createDataFrame(list(enumerate(patterns)), "pid long, pattern string")
     brute = {(i, s, k) for i, x in enumerate(patterns) if x for s, y in enumerate(texts) for k in range(len(y)) if y.startswith(x, k)}
-    assert {tuple(r) for r in match.find_all(t, p, 2000, 64).collect()} == brute
+    assert {tuple(r) for r in match.find_in_blocks(t, p, 2000, 64).collect()} == brute
     assert {tuple(r) for r in match.find_by_scan(t, p).collect()} == brute
+    assert sorted(tuple(r) for r in match.find_all(t, p).collect()) == sorted(brute)
 
 
 def test_block_window_is_what_evicting_blocks_leaves(spark):
