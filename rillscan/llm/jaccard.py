@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -443,13 +444,14 @@ def keep_first(docs: DataFrame, n: int, percent: int) -> DataFrame:
     found = keep(components_of(docs, n, percent, identity=True))
     order = F.struct("doc_id", "key")
     spare = keep(found.where("n_shingles > 0").groupBy("component").agg(F.min(F.when(F.col("doc_id").isNotNull(), order)).alias("named"), F.min(order).alias("any"), F.count("*").alias("rows")).where("rows > 1").select("component", "rows", F.coalesce("named", "any").alias("first")))
-    # rows that may go are few; the others pass without a shuffle of their texts
-    groups = hot_join(found.where("n_shingles > 0"), spare, ["component"], "rows", found.count()).select("doc_id", "key", "first").distinct()
-    goes = keep(groups)
+    groups = hot_join(found.where("n_shingles > 0"), spare, ["component"], "rows", found.count())
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")))
+    # rows to drop, and repeats of a row that stays; all others pass without a shuffle of their texts
+    goes = keep(groups.groupBy("doc_id", "key", other.alias("other")).agg(F.count("*").alias("n")).where("other or n > 1").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), F.col("other").alias("_other")))
     names = docs.columns
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_key"))
-    slim = goes.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), (~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")))).alias("_other"))
-    joined = keyed.join(slim, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
-    alone = joined.where(F.col("_d").isNull() & F.col("_k").isNull())
+    flagged = Bloom(goes.select(F.col("_d").alias("doc_id"), F.col("_k").alias("key"))).flag(keyed, "_id", "_key", "_may", "_bloom")
+    joined = flagged.where("_may").join(goes, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    stay = joined.where(F.col("_other").isNull())
     leaders = joined.where("_other = false").dropDuplicates(["_id", "_key"])
-    return alone.unionByName(leaders).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return reduce(DataFrame.unionByName, [x.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)]) for x in (flagged.where("not _may"), stay, leaders)])

@@ -324,6 +324,15 @@ class Bloom:
 
         return docs.withColumn("place", F.pmod(F.xxhash64("doc_id", "key"), F.lit(BLOOM_BITS))).mapInArrow(run, "doc_id long, key long, text string")
 
+    def flag(self, docs: DataFrame, doc_id: str, key: str, name: str, taken: str) -> DataFrame:
+        """docs with a boolean column ``name``: whether a row may be in the set. All other columns stay; taken: a further free name."""
+        rows = [(bucket, bytearray(part)) for bucket, part in self.parts.items()]
+        bits = docs.sparkSession.createDataFrame(rows, f"{taken}_bucket long, {taken}_bits binary")  # BLOOM_BITS in all
+        place = f"pmod(xxhash64({doc_id}, {key}), {BLOOM_BITS}L)"
+        octet = f"conv(hex(substring({taken}_bits, int({place} % 32768 / 8) + 1, 1)), 16, 10)"
+        joined = docs.join(F.broadcast(bits), F.expr(f"bigint({place} / 32768) + 1 = {taken}_bucket"), "left")
+        return joined.withColumn(name, F.expr(f"coalesce((shiftright(int({octet}), int({place} % 8)) & 1) = 1, false)")).drop(f"{taken}_bucket", f"{taken}_bits")
+
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
