@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from ..session import keep, reach
 
 #: Documents, and distinct pre-tokens in documents, that are packed into a row together.
-DOCUMENTS_AT_ONCE, COUNTED_AT_ONCE = 50_000, 1 << 22
+DOCUMENTS_AT_ONCE, COUNTED_AT_ONCE = 50_000, 1 << 21
+#: Bits of a row's number in its task, and of a pre-token's number in its row.
+ROW_BITS, CODE_BITS = 12, 28
 
 
 def read_vocabulary(path: str) -> str:
@@ -78,16 +80,17 @@ def _frequencies(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         number = 0
 
         def packed() -> pa.RecordBatch:
-            part = pa.array([TaskContext.get().partitionId() << 32 | number], pa.int64())
+            part = pa.array([TaskContext.get().partitionId() << ROW_BITS | number], pa.int64())
             lists = [pa.array([x], pa.list_(t)) for x, t in zip((*rows, list(codes)), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))]
             # sorted within each document, so that differences are small
-            code, often, owner = np.array(which, np.int64), np.array(times, np.int64), np.repeat(np.arange(len(rows[3])), rows[3])
-            order = np.lexsort((code, owner))
-            code, often = code[order], often[order]
+            sizes = np.array(rows[3])
+            key = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(32) | np.frombuffer(which, np.uint32)
+            order = np.argsort(key)
+            code = (key[order] & np.uint64(0xFFFFFFFF)).astype(np.int64)
             steps = np.diff(code, prepend=0)
-            firsts = (np.cumsum(rows[3]) - rows[3])[np.array(rows[3]) > 0]
+            firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
             steps[firsts] = code[firsts]
-            blobs = [pa.array([x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary()) for x in (steps, often)]
+            blobs = [pa.array([x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary()) for x in (steps, np.frombuffer(times, np.uint32)[order])]
             return pa.record_batch([part, *lists, *blobs], ["part", "doc_ids", "n_bytes", "specials", "distinct", "words", "which", "times"])
 
         for batch in batches:
@@ -109,7 +112,10 @@ def _frequencies(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
 
 def _pieces(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(part, code, pieces) for words(part, code, word): each distinct pre-token goes to one task, which tokenizes it once."""
+    """(part, coded) for words(ref, word): each distinct pre-token goes to one task, which tokenizes it once.
+
+    ref: a row's part and the word's number in it; coded: that number, and the pieces in the lower 32 bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -124,9 +130,11 @@ def _pieces(words: DataFrame, vocabulary: str) -> DataFrame:
             pieces = [before] * known + [len(c) for c in tokenizer.encode_batch_fast(distinct[known:], add_special_tokens=False)]
             if distinct:
                 last, before = distinct[-1], pieces[-1]
-            yield pa.record_batch([batch.column("part"), batch.column("code"), pa.array(np.repeat(np.array(pieces, np.int32), np.diff(ends, prepend=0)), pa.int32())], ["part", "code", "pieces"])
+            ref = batch.column("ref").to_numpy()
+            coded = (ref & (1 << CODE_BITS) - 1) << 32 | np.repeat(np.array(pieces, np.int64), np.diff(ends, prepend=0))
+            yield pa.record_batch([pa.array(ref >> CODE_BITS), pa.array(coded)], ["part", "coded"])
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "part long, code int, pieces int")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "part long, coded long")
 
 
 def _sums(rows: DataFrame, limit: int) -> DataFrame:
@@ -138,7 +146,8 @@ def _sums(rows: DataFrame, limit: int) -> DataFrame:
                 ids, sizes, specials, distinct, known = (batch.column(c)[k].values for c in ("doc_ids", "n_bytes", "specials", "distinct", "known"))
                 pieces = np.zeros(len(known), np.int64)
                 if len(known):
-                    pieces[known.field("code").to_numpy()] = known.field("pieces").to_numpy()
+                    coded = known.to_numpy()
+                    pieces[coded >> 32] = coded & 0xFFFFFFFF
                 steps, times = (np.ascontiguousarray(np.frombuffer(batch.column(c)[k].as_py(), np.uint8).reshape(4, -1).T).view(np.uint32).ravel() for c in ("which", "times"))
                 number = distinct.to_numpy()
                 ends, summed = np.cumsum(number), np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
@@ -157,8 +166,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str, pattern: str, limit: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = keep(_frequencies(docs, vocabulary, pattern))
     # a word stands once in a row of documents at most, so no word has a large share of these rows
-    words = rows.select("part", F.posexplode("words").alias("code", "word"))
-    known = _pieces(words, vocabulary).groupBy("part").agg(F.collect_list(F.struct("code", "pieces")).alias("known"))
+    words = rows.select("part", F.posexplode("words").alias("code", "word")).select(F.shiftleft("part", CODE_BITS).bitwiseOR(F.col("code").cast("long")).alias("ref"), "word")
+    known = _pieces(words, vocabulary).groupBy("part").agg(F.collect_list("coded").alias("known"))
     full = rows.where(F.size("words") > 0).drop("words").join(known, "part")
     empty = rows.where(F.size("words") == 0).drop("words").withColumn("known", F.array().cast(known.schema["known"].dataType))
     return _sums(full.unionByName(empty), limit)
