@@ -38,7 +38,7 @@ from .text import chunks, flat, span_hashes, words
 from ..session import cut, keep, reach
 
 #: Groups of words, and outcomes in a group: its other words, then its common ones.
-GROUPS, WORDS = 64, 63
+GROUPS, WORDS = 32, 31
 OUTCOMES = WORDS + 1
 COMMON = GROUPS * WORDS
 #: Number of a place outside the text.
@@ -47,7 +47,7 @@ SIDES = (-2, -1, 1, 2)
 HIDDEN = 16
 #: Rounds of training; a window's place in its text decides the round that it is trained on in.
 ROUNDS = 2
-BATCH, RATE = 1024, 0.3
+BATCH, RATE = 4096, 1.2
 #: Words that one model is trained on before models are averaged.
 SHARD = 1 << 21
 #: Distinct words counted in a task before they are written out.
@@ -105,30 +105,23 @@ class Corpus:
     """Numbers of words, log-probabilities of bytes, and those of the most common words among their group's others."""
 
     def __init__(self, common: np.ndarray, octets: np.ndarray, known: np.ndarray, inside: np.ndarray):
-        self.order = np.argsort(common)
-        self.common = common[self.order]
         p = (octets + 1.0) / (octets.sum() + 256.0)
         self.octet = np.log(p)
-        order = np.argsort(known)
-        self.known, self.logs = known[order], inside[order]
-
-    def numbers(self, key: np.ndarray) -> np.ndarray:
-        """group * OUTCOMES + outcome of each word."""
+        # one table for both: common words by their outcome, known ones as others of their group
+        every = np.concatenate([common, known])
+        rank = np.arange(len(common))
+        numbers = np.concatenate([rank % GROUPS * OUTCOMES + 1 + rank // GROUPS, known % GROUPS * OUTCOMES])
+        order = np.argsort(every)
+        self.words, self.number, self.logs = every[order], numbers[order], np.concatenate([np.zeros(len(common)), inside])[order]
+
+    def look_up(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """group * OUTCOMES + outcome of each word, its log-probability among its outcome's words, and where that has to be joined."""
         other = key % GROUPS * OUTCOMES
-        if not len(self.common):
-            return other
-        at = np.minimum(np.searchsorted(self.common, key), len(self.common) - 1)
-        rank = self.order[at]
-        return np.where(self.common[at] == key, rank % GROUPS * OUTCOMES + 1 + rank // GROUPS, other)
-
-    def inside(self, key: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability of each word among its group's others, 0 where it has to be joined, and where that is."""
-        others = number % OUTCOMES == 0
-        if not len(self.known):
-            return np.zeros(len(key)), others
-        at = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
-        found = self.known[at] == key
-        return np.where(found & others, self.logs[at], 0.0), others & ~found
+        if not len(self.words):
+            return other, np.zeros(len(key)), np.ones(len(key), bool)
+        at = np.minimum(np.searchsorted(self.words, key), len(self.words) - 1)
+        found = self.words[at] == key
+        return np.where(found, self.number[at], other), np.where(found, self.logs[at], 0.0), ~found
 
     def spelled(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log-probability of each word by its bytes, among the words of a group."""
@@ -165,6 +158,9 @@ class Network:
             size = int(np.prod(shape))
             setattr(self, name, self.all[at : at + size].reshape(shape))
             at += size
+        # no exponent can reach this bound; where it is small the greatest need not be found first
+        bound = max(float(np.abs(self.group).sum(0).max() + np.abs(self.group_prior).max()), float((np.abs(self.word).sum(1) + np.abs(self.word_prior)).max()))
+        self.small = bound < 80
         #: Squared gradients so far, which slow the steps of often moved parameters.
         self.moved = np.full((len(SIDES), OUTSIDE + 1, 1), 1e-6, np.float32)
 
@@ -185,7 +181,8 @@ class Network:
         h = self.hidden(context)
         z = h @ self.group
         z += self.group_prior
-        z -= z.max(1, keepdims=True)
+        if not self.small:
+            z -= z.max(1, keepdims=True)
         out = z[np.arange(len(number)), number // OUTCOMES] - np.log(np.exp(z).sum(1))
         order, firsts, ends, groups = self._by_group(number)
         sorted_h, outcome = h[order], (number % OUTCOMES)[order]
@@ -193,7 +190,8 @@ class Network:
         for a, b, g in zip(firsts.tolist(), ends.tolist(), groups.tolist()):
             z = sorted_h[a:b] @ self.word[g]
             z += self.word_prior[g]
-            z -= z.max(1, keepdims=True)
+            if not self.small:
+                z -= z.max(1, keepdims=True)
             picked = z[np.arange(b - a), outcome[a:b]]
             inner[a:b] = picked - np.log(np.exp(z, out=z).sum(1))
         out[order] += inner
@@ -251,7 +249,7 @@ def sequences(docs: DataFrame, corpus: Corpus, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             _, _, _, where, hashes = _tokens(part)
-            number = corpus.numbers(_keys(hashes)).astype("<u2")
+            number = corpus.look_up(_keys(hashes))[0].astype("<u2")
             edges = np.searchsorted(where, np.arange(part.num_rows + 1))
             some = np.flatnonzero(np.diff(edges))
             key = part.column("key").to_numpy()[some]
@@ -354,7 +352,14 @@ def score(docs: DataFrame) -> DataFrame:
     texts = docs.select("text")
     counts = cut(count_words(texts))
     rare = counts.where("word >= 0")
-    top = rare.orderBy(F.desc("times"), "word").limit(COMMON + KNOWN).collect()
+    # only words of the least frequency class that is needed, and above, are sorted
+    level = F.floor(F.log2("times") * 16)
+    reach_, least = 0, 0
+    for r in sorted(rare.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        reach_, least = reach_ + r["n"], r["level"]
+        if reach_ >= COMMON + KNOWN:
+            break
+    top = rare.where(level >= least).orderBy(F.desc("times"), "word").limit(COMMON + KNOWN).collect()
     octets = np.zeros(256)
     for r in counts.where("word < 0").collect():
         octets[-1 - r["word"]] = r["times"]
@@ -381,8 +386,7 @@ def score(docs: DataFrame) -> DataFrame:
         for part in chunks(batches):
             data, starts, ends, where, hashes = _tokens(part)
             key = _keys(hashes)
-            number = corpus.numbers(key)
-            logs, joined = corpus.inside(key, number)
+            number, logs, joined = corpus.look_up(key)
             context = contexts(number, where)
             for a in range(0, len(number), 16384):
                 logs[a : a + 16384] += network.log_probabilities(context[:, a : a + 16384], number[a : a + 16384])

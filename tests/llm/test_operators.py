@@ -140,9 +140,10 @@ def test_pseudo_likelihood_equals_plain_sums_under_given_parameters(spark, monke
     octets = Counter(b for _, t in rows for w in re.findall(WORD, t or "") for b in w.encode())
     raw = [[w.encode() for w in re.findall(WORD, t or "")] for _, t in rows]
     key = {w: int(pseudo._keys(pseudo.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), lower=True))[0]) for w in counts}
-    ranked = sorted(counts, key=lambda w: (-counts[w], key[w]))[:4032]
-    number = {w: key[w] % 64 * 64 for w in counts} | {w: r % 64 * 64 + 1 + r // 64 for r, w in enumerate(ranked)}
-    others = {g: [w for w in set(counts) - set(ranked) if key[w] % 64 == g] for g in range(64)}
+    ranked = sorted(counts, key=lambda w: (-counts[w], key[w]))[: pseudo.COMMON]
+    G, K = pseudo.GROUPS, pseudo.OUTCOMES
+    number = {w: key[w] % G * K for w in counts} | {w: r % G * K + 1 + r // G for r, w in enumerate(ranked)}
+    others = {g: [w for w in set(counts) - set(ranked) if key[w] % G == g] for g in range(G)}
 
     def log_softmax(z):
         return z - z.max() - np.log(np.exp(z - z.max()).sum())
@@ -151,16 +152,16 @@ def test_pseudo_likelihood_equals_plain_sums_under_given_parameters(spark, monke
     for (d, _), words, cased in zip(rows, tokens, raw):
         total = 0.0
         for i, w in enumerate(words):
-            near = [number[words[i + s]] if 0 <= i + s < len(words) else 4096 for s in pseudo.SIDES]
+            near = [number[words[i + s]] if 0 <= i + s < len(words) else G * K for s in pseudo.SIDES]
             h = np.tanh(sum(own["side"][k][c] for k, c in enumerate(near)) + own["bias"])
-            g, outcome = divmod(number[w], 64)
+            g, outcome = divmod(number[w], K)
             total += log_softmax(h @ own["group"] + own["group_prior"])[g] + log_softmax(h @ own["word"][g] + own["word_prior"][g])[outcome]
             if outcome == 0:
                 size, single = sum(counts[x] for x in others[g]), sum(counts[x] == 1 for x in others[g])
                 if counts[w] > 1:
                     total += np.log(counts[w] / size)
                 else:
-                    total += np.log(single / size) + np.log(64) + sum(np.log((octets[b] + 1) / (sum(octets.values()) + 256)) for b in cased[i])
+                    total += np.log(single / size) + np.log(G) + sum(np.log((octets[b] + 1) / (sum(octets.values()) + 256)) for b in cased[i])
         wanted.setdefault(d, []).append((len(words), total))
     for r in pseudo.score(frame(spark, rows)).collect():
         assert any(r.n_words == n and abs(r.log_likelihood - x) < 1e-2 + 1e-4 * abs(x) for n, x in wanted[r.doc_id])
