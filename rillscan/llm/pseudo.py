@@ -47,7 +47,8 @@ SIDES = (-2, -1, 1, 2)
 HIDDEN = 16
 #: Rounds of training; a window's place in its text decides the round that it is trained on in.
 ROUNDS = 2
-BATCH, RATE = 4096, 1.2
+#: Windows of a step: a few steps of FIRST_BATCH, as many of twice that, and so on up to BATCH. The rate is that of the largest.
+FIRST_BATCH, EACH, BATCH, RATE = 256, 8, 4096, 1.2
 #: Words that one model is trained on before models are averaged.
 SHARD = 1 << 21
 #: Distinct words counted in a task before they are written out.
@@ -259,23 +260,25 @@ def sequences(docs: DataFrame, corpus: Corpus, shards: int) -> DataFrame:
 
 
 def _learn(network: Network, batches: Iterator[list[np.ndarray]], turn: int, rate: float) -> int:
-    """Steps on the windows of all sequences, in their order; returns how many."""
-    seen, held, waiting = 0, [], 0
+    """Steps on the windows of all sequences, in their order; returns how many windows."""
+    seen, steps, held, waiting = 0, 0, [], 0
     for texts in batches:
         number, where = np.concatenate(texts).astype(np.int64), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         at = windows(where, turn)
         held.append((contexts(number, where)[:, at], number[at]))
         waiting += len(at)
-        if waiting >= BATCH:
+        if waiting >= (size := min(BATCH, FIRST_BATCH << steps // EACH)):
             context, target = np.concatenate([c for c, _ in held], axis=1), np.concatenate([k for _, k in held])
-            rest = len(target) // BATCH * BATCH
-            for a in range(0, rest, BATCH):
-                network.step(context[:, a : a + BATCH], target[a : a + BATCH], rate)
-            seen += rest
-            held, waiting = [(context[:, rest:], target[rest:])], len(target) - rest
+            a = 0
+            while a + size <= len(target):
+                network.step(context[:, a : a + size], target[a : a + size], rate * (size / BATCH) ** 0.5)
+                a, steps = a + size, steps + 1
+                size = min(BATCH, FIRST_BATCH << steps // EACH)
+            seen += a
+            held, waiting = [(context[:, a:], target[a:])], len(target) - a
     for context, target in held:
         if len(target):
-            network.step(context, target, rate)
+            network.step(context, target, rate * (len(target) / BATCH) ** 0.5)
             seen += len(target)
     return seen
 
