@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import chunks, flat, mix, powers
@@ -292,7 +292,8 @@ def _narrow(contexts: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], [*RUN, "slice", "core1", "core2"])
 
         cores = slices.mapInArrow(run, "anchor long, content1 long, shape long, slice long, core1 long, core2 long")
-        shared = cores.withColumn("times", F.count("*").over(Window.partitionBy("anchor", "slice", "core1", "core2"))).where("times > 1").select(*RUN, "slice")
+        core = ["anchor", "slice", "core1", "core2"]
+        shared = cores.join(cores.groupBy(*core).agg(F.count("*").alias("times")).where("times > 1"), core).select(*RUN, "slice")
         if width == 1:
             found = shared
         else:
