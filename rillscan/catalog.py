@@ -1,25 +1,25 @@
 """Every registered query of the engine and its DuckDB twin.
 
-A query whose SQL both engines read alike is registered once (``both``); the others have
-a DataFrame form here and their own SQL for DuckDB.
+Each query has a DataFrame form over the library's operators and its own SQL for DuckDB.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import hashing, probability
-from .operators import hierarchy, match, sketches, suffix_array
+from .operators import hierarchy, keys, match, model, reports, sketches, suffix_array
 from .plans import costs, levels, presets
 from .sources import generators, streams
-from .session import table
+from .session import cut, table
+from .streaming import loads
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-TABLES = ["documents", "events", "lineitem", "orders", "benchmark", "conversations", "pages", "labels"]
 
 N = 2
 BLOCK = 16
@@ -54,19 +54,6 @@ def query(sql: str | None = None):
     return register
 
 
-def both(name: str, sql: str) -> None:
-    """Registers SQL that Spark and DuckDB read alike."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in TABLES:
-            if f" {t}" in sql:
-                table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(sql)
-
-    QUERIES[name] = run
-    ORACLE_SQL[name] = sql
-
-
 def _events(spark, sf_dir):
     return streams.event_tokens(table(spark, sf_dir, "events"))
 
@@ -150,7 +137,24 @@ def patterns_tokens(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pid"), F.posexplode(F.split("text", " +")).alias("k", "token")).select("pid", "token", F.col("k").cast("long").alias("k"))
 
 
-both("workload_filter", "SELECT item_id AS pid, CAST(length(text) AS BIGINT) AS m FROM benchmark WHERE length(text) >= 4 AND length(text) BETWEEN 100 AND 600")
+@query("SELECT item_id AS pid, length(text)::BIGINT AS m FROM benchmark WHERE length(text) >= 4 AND length(text) BETWEEN 100 AND 600")
+def workload_filter(spark, sf_dir):
+    return streams.workload(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pid"), F.col("text").alias("pattern")), 4, (100, 600))
+
+
+def _files(spark, sf_dir):
+    """Names of pattern files in numbered folders, as a workload's folder holds them."""
+    return table(spark, sf_dir, "documents").select(F.expr("concat('in/', doc_id % 12, '/', 5 + doc_id % 17, if(doc_id % 2 = 0, '.rare.txt', '.frequent.txt'))").alias("path")).distinct()
+
+
+@query("SELECT path, length::INTEGER AS length, kind, row_number() OVER (ORDER BY length, split_part(path, '/', 3), path) AS at FROM (SELECT DISTINCT 'in/' || (doc_id % 12) || '/' || (5 + doc_id % 17) || '.rare.txt' AS path, 5 + doc_id % 17 AS length, 'rare' AS kind FROM documents WHERE doc_id % 2 = 0 AND doc_id % 12 = 10)")
+def workload_files(spark, sf_dir):
+    return streams.workload_files(_files(spark, sf_dir).where("path like 'in/10/%'"), "rare")
+
+
+@query("SELECT (doc_id % 12)::VARCHAR AS dataset, min('in/' || (doc_id % 12) || '/' || (5 + doc_id % 17) || CASE WHEN doc_id % 2 = 0 THEN '.rare.txt' ELSE '.frequent.txt' END) AS path, row_number() OVER (ORDER BY doc_id % 12) AS at FROM documents GROUP BY doc_id % 12")
+def dataset_discovery(spark, sf_dir):
+    return streams.datasets(_files(spark, sf_dir))
 
 
 @query(f"SELECT i AS pos, chr((97 + floor(('0x' || substr(md5('7:' || i), 1, 12))::BIGINT / 281474976710656.0 * 26))::INTEGER) AS token FROM (SELECT unnest(range(0, 5000)) AS i)")
@@ -168,14 +172,14 @@ def gen_blocks(spark, sf_dir):
     return generators.blocks(spark, 5000, 64, "ABCDEFGHIKLMNOP")
 
 
-@query()
+@query(f"SELECT i AS pos, substr('{generators.de_bruijn_cycle('0123', 6)}', (i % 4096 + 1)::BIGINT, 1) AS token FROM (SELECT unnest(range(0, 8192)) AS i)")
 def gen_debruijn(spark, sf_dir):
     return generators.de_bruijn(spark, 8192, "0123", 6)
 
 
 @query()
 def gen_markov(spark, sf_dir):
-    return generators.markov(spark, 8, 512, 40)
+    return generators.markov(spark, 64, 2000, generators.transition_matrix(12, 2, seed=5), seed=5)
 
 
 # ---------------------------------------------------------------- grams and keys
@@ -212,14 +216,34 @@ def hash_width(spark, sf_dir):
     return spark.createDataFrame([(10,), (1000,), (100000,), (1000000,)], "n int").select("n", hashing.bits_for(n, F.lit(0.0001)).alias("bits"), F.round(hashing.collision_chance(n, F.lit(40)), 9).alias("chance"))
 
 
-both("dictionary_encode", "SELECT token, CAST(dense_rank() OVER (ORDER BY first_at) AS BIGINT) AS id FROM (SELECT event_type AS token, min(event_id) AS first_at FROM events GROUP BY event_type) t")
-both("rank_transform", "SELECT user_id, event_type, CAST(dense_rank() OVER (PARTITION BY event_type ORDER BY n) AS BIGINT) AS r FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type) t")
-both("alphabet_product", "SELECT a.t AS t0, b.t AS t1, CAST(row_number() OVER (ORDER BY a.t, b.t) - 1 AS BIGINT) AS id FROM (SELECT DISTINCT event_type AS t FROM events) a JOIN (SELECT DISTINCT event_type AS t FROM events) b ON 1 = 1")
+@query("SELECT token, row_number() OVER (ORDER BY first_at, token) AS id FROM (SELECT event_type AS token, min(event_id) AS first_at FROM events GROUP BY event_type)")
+def dictionary_encode(spark, sf_dir):
+    return keys.first_seen(table(spark, sf_dir, "events"), "event_type", "event_id")
+
 
+@query("SELECT user_id, event_type, dense_rank() OVER (PARTITION BY event_type ORDER BY n) AS r FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type)")
+def rank_transform(spark, sf_dir):
+    counted = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return keys.dense_ranks(counted, "event_type", "n").select("user_id", "event_type", "r")
 
-@query("SELECT event_id, ((user_id % 1024) << 20 | (event_id % 1048576))::BIGINT AS packed FROM events")
+
+@query("SELECT a.t AS t0, b.t AS t1, row_number() OVER (ORDER BY a.t, b.t) - 1 AS id FROM (SELECT DISTINCT event_type AS t FROM events) a, (SELECT DISTINCT event_type AS t FROM events) b")
+def alphabet_product(spark, sf_dir):
+    return keys.product(table(spark, sf_dir, "events").select(F.col("event_type").alias("token")))
+
+
+@query("SELECT event_id, (user_id << 40 | event_id)::BIGINT AS packed, user_id AS first, event_id AS second FROM events")
 def key_pack(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.shiftleft(F.col("user_id") % 1024, 20).bitwiseOR(F.col("event_id") % 1048576).alias("packed"))
+    packed = table(spark, sf_dir, "events").select("event_id", keys.pack([F.col("user_id"), F.col("event_id")], [23, 40]).alias("packed"))
+    first, second = keys.unpack(F.col("packed"), [23, 40])
+    return packed.select("event_id", "packed", first.alias("first"), second.alias("second"))
+
+
+@query(f"SELECT token, row, (((('0x' || substr(md5('a:7:' || row), 1, 15))::BIGINT % 2147483646 + 1)::HUGEINT * (('0x' || substr(md5(token), 1, 15))::BIGINT % 2147483647) + ('0x' || substr(md5('b:7:' || row), 1, 15))::BIGINT % 2147483646 + 1) % 2147483647 % 1000)::BIGINT AS bucket, (('0x' || substr(md5(token), 1, 15))::BIGINT >> 28)::BIGINT AS short FROM (SELECT DISTINCT event_type AS token FROM events), (SELECT unnest(range(0, 4)) AS row)")
+def universal_hash(spark, sf_dir):
+    tokens = table(spark, sf_dir, "events").select(F.col("event_type").alias("token")).distinct()
+    each = F.array(*[F.struct(F.lit(r).cast("long").alias("row"), keys.universal(F.col("token"), r, 1000, seed=7).alias("bucket")) for r in range(4)])
+    return tokens.select("token", keys.hashed(F.col("token"), 32).alias("short"), F.explode(each).alias("h")).select("token", "h.row", "h.bucket", "short")
 
 
 @query("SELECT user_id, level, user_id >> (20 - level) AS interval FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest([4, 8, 12, 16]) AS level)")
@@ -327,15 +351,15 @@ def tumbling_query_loads(spark, sf_dir):
     return found.join(loads, ["stream_id", "load"]).groupBy("stream_id", "load").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT pid, stream_id, pos, (pos + 2) // {BLOCK // 2} AS flush FROM ({EVENT_MATCHES})")
+@query(f"SELECT m.pid, m.stream_id, m.pos, CASE WHEN len(p.tokens) <= {BLOCK // 4} THEN m.pos + len(p.tokens) ELSE ceil((m.pos + len(p.tokens)) / {BLOCK / 2})::BIGINT * {BLOCK // 2} END::BIGINT AS known_at FROM ({MIXED_MATCHES}) m JOIN ({MIXED_PATTERNS}) p USING (pid)")
 def find_delayed_batches(spark, sf_dir):
-    return _matches(spark, sf_dir).withColumn("flush", F.floor((F.col("pos") + 2) / (BLOCK // 2)))
+    return loads.delayed(find_mixed_tokens(spark, sf_dir), _mixed_patterns(spark, sf_dir), BLOCK)
 
 
-@query(f"SELECT stream_id, b AS level, 1 << b AS size FROM (SELECT stream_id, count(*) AS n FROM ({EVENT_STREAM}) GROUP BY 1), (SELECT unnest(range(0, 24))::INTEGER AS b) WHERE (n >> b) & 1 = 1")
+@query(f"SELECT stream_id, b AS level, 1::BIGINT << b AS size FROM (SELECT stream_id, count(*) AS n FROM ({EVENT_STREAM}) GROUP BY 1), (SELECT unnest(range(0, 62))::INTEGER AS b) WHERE (n >> b) & 1 = 1")
 def lsm_segments(spark, sf_dir):
-    sized = match.lengths(_events(spark, sf_dir)).select("stream_id", "n", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("level"))
-    return sized.where(F.expr("shiftright(n, level) & 1 = 1")).select("stream_id", "level", F.expr("cast(shiftleft(1, level) as int)").alias("size"))
+    sized = match.lengths(_events(spark, sf_dir)).select("stream_id", "n", F.explode(F.sequence(F.lit(0), F.lit(61))).alias("level"))
+    return sized.where(F.expr("shiftright(n, level) & 1 = 1")).select("stream_id", "level", F.expr("shiftleft(1L, level)").alias("size"))
 
 
 # ---------------------------------------------------------------- hierarchy
@@ -399,21 +423,32 @@ def bloom_memory(spark, sf_dir):
     return dyadic_levels(spark, sf_dir).select("level", (F.col("intervals") * F.least(F.lit(25).cast("long"), F.col("span"))).alias("keys"))
 
 
-@query()
+BITS = f"SELECT DISTINCT stream_id, (h % 512 + ((h // 512) % 511 + 1) * k) % 512 AS place FROM (SELECT stream_id, {HASH.format('gram')} AS h FROM ({GRAMS})), (SELECT unnest(range(0, 4)) AS k)"
+
+
+def _filters(spark, sf_dir):
+    return hierarchy.bloom_build(_grams(spark, sf_dir), "stream_id", 512, 4)
+
+
+@query(f"SELECT stream_id, 1::BIGINT AS bucket, count(*) AS ones FROM ({BITS}) GROUP BY stream_id")
 def bloom_build(spark, sf_dir):
-    return hierarchy.bloom_build(_grams(spark, sf_dir), "stream_id", 512, 4).select("stream_id", "bucket", F.bitmap_count("bitmap").alias("ones"))
+    return _filters(spark, sf_dir).select("stream_id", "bucket", F.bitmap_count("bitmap").alias("ones"))
 
 
-@query()
+@query(f"WITH bits AS MATERIALIZED ({BITS}), asked AS (SELECT DISTINCT gram, (h % 512 + ((h // 512) % 511 + 1) * k) % 512 AS place FROM (SELECT gram, {HASH.format('gram')} AS h FROM (SELECT DISTINCT gram FROM ({PATTERN_GRAMS}))), (SELECT unnest(range(0, 4)) AS k)) SELECT stream_id, gram FROM asked a JOIN bits b USING (place) GROUP BY stream_id, gram HAVING count(*) = (SELECT count(*) FROM asked x WHERE x.gram = a.gram)")
 def bloom_probe(spark, sf_dir):
-    return hierarchy.bloom_probe(hierarchy.bloom_build(_grams(spark, sf_dir), "stream_id", 512, 4), "stream_id", _asked(spark, sf_dir).select("gram").distinct(), 512, 4)
+    return hierarchy.bloom_probe(_filters(spark, sf_dir), "stream_id", _asked(spark, sf_dir).select("gram").distinct(), 512, 4)
 
 
-@query()
+@query(f"SELECT stream_id, round(pow(ones / 512.0::DOUBLE, 4), 9) AS false_positives, round(-512 / 4 * ln(1 - least(ones / 512.0::DOUBLE, 0.999)), 6) AS distinct_keys FROM (SELECT stream_id, count(*) AS ones FROM ({BITS}) GROUP BY stream_id)")
 def bloom_occupancy(spark, sf_dir):
-    ones = bloom_build(spark, sf_dir).groupBy("stream_id").agg(F.sum("ones").alias("ones"))
     share = F.col("ones") / 512
-    return ones.select("stream_id", F.pow(share, F.lit(4)).alias("false_positives"), (-512 / 4 * F.ln(1 - F.least(share, F.lit(0.999)))).alias("distinct"))
+    return bloom_build(spark, sf_dir).select("stream_id", F.round(F.pow(share, F.lit(4)), 9).alias("false_positives"), F.round(-512 / 4 * F.ln(1 - F.least(share, F.lit(0.999))), 6).alias("distinct_keys"))
+
+
+@query("SELECT level::BIGINT AS level, least(5::BIGINT * 5, 1024 >> level) AS alphabet, ((1 << level) * least(5 * 5, 1024 >> level))::BIGINT AS keys FROM (SELECT unnest(range(0, 9))::INTEGER AS level)")
+def filter_keys(spark, sf_dir):
+    return spark.createDataFrame([(l, probability.alphabet_size(5, 2, s), (1 << l) * probability.alphabet_size(5, 2, s)) for l, s in hierarchy.levels(1024, 4)], "level long, alphabet long, keys long")
 
 
 # ---------------------------------------------------------------- frequencies and sketches
@@ -473,26 +508,89 @@ def count_sketch_estimate(spark, sf_dir):
     return sketches.sketch_estimates(sketches.count_sketch(stream, 64, 5), stream.select("token").distinct(), 64, 5)
 
 
-@query(f"WITH c AS ({WORD_COUNTS}), s AS (SELECT n FROM ({SAMPLE}) JOIN c USING (token)) SELECT (SELECT count(*) FROM s) AS sampled, (SELECT quantile_disc(n, 0.9) FROM s) AS estimate, (SELECT quantile_disc(n, 0.9) FROM c) AS truth, round(sqrt(ln(2 / 0.05) / (2 * (SELECT count(*) FROM s))), 9) AS band")
+TRIALS = f"""WITH c AS MATERIALIZED ({WORD_COUNTS}), t AS (SELECT unnest(range(0, 4)) AS trial),
+s AS (SELECT trial, arg_min(n, (priority, token)) AS n FROM (SELECT trial, token, n, {HASH.format("'b' || trial || ':' || token")} % 512 AS bucket, {HASH.format("'p' || trial || ':' || token")} AS priority FROM c, t) GROUP BY trial, bucket),
+f AS (SELECT trial, count(*) AS sampled, quantile_disc(n, 0.9) AS n FROM s GROUP BY trial)
+SELECT trial, sampled, n, truth, round(abs(n - truth) / greatest(truth, 1), 9) AS value_error, round(greatest(low - 0.9, 0.9 - high, 0), 9) AS rank_error, round(sqrt(ln(2 / 0.05) / (2 * sampled)), 9) AS band, greatest(low - 0.9, 0.9 - high, 0) <= sqrt(ln(2 / 0.05) / (2 * sampled)) AS success
+FROM (SELECT *, (SELECT quantile_disc(n, 0.9) FROM c) AS truth, (SELECT count(*) FROM c WHERE c.n < f.n) / (SELECT count(*) FROM c)::DOUBLE AS low, (SELECT count(*) FROM c WHERE c.n <= f.n) / (SELECT count(*) FROM c)::DOUBLE AS high FROM f)"""
+
+
+@query(TRIALS)
 def sampling_report(spark, sf_dir):
-    counts = _words(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n"))
-    q = F.expr("percentile_disc(0.9) within group (order by n)").cast("long")
-    sampled = hops_sample(spark, sf_dir).select("token").join(counts, "token").agg(F.count("*").alias("sampled"), q.alias("estimate"))
-    return sampled.crossJoin(counts.agg(q.alias("truth"))).withColumn("band", F.round(probability.dkw_band(F.col("sampled").cast("double"), F.lit(0.05)), 9))
+    counts = cut(_words(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n")))
+    samples = [sketches.seeded_sample(counts, [], 512, str(t)).select(F.lit(t).cast("long").alias("trial"), "token") for t in range(4)]
+    sampled = reduce(DataFrame.unionByName, samples).join(counts, "token")
+    found = sketches.nearest_rank(sampled, ["trial"], "n", 0.9).join(sampled.groupBy("trial").agg(F.count("*").alias("sampled")), "trial")
+    band = probability.dkw_band(F.col("sampled").cast("double"), F.lit(0.05))
+    judged = sketches.rank_errors(found, counts, 0.9)
+    return judged.select("trial", "sampled", "n", "truth", F.round("value_error", 9).alias("value_error"), F.round("rank_error", 9).alias("rank_error"), F.round(band, 9).alias("band"), (F.col("rank_error") <= band).alias("success"))
 
 
-@query("SELECT eps, delta, ceil(ln(2 / delta) / (2 * eps * eps))::BIGINT AS needed, round(2048 * (1 - pow(1 - 1.0::DOUBLE / 2048, 1000)), 6) AS occupied FROM (SELECT unnest([0.025::DOUBLE, 0.05::DOUBLE]) AS eps), (SELECT unnest([0.05::DOUBLE, 0.01::DOUBLE]) AS delta)")
+@query(f"SELECT (sampled > 0) AS sampled, count(*) AS trials, round(avg(value_error), 6) AS mean_value_error, round(avg(CASE WHEN success THEN 1.0 ELSE 0.0 END), 6) AS success_rate FROM ({TRIALS}) GROUP BY 1")
+def sampling_summary(spark, sf_dir):
+    return reports.trials(sampling_report(spark, sf_dir).withColumn("sampled", F.col("sampled") > 0), ["sampled"], "value_error", ["success"])
+
+
+OCCUPIED = "b * (1 - pow(1 - 1.0::DOUBLE / b, {d}))"
+SPREAD = "greatest(b * (1 - pow(1 - 1.0::DOUBLE / b, {d})) * pow(1 - 1.0::DOUBLE / b, {d}) + b * (b - 1.0) * (1 - 2 * pow(1 - 1.0::DOUBLE / b, {d}) + pow(1 - 2.0::DOUBLE / b, {d}) - pow(1 - pow(1 - 1.0::DOUBLE / b, {d}), 2)), 0)"
+
+
+@query(f"WITH g AS (SELECT eps, delta, ceil(ln(2 / delta) / (2 * eps * eps))::BIGINT AS needed FROM (SELECT unnest([0.025::DOUBLE, 0.05::DOUBLE]) AS eps), (SELECT unnest([0.05::DOUBLE, 0.01::DOUBLE]) AS delta)), "
+       f"b AS (SELECT delta, b, floor(greatest({OCCUPIED.format(d=20000)} - sqrt({SPREAD.format(d=20000)} / delta), 0))::BIGINT AS at_least, {OCCUPIED.format(d=20000)} AS mean, {SPREAD.format(d=20000)} AS var FROM (SELECT unnest(range(1, 20000))::DOUBLE AS b), (SELECT unnest([0.05::DOUBLE, 0.01::DOUBLE]) AS delta)) "
+       "SELECT eps, delta, needed, min(b)::BIGINT AS buckets, round(arg_min(mean, b), 4) AS mean, round(arg_min(var, b), 3) AS variance, arg_min(at_least, b) AS at_least FROM g JOIN b USING (delta) WHERE at_least >= needed GROUP BY ALL")
 def hops_design(spark, sf_dir):
-    grid = spark.createDataFrame([(e, d) for e in (0.025, 0.05) for d in (0.05, 0.01)], "eps double, delta double")
-    return grid.select("eps", "delta", probability.draws_needed(F.col("eps"), F.col("delta")).alias("needed"), F.round(probability.occupied(F.lit(2048.0), F.lit(1000.0)), 6).alias("occupied"))
+    grid = spark.createDataFrame([(e, d) for e in (0.025, 0.05) for d in (0.05, 0.01)], "eps double, delta double").withColumn("needed", probability.draws_needed(F.col("eps"), F.col("delta")))
+    keys_ = F.lit(20000.0)
+    sized = grid.withColumn("buckets", probability.buckets_needed(keys_, F.col("needed"), F.col("delta")))
+    b = F.col("buckets").cast("double")
+    return sized.select("eps", "delta", "needed", "buckets", F.round(probability.occupied(b, keys_), 4).alias("mean"), F.round(probability.occupied_variance(b, keys_), 3).alias("variance"), probability.occupied_at_least(b, keys_, F.col("delta")).alias("at_least"))
+
+
+@query("SELECT token, n, round(estimate / total, 9) AS p FROM (SELECT token, n, sum(n) OVER () AS total, n AS estimate FROM (SELECT event_type AS token, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1))")
+def sketched_shares(spark, sf_dir):
+    # five tokens in 2048 buckets of 9 rows: the sketch has their counts
+    tokens = _events(spark, sf_dir).select(F.col("token").alias("key"))
+    counted = tokens.groupBy("key").agg(F.count("*").alias("n"))
+    return presets.Sketched(2048, 9).estimate(tokens, counted.select("key")).join(counted, "key").select(F.col("key").alias("token"), "n", F.round("p", 9).alias("p"))
 
 
 # ---------------------------------------------------------------- Markov models
 
-both("markov_unigram", "SELECT token, n, round(n / sum(n) OVER (), 9) AS p FROM (SELECT event_type AS token, CAST(count(*) AS DOUBLE) AS n FROM events GROUP BY event_type) t")
-TRANSITIONS = "SELECT before_token, token, CAST(count(*) AS DOUBLE) AS n FROM (SELECT event_type AS token, lag(event_type, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_token FROM events) l WHERE before_token IS NOT NULL GROUP BY before_token, token"
-both("markov_transitions", f"SELECT before_token, token, n, round(n / sum(n) OVER (PARTITION BY before_token), 9) AS p FROM ({TRANSITIONS}) t")
-both("markov_sequence_prob", f"SELECT user_id, round(sum(ln(coalesce(p, 0.000001))), 5) AS logp, count(*) AS n FROM (SELECT user_id, event_type AS token, lag(event_type, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before_token FROM events) s LEFT JOIN (SELECT before_token, token, n / sum(n) OVER (PARTITION BY before_token) AS p FROM ({TRANSITIONS}) t) m USING (before_token, token) WHERE before_token IS NOT NULL GROUP BY user_id")
+BACK = f"SELECT stream_id, pos, token, lag(token, 1) OVER w AS b1, lag(token, 2) OVER w AS b2 FROM ({EVENT_STREAM}) WINDOW w AS (PARTITION BY stream_id ORDER BY pos)"
+
+
+def _model(spark, sf_dir, order):
+    return model.build(_events(spark, sf_dir), order)
+
+
+@query(f"SELECT token, count(*) AS n, round(count(*) / (SELECT count(*) FROM ({EVENT_STREAM})), 9) AS p FROM ({EVENT_STREAM}) GROUP BY token")
+def markov_unigram(spark, sf_dir):
+    return _model(spark, sf_dir, 1).select("token", "n", F.round("p", 9).alias("p"))
+
+
+@query(f"SELECT b1 AS before_token, token, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY b1), 9) AS p FROM ({BACK}) WHERE b1 IS NOT NULL GROUP BY 1, 2")
+def markov_transitions(spark, sf_dir):
+    return model.first_order(_model(spark, sf_dir, 2)).withColumn("p", F.round("p", 9))
+
+
+@query(f"SELECT length, context, token, n, round(n / sum(n) OVER (PARTITION BY length, context), 9) AS p FROM (SELECT 0::BIGINT AS length, '' AS context, token, count(*) AS n FROM ({BACK}) GROUP BY token UNION ALL SELECT 1, b1, token, count(*) FROM ({BACK}) WHERE b1 IS NOT NULL GROUP BY ALL UNION ALL SELECT 2, b2 || chr(1) || b1, token, count(*) FROM ({BACK}) WHERE b2 IS NOT NULL GROUP BY ALL)")
+def markov_model(spark, sf_dir):
+    return _model(spark, sf_dir, 3).withColumn("p", F.round("p", 9))
+
+
+#: A model of the streams of even numbers meets the others, so that contexts are missing and back-off is used.
+LEARNT = f"SELECT * FROM ({BACK}) WHERE stream_id % 2 = 0 AND stream_id < 8"
+
+
+@query(f"""WITH l AS MATERIALIZED ({LEARNT}), c2 AS (SELECT b2, b1, count(*) AS n FROM l WHERE b2 IS NOT NULL GROUP BY ALL), n2 AS (SELECT b2, b1, token, count(*) AS n FROM l WHERE b2 IS NOT NULL GROUP BY ALL),
+c1 AS (SELECT b1, count(*) AS n FROM l WHERE b1 IS NOT NULL GROUP BY ALL), n1 AS (SELECT b1, token, count(*) AS n FROM l WHERE b1 IS NOT NULL GROUP BY ALL), n0 AS (SELECT token, count(*) / (SELECT count(*) FROM l) AS p FROM l GROUP BY token)
+SELECT s.stream_id AS seq_id, s.pos, s.token, round(CASE WHEN n0.p IS NULL THEN 0 WHEN c2.n IS NOT NULL THEN coalesce(n2.n, 0) / c2.n WHEN c1.n IS NOT NULL THEN coalesce(n1.n, 0) / c1.n ELSE n0.p END, 9) AS p
+FROM ({BACK}) s LEFT JOIN c2 ON c2.b2 = s.b2 AND c2.b1 = s.b1 LEFT JOIN n2 ON n2.b2 = s.b2 AND n2.b1 = s.b1 AND n2.token = s.token LEFT JOIN c1 ON c1.b1 = s.b1 LEFT JOIN n1 ON n1.b1 = s.b1 AND n1.token = s.token LEFT JOIN n0 ON n0.token = s.token""")
+def markov_sequence_prob(spark, sf_dir):
+    stream = _events(spark, sf_dir)
+    learnt = model.build(stream.where("stream_id % 2 = 0 and stream_id < 8"), 3)
+    return model.conditional(stream.withColumnRenamed("stream_id", "seq_id"), learnt, 3).withColumn("p", F.round("p", 9))
+
 
 # ---------------------------------------------------------------- pruning model
 
@@ -503,19 +601,58 @@ def _freq(spark, sf_dir):
     return sketches.frequencies(_events(spark, sf_dir)).select("token", F.col("share").alias("p"))
 
 
-@query(f"SELECT token, level::BIGINT AS level, round(1 - pow(1 - p, 1024 >> level), 6) AS h, round(1 - pow(1 - p, 1024 >> level) + 0.15 * pow(1 - p, 1024 >> level), 6) AS q FROM ({FREQ}), (SELECT unnest(range(0, 8))::INTEGER AS level)")
+@query(f"SELECT token, level::BIGINT AS level, round(h, 6) AS h, round(h + 0.15 * (1 - h), 6) AS q, round(1 - pow(1 - p, (1024 >> level) - 1), 6) AS besides, CASE WHEN level > 0 THEN round(0.15 + 0.85 * h / (0.15 + 0.85 * up), 6) END AS below, CASE WHEN level > 0 THEN round((h + 0.15 * (up - h) + 0.15 * 0.15 * (1 - up)) / (0.15 + 0.85 * up), 6) END AS child FROM (SELECT *, 1 - pow(1 - p, 1024 >> level) AS h, 1 - pow(1 - p, 1024 >> greatest(level - 1, 0)) AS up FROM ({FREQ}), (SELECT unnest(range(0, 8))::INTEGER AS level))")
 def level_probs(spark, sf_dir):
-    levels = _freq(spark, sf_dir).select("token", "p", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("level"))
-    shift = F.expr("cast(shiftright(1024, level) as double)")
-    h = 1 - F.pow(1 - F.col("p"), shift)
-    return levels.select("token", F.col("level").cast("long").alias("level"), F.round(h, 6).alias("h"), F.round(probability.said(h, 0.15), 6).alias("q"))
+    level, p = F.col("level"), F.col("p")
+    each = _freq(spark, sf_dir).select("token", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("level"))
+    h, up = probability.hit(1024, level, p), probability.hit(1024, level - 1, p)
+    child = F.get(probability.said_at_child(F.array(p), 1024, level, 0.15, 0.15), F.lit(0))
+    return each.select("token", "level", F.round(h, 6).alias("h"), F.round(probability.said(h, 0.15), 6).alias("q"), F.round(probability.hit(1024, level, p, 1), 6).alias("besides"), F.when(level > 0, F.round(probability.said_below(h, probability.said(up, 0.15), 0.15), 6)).alias("below"), F.when(level > 0, F.round(child, 6)).alias("child"))
+
+
+def _token_arrays(spark, sf_dir):
+    """(pid, keys, p): the patterns' tokens and their frequencies."""
+    tokens = _event_patterns(spark, sf_dir).select("pid", F.posexplode("tokens").alias("k", "gram")).join(_freq(spark, sf_dir).withColumnRenamed("token", "gram"), "gram")
+    return tokens.withColumns({"m": F.lit(3).cast("long"), "k": F.col("k").cast("long")}).select("pid", "k", "gram", "m", "p")
+
 
+PRICED = f"SELECT x.pid, t0, t1, t2, a.p AS p0, b.p AS p1, c.p AS p2 FROM ({EVENT_PATTERNS}) x JOIN ({FREQ}) a ON a.token = t0 JOIN ({FREQ}) b ON b.token = t1 JOIN ({FREQ}) c ON c.token = t2"
 
-@query(f"SELECT p.pid, round(1 + q0 + q0 * q1, 6) AS probes, round(q0 * q1 * q2, 6) AS yes FROM (SELECT pid, 1 - pow(1 - a.p, 16) AS q0, 1 - pow(1 - b.p, 16) AS q1, 1 - pow(1 - c.p, 16) AS q2 FROM ({EVENT_PATTERNS}) x JOIN ({FREQ}) a ON a.token = t0 JOIN ({FREQ}) b ON b.token = t1 JOIN ({FREQ}) c ON c.token = t2) p")
+
+@query(f"SELECT pid, round(1 + q0 + q0 * q1, 6) AS probes, round(q0 * q1 * q2, 6) AS yes FROM (SELECT pid, 1 - pow(1 - p0, 16) AS q0, CASE WHEN t1 = t0 THEN 1 ELSE 1 - pow(1 - p1, 16) END AS q1, CASE WHEN t2 IN (t0, t1) THEN 1 ELSE 1 - pow(1 - p2, 16) END AS q2 FROM ({PRICED}))")
 def expected_probes(spark, sf_dir):
-    tokens = _event_patterns(spark, sf_dir).select("pid", F.posexplode("tokens").alias("k", "token")).join(_freq(spark, sf_dir), "token")
-    q = tokens.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("k", (1 - F.pow(1 - F.col("p"), F.lit(16.0))).alias("q")))).alias("s")).select("pid", F.transform("s", lambda s: s["q"]).alias("q"))
-    return q.select("pid", F.round(probability.expected_probes(F.col("q")), 6).alias("probes"), F.round(probability.all_yes(F.col("q")), 6).alias("yes"))
+    order = F.array_sort(F.collect_list(F.struct("k", "gram", "p")))
+    q = _token_arrays(spark, sf_dir).groupBy("pid").agg(order.alias("s")).select("pid", F.transform("s", lambda s: s["gram"]).alias("keys"), F.transform("s", lambda s: 1 - F.pow(1 - s["p"], F.lit(16.0))).alias("q"))
+    return q.select("pid", F.round(probability.expected_probes(F.col("q"), F.col("keys")), 6).alias("probes"), F.round(probability.all_yes(F.col("q"), F.col("keys")), 6).alias("yes"))
+
+
+def _independent_sql(first: int) -> str:
+    """Expected probes of three tokens from a level on, in blocks of BLOCK tokens, filters that err at 0.15."""
+    def yes(level, i, child):
+        h, up = f"(1 - pow(1 - p{i}, {BLOCK >> level}))", f"(1 - pow(1 - p{i}, {BLOCK >> max(level - 1, 0)}))"
+        return f"(({h} + 0.15 * ({up} - {h}) + 0.0225 * (1 - {up})) / (0.15 + 0.85 * {up}))" if child else f"(0.15 + 0.85 * {h})"
+
+    def node(level, child):
+        q0 = yes(level, 0, child)
+        q1, q2 = f"(CASE WHEN t1 = t0 THEN 1 ELSE {yes(level, 1, child)} END)", f"(CASE WHEN t2 IN (t0, t1) THEN 1 ELSE {yes(level, 2, child)} END)"
+        return (f"(1 + {q0} + {q0} * {q1})", f"({q0} * {q1} * {q2})") if BLOCK >> level >= 3 else (f"(1 + {q0})", f"({q0} * {q1})")
+
+    probes, present = node(first, False)
+    nodes, total = f"{1 << first}.0", f"{1 << first} * {probes}"
+    for level in range(first, 2):  # three tokens fit intervals of four
+        nodes = f"({nodes} * 2 * {present})"
+        probes, present = node(level + 1, True)
+        total += f" + {nodes} * {probes}"
+    return total
+
+
+@query(" UNION ALL ".join(f"SELECT pid, {level}::BIGINT AS level, round({_independent_sql(level)}, 5) AS cost FROM ({PRICED})" for level in range(3)))
+def level_costs(spark, sf_dir):
+    order = F.array_sort(F.collect_list(F.struct("k", "gram", "p")))
+    arrays = _token_arrays(spark, sf_dir).groupBy("pid").agg(order.alias("s")).select("pid", F.transform("s", lambda s: s["gram"]).alias("keys"), F.transform("s", lambda s: s["p"]).alias("p"))
+    price = costs.Independent(0.15)
+    each = F.array(*[F.struct(F.lit(l).cast("long").alias("level"), price.cost(F.col("p"), F.col("keys"), BLOCK, l).alias("cost")) for l in range(3)])
+    return arrays.select("pid", F.explode(each).alias("s")).select("pid", "s.level", F.round("s.cost", 5).alias("cost"))
 
 
 PLAIN_LEVEL = "least(ceil(ln(1024 / (ln(1 - 0.99) / ln(1 - p)))), 9)"
@@ -537,39 +674,118 @@ def choose_level(spark, sf_dir):
     return levels.select("token", "level", cost.alias("cost")).groupBy("token").agg(F.min(F.struct("cost", "level")).alias("best")).select("token", F.col("best.level").cast("long").alias("level"), F.round("best.cost", 4).alias("cost"))
 
 
-BLOCK_FREQ = f"SELECT stream_id, pos // {BLOCK} AS block, token, count(*) AS n, sum(count(*)) OVER (PARTITION BY stream_id, pos // {BLOCK}) AS total FROM ({EVENT_STREAM}) GROUP BY 1, 2, 3"
+POLICY = f"""WITH t AS MATERIALIZED (SELECT stream_id, pos // {BLOCK} AS block, token, count(*) AS n FROM ({EVENT_STREAM}) GROUP BY ALL),
+s AS (SELECT stream_id, block, arg_min(n, (priority, token)) AS n FROM (SELECT *, {HASH.format("'b:' || token")} % 4 AS bucket, {HASH.format("'p:' || token")} AS priority FROM t) GROUP BY stream_id, block, bucket),
+q AS (SELECT stream_id, block, quantile_disc(n, 0.05) AS n FROM s GROUP BY stream_id, block),
+o AS (SELECT stream_id, block, CASE WHEN p >= 1 THEN 0 ELSE least(greatest(ceil(ln({BLOCK} / ((ln(1 - 0.99) - ln(1 - 0.15)) / ln(1 - p)))) + 1, 0), 4) END::BIGINT AS dropped FROM (SELECT stream_id, block, q.n / sum(t.n)::DOUBLE AS p FROM q JOIN t USING (stream_id, block) GROUP BY stream_id, block, q.n))"""
+
+
+def _policy(spark, sf_dir, predictive):
+    return hierarchy.policy_levels(match.ngrams(_events(spark, sf_dir), 1), BLOCK, 0.99, 0.15, 4, predictive=predictive)
 
 
-@query(f"SELECT stream_id, block, CASE WHEN p >= 1 THEN 0 ELSE least(greatest(ceil(ln({BLOCK} / ((ln(1 - 0.99) - ln(1 - 0.15)) / ln(1 - p)))) + 1, 0), 4) END::BIGINT AS dropped FROM (SELECT stream_id, block, min(n) / min(total)::DOUBLE AS p FROM ({BLOCK_FREQ}) GROUP BY 1, 2)")
+@query(f"{POLICY} SELECT * FROM o")
 def memory_policy_levels(spark, sf_dir):
-    counts = _events(spark, sf_dir).groupBy("stream_id", F.floor(F.col("pos") / BLOCK).alias("block"), "token").agg(F.count("*").alias("n"))
-    rare = counts.groupBy("stream_id", "block").agg((F.min("n") / F.sum("n")).alias("p"))
-    return rare.select("stream_id", "block", F.when(F.col("p") >= 1, 0).otherwise(probability.pruning_level_filtered(BLOCK, 0.99, F.least("p", F.lit(0.999999)), 0.15)).cast("long").alias("dropped"))
+    return _policy(spark, sf_dir, False)
 
 
-@query()
+@query(f"{POLICY} SELECT stream_id, block, greatest(dropped, least(coalesce(lag(dropped) OVER (PARTITION BY stream_id ORDER BY block), 0), 4))::BIGINT AS dropped FROM o")
+def memory_policy_predictive(spark, sf_dir):
+    return _policy(spark, sf_dir, True)
+
+
+@query(f"{POLICY}, m AS (SELECT DISTINCT stream_id, pos // {BLOCK} AS block, level::BIGINT AS level, (pos % {BLOCK}) // ({BLOCK} >> level) AS interval, token FROM ({EVENT_STREAM}), (SELECT unnest(range(0, 5))::INTEGER AS level)) SELECT m.level, count(*) AS keys FROM m JOIN o USING (stream_id, block) WHERE m.level >= o.dropped GROUP BY m.level")
+def levels_left(spark, sf_dir):
+    grams = match.ngrams(_events(spark, sf_dir), 1)
+    held = hierarchy.drop_levels(hierarchy.members(grams, BLOCK, 1), memory_policy_levels(spark, sf_dir))
+    return held.groupBy("level").agg(F.count("*").alias("keys"))
+
+
+@query("""WITH RECURSIVE x AS (SELECT i AS id, list_transform(range(1, 6), lambda k: 0.1 + 0.15 * (('0x' || substr(md5(i || ':' || k), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)) AS p FROM (SELECT unnest(range(0, 100)) AS i)),
+r AS (SELECT id, p, 0 AS i, 0.0::DOUBLE AS low, 1e6::DOUBLE AS high FROM x UNION ALL SELECT id, p, i + 1, CASE WHEN v < 0.99 THEN mid ELSE low END, CASE WHEN v < 0.99 THEN high ELSE mid END FROM (SELECT *, (low + high) / 2 AS mid, list_product(list_transform(p, lambda y: 1 - pow(1 - y, (low + high) / 2))) AS v FROM r WHERE i < 80))
+SELECT id, round((low + high) / 2, 6) AS b, round(list_product(list_transform(p, lambda y: 1 - pow(1 - y, (low + high) / 2))), 6) AS product FROM r WHERE i = 80""")
 def solve_b(spark, sf_dir):
     p = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: 0.1 + 0.15 * hashing.unit(F.concat_ws(":", "id", k.cast("string"))))
-    solved = spark.range(100).withColumn("p", p).withColumn("b", probability.solve_width(F.col("p"), 0.99))
+    solved = spark.range(100).withColumn("p", p).withColumn("b", costs.Bisection().solve(F.col("p"), 0.99))
     return solved.select("id", F.round("b", 6).alias("b"), F.round(F.aggregate("p", F.lit(1.0), lambda a, x: a * (1 - F.pow(1 - x, F.col("b")))), 6).alias("product"))
 
 
-@query()
+def _subsets_sql(places: int) -> str:
+    """Chances that the first one, two, three distinct of d0, d1, d2 (null where there is none) are all in so many places."""
+    power = lambda x: f"pow(greatest(1 - ({x}), 0), {places})"
+    one, two = f"1 - {power('d0')}", f"1 - {power('d0')} - {power('d1')} + {power('d0 + d1')}"
+    three = f"{two} - {power('d2')} + {power('d0 + d2')} + {power('d1 + d2')} - {power('d0 + d1 + d2')}"
+    return f"{one} AS f1, greatest({two}, 0) AS f2, greatest({three}, 0) AS f3"
+
+
+@query(f"""WITH d AS (SELECT pid, p0 AS d0, CASE WHEN t1 <> t0 THEN p1 WHEN t2 <> t0 THEN p2 END AS d1, CASE WHEN t1 <> t0 AND t2 <> t0 AND t2 <> t1 THEN p2 END AS d2, t1 = t0 AS same, t2 = t0 OR t2 = t1 AS again FROM ({PRICED})), f AS (SELECT *, {_subsets_sql(BLOCK)} FROM d)
+SELECT pid, round(CASE WHEN d1 IS NULL THEN 1 + 2 * f1 WHEN d2 IS NULL AND same THEN 1 + 2 * f1 WHEN d2 IS NULL THEN 1 + f1 + f2 ELSE 1 + f1 + f2 END, 6) AS probes, round(CASE WHEN d1 IS NULL THEN f1 WHEN d2 IS NULL THEN f2 ELSE f3 END, 6) AS present FROM f""")
 def cost_ie(spark, sf_dir):
-    freq = {r.token: r.p for r in _freq(spark, sf_dir).collect()}  # event types are few
-    rows = [(r.pid, float(probability.any_missing(16.0, [freq[t] for t in set(r.tokens)]))) for r in _event_patterns(spark, sf_dir).collect()]
-    return spark.createDataFrame(rows, "pid long, missing double")
+    order = F.array_sort(F.collect_list(F.struct("k", "gram", "p")))
+    arrays = _token_arrays(spark, sf_dir).groupBy("pid").agg(order.alias("s")).select("pid", F.transform("s", lambda s: s["gram"]).alias("keys"), F.transform("s", lambda s: s["p"]).alias("p"))
+    return arrays.select("pid", probability.probes_by_subsets(F.col("p"), F.col("keys"), F.lit(BLOCK).cast("long")).alias("s")).select("pid", F.round("s.probes", 6).alias("probes"), F.round("s.present", 6).alias("present"))
 
 
 # ---------------------------------------------------------------- statistics of runs
 
-both("stats_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(sum(l_discount) / sum(l_quantity), 9) AS ratio FROM lineitem GROUP BY l_returnflag, l_linestatus")
-both("bench_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS avg_price FROM orders GROUP BY ROLLUP(o_orderstatus, o_orderpriority)")
-both("bench_pivot", "SELECT l_linenumber, round(avg(CASE WHEN l_returnflag = 'A' THEN l_quantity END), 6) AS a_qty, round(avg(CASE WHEN l_returnflag = 'N' THEN l_quantity END), 6) AS n_qty, round(avg(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 6) AS r_qty, count(*) AS n FROM lineitem GROUP BY l_linenumber")
-both("perf_pivot", "SELECT user_id, count(CASE WHEN event_type = 'click' THEN 1 END) AS clicks, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS purchases, round(sum(value), 4) AS total FROM events GROUP BY user_id")
-both("trimmed_stats", "SELECT l_shipmode_key, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd, round(sum(a) / sum(b), 9) AS ratio FROM (SELECT l_returnflag AS l_shipmode_key, l_extendedprice / l_quantity AS x, l_extendedprice AS a, l_quantity AS b, row_number() OVER (PARTITION BY l_returnflag, l_linenumber ORDER BY l_extendedprice / l_quantity, l_orderkey) AS r, count(*) OVER (PARTITION BY l_returnflag, l_linenumber) AS c FROM lineitem) t WHERE r > 3 AND r <= c - 3 GROUP BY l_shipmode_key")
-both("cost_accuracy", "SELECT l_returnflag, count(*) AS n, round(sqrt(avg((pred - act) * (pred - act))), 6) AS rmse, round(avg(abs(pred - act) / act), 9) AS mape, round(abs(sum(pred) - sum(act)) / sum(act), 9) AS overall, round(avg(CAST(CASE WHEN pred > act THEN 1 ELSE 0 END AS DOUBLE)), 6) AS over_share FROM (SELECT l_returnflag, l_extendedprice * (1 - l_discount) AS pred, l_extendedprice * (1 - l_tax) AS act FROM lineitem) t GROUP BY l_returnflag")
-both("sampling_summary", "SELECT o_orderpriority, count(*) AS trials, round(avg(o_totalprice), 4) AS mean_value, CAST(sum(CASE WHEN o_totalprice <= 200000 THEN 1 ELSE 0 END) AS BIGINT) AS successes FROM orders GROUP BY o_orderpriority")
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(sum(l_discount) / sum(l_quantity), 9) AS ratio FROM lineitem GROUP BY ALL")
+def stats_rollup(spark, sf_dir):
+    return reports.averages(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], {"avg_qty": "l_quantity", "avg_price": "l_extendedprice"}, {"ratio": ("l_discount", "l_quantity")}).withColumn("avg_price", F.round("avg_price", 4))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS avg_price FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def bench_rollup(spark, sf_dir):
+    return reports.rolled_up(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], {"avg_price": "o_totalprice"}, 4)
+
+
+PIVOT = ", ".join(f"round(avg(CASE WHEN l_returnflag = '{k}' THEN {c} END), 6) AS {k.lower()}_{name}" for k in "ANR" for name, c in (("qty", "l_quantity"), ("price", "l_extendedprice"), ("discount", "l_discount"), ("tax", "l_tax")))
+
+
+@query(f"SELECT l_linenumber, l_linestatus, {PIVOT}, count(*) AS n FROM lineitem GROUP BY ALL")
+def bench_pivot(spark, sf_dir):
+    metrics = {"qty": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
+    return reports.wide(table(spark, sf_dir, "lineitem"), ["l_linenumber", "l_linestatus"], "l_returnflag", list("ANR"), metrics)
+
+
+@query("SELECT l_linenumber, count(*) AS runs, round(avg(q), 6) AS l_quantity, round(avg(d), 6) AS l_discount FROM (SELECT l_suppkey, l_linenumber, avg(l_quantity) AS q, avg(l_discount) AS d FROM lineitem GROUP BY ALL) GROUP BY l_linenumber")
+def run_averages(spark, sf_dir):
+    return reports.over_runs(table(spark, sf_dir, "lineitem"), "l_suppkey", ["l_linenumber"], ["l_quantity", "l_discount"])
+
+
+@query("SELECT user_id, sum(CASE WHEN event_type = 'click' THEN value END) AS clicks, sum(CASE WHEN event_type LIKE 'purch%' THEN value END) AS purchases FROM events GROUP BY user_id")
+def perf_pivot(spark, sf_dir):
+    found = reports.counters(table(spark, sf_dir, "events"), ["user_id"], "event_type", "value", {"clicks": "^click$", "purchases": "^purch"})
+    return found
+
+
+TRIM = "SELECT *, row_number() OVER (PARTITION BY f, g ORDER BY x, o, l) AS r, count(*) OVER (PARTITION BY f, g) AS c FROM (SELECT l_returnflag AS f, l_linenumber AS g, l_extendedprice / l_quantity AS x, l_extendedprice AS a, l_quantity AS b, l_orderkey AS o, l_partkey AS l, row_number() OVER (PARTITION BY l_returnflag, l_linenumber ORDER BY l_orderkey, l_partkey) AS nth FROM lineitem) WHERE nth > 8"
+STATS = f"SELECT f AS l_returnflag, g AS l_linenumber, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd, round(min(x), 6) AS least, round(quantile_disc(x, 0.5), 6) AS median, round(quantile_disc(x, 0.9), 6) AS p90, round(quantile_disc(x, 0.99), 6) AS p99, round(sum(a) / sum(b), 9) AS ratio FROM ({TRIM}) WHERE c <= 4 OR (r > 2 AND r <= c - 2) GROUP BY f, g"
+
+
+@query(STATS)
+def trimmed_stats(spark, sf_dir):
+    return reports.intervals(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"], ["l_orderkey", "l_partkey"], F.col("l_extendedprice") / F.col("l_quantity"), ("l_extendedprice", "l_quantity"), skip=8, trim=2)
+
+
+@query(f"SELECT l_returnflag, count(*) AS reps, round(avg(mean), 6) AS mean_mean, round(stddev_pop(mean), 6) AS mean_sd, round(avg(p90), 6) AS p90_mean, round(stddev_pop(p90), 6) AS p90_sd FROM ({STATS}) GROUP BY l_returnflag")
+def stats_across(spark, sf_dir):
+    return reports.across(trimmed_stats(spark, sf_dir), ["l_returnflag"], ["mean", "p90"])
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(sqrt(avg((pred - act) * (pred - act))), 6) AS rmse, round(avg(abs(pred - act) / act), 9) AS mape, round(abs(sum(pred) - sum(act)) / sum(act), 9) AS overall, round(avg(CASE WHEN pred > act THEN 1.0 ELSE 0.0 END), 6) AS over_share, round(avg(CASE WHEN pred < act THEN 1.0 ELSE 0.0 END), 6) AS under_share FROM (SELECT l_returnflag, l_extendedprice * (1 - l_discount) AS pred, l_extendedprice * (1 - l_tax) AS act FROM lineitem) GROUP BY l_returnflag")
+def cost_accuracy(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.expr("l_extendedprice * (1 - l_discount)").alias("pred"), F.expr("l_extendedprice * (1 - l_tax)").alias("act"))
+    return reports.accuracy(rows, ["l_returnflag"], "pred", "act")
+
+
+LEVELLED = "SELECT l_returnflag, l_orderkey, l_linenumber - 1 AS level, l_extendedprice * (1 - l_discount) AS pred, l_extendedprice * (1 - l_tax) AS act FROM lineitem"
+
+
+@query(f"SELECT l_returnflag, count(*) AS patterns, sum((said = best)::INTEGER)::BIGINT AS exact, sum((abs(said - best) = 1)::INTEGER)::BIGINT AS beside, sum((abs(said - best) <= 1)::INTEGER)::BIGINT AS within, round(avg(real - least), 6) AS excess, round(avg(root - real), 6) AS gain FROM (SELECT l_returnflag, l_orderkey, arg_min(level, (pred, level)) AS said, arg_min(level, (act, level)) AS best, arg_min(act, (pred, level, act)) AS real, min(act) AS least, min(CASE WHEN level = 0 THEN act END) AS root FROM ({LEVELLED}) GROUP BY ALL) GROUP BY l_returnflag")
+def level_choice_accuracy(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", (F.col("l_linenumber") - 1).alias("level"), F.expr("l_extendedprice * (1 - l_discount)").alias("pred"), F.expr("l_extendedprice * (1 - l_tax)").alias("act"))
+    return reports.level_accuracy(rows, ["l_returnflag"], "l_orderkey", "level", "pred", "act")
 
 
 # ---------------------------------------------------------------- suffix arrays

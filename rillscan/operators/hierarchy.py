@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import probability
+from ..functions.hashing import md5_long
 from ..session import cut
-from . import match
+from . import match, sketches
 
 
 def levels(block: int, least: int) -> list[tuple[int, int]]:
@@ -109,9 +111,10 @@ def drop_levels(held: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def _places(gram, bits: int, hashes: int):
-    a = F.pmod(F.xxhash64(gram), F.lit(bits))
-    b = F.pmod(F.xxhash64(gram, F.lit(1)), F.lit(bits - 1)) + 1
-    return F.array(*[F.pmod(a + b * k, F.lit(bits)) + 1 for k in range(hashes)])
+    """Places from 1 on, by two hashes out of one."""
+    h = md5_long(gram)
+    a, b = h % bits, F.floor(h / bits) % (bits - 1) + 1
+    return F.array(*[(a + b * k) % bits + 1 for k in range(hashes)])
 
 
 def bloom_build(grams: DataFrame, key: str, bits: int, hashes: int) -> DataFrame:
@@ -126,3 +129,24 @@ def bloom_probe(filters: DataFrame, key: str, asked: DataFrame, bits: int, hashe
     needed = places.groupBy("gram").agg(F.count("*").alias("needed"))
     met = places.join(filters, "bucket").where(F.expr("shiftright(conv(hex(substring(bitmap, cast(floor(bit / 8) as int) + 1, 1)), 16, 10)::int, bit % 8) & 1 = 1"))
     return met.groupBy(key, "gram").agg(F.count("*").alias("met")).join(needed, "gram").where("met = needed").select(key, "gram")
+
+
+def policy_levels(grams: DataFrame, block: int, confidence: float, beta: float, buckets: int, quantile: float = 0.05, predictive: bool = False) -> DataFrame:
+    """(stream_id, block, dropped): upper levels that each block's filters lose when it is full.
+
+    Each block has a sampler of its own, ``buckets`` distinct grams; the frequency at the quantile of
+    the sampled ones says how deep a search of rare grams begins. predictive: the next block begins
+    without the levels that the last one lost.
+    """
+    placed = grams.select("stream_id", F.floor(F.col("pos") / block).alias("block"), F.col("gram").alias("token"))
+    counts = placed.groupBy("stream_id", "block", "token").agg(F.count("*").alias("n"))
+    totals = placed.groupBy("stream_id", "block").agg(F.count("*").alias("total"))
+    sampled = sketches.seeded_sample(counts, ["stream_id", "block"], buckets, "").join(counts, ["stream_id", "block", "token"])
+    rare = sketches.nearest_rank(sampled, ["stream_id", "block"], "n", quantile).join(totals, ["stream_id", "block"])
+    p = F.col("n") / F.col("total")
+    last = block.bit_length() - 1
+    own = rare.select("stream_id", "block", F.when(p >= 1, 0).otherwise(probability.pruning_level_filtered(block, confidence, F.least(p, F.lit(0.999999)), beta)).cast("long").alias("dropped"))
+    if not predictive:
+        return own
+    before = F.least(F.coalesce(F.lag("dropped").over(Window.partitionBy("stream_id").orderBy("block")), F.lit(0)), F.lit(last))
+    return own.withColumn("dropped", F.greatest("dropped", before).cast("long"))

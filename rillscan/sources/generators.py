@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit
+from ..session import reach
 
 
 def uniform(spark: SparkSession, n: int, low: int, high: int, seed: int = 0) -> DataFrame:
@@ -51,20 +55,28 @@ def de_bruijn(spark: SparkSession, n: int, alphabet: str, order: int) -> DataFra
     return spark.range(n).select(F.col("id").alias("pos"), F.substring(F.lit(cycle), (F.col("id") % len(cycle) + 1).cast("int"), F.lit(1)).alias("token"))
 
 
-def markov(spark: SparkSession, streams: int, n: int, sigma: int, order: int = 1, base: int = 70, seed: int = 0) -> DataFrame:
-    """(stream_id, pos, token): chains of a random order-``order`` model, one for each stream.
+def transition_matrix(sigma: int, order: int = 1, seed: int = 0) -> np.ndarray:
+    """(sigma ** order, sigma): chances of the next symbol after each context, drawn from the seed."""
+    weights = np.random.default_rng([seed, sigma, order]).random((sigma**order, sigma)) ** 3
+    return weights / weights.sum(1, keepdims=True)
 
-    The chance of a symbol after a context is drawn from the context's own hash, so that
-    no table of contexts is needed; symbols follow one another inside an expression.
-    """
-    step = F.sequence(F.lit(0), F.lit(n - 1))
 
-    def grow(acc, i):
-        context = F.array_join(F.slice(F.concat(F.array_repeat(F.lit("^"), order), acc), -order, order), "") if order else F.lit("")
-        favourite = F.floor(unit(F.concat_ws(":", F.lit(f"m{seed}"), context)) * sigma)
-        u = unit(F.concat_ws(":", F.lit(f"d{seed}"), "id", i.cast("string")))
-        pick = F.when(u < 0.5, favourite).otherwise(F.floor((u - 0.5) * 2 * sigma))
-        return F.concat(acc, F.array(F.chr(base + pick)))
+def markov(spark: SparkSession, streams: int, n: int, matrix: np.ndarray, base: int = 70, seed: int = 0) -> DataFrame:
+    """(stream_id, pos, token): a chain of n symbols for each stream by a transition matrix of any order.
 
-    chain = F.aggregate(step, F.array().cast("array<string>"), grow)
-    return spark.range(streams).select(F.col("id").alias("stream_id"), F.posexplode(chain).alias("at", "token")).select("stream_id", F.col("at").cast("long").alias("pos"), "token")
+    A stream's draws follow from the seed and its number alone. The first context is 0s.
+    """
+    reach(spark)
+    rows, sigma = matrix.shape
+    upto = np.cumsum(matrix, axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stream in batch.column("id").to_pylist():
+                draws, context, out = np.random.default_rng([seed, stream]).random(n), 0, np.empty(n, np.int64)
+                for i, u in enumerate(draws):
+                    out[i] = symbol = min(int(np.searchsorted(upto[context], u, side="right")), sigma - 1)
+                    context = (context * sigma + symbol) % rows
+                yield pa.record_batch([pa.array(np.full(n, stream)), pa.array(np.arange(n)), pa.array([chr(base + x) for x in out.tolist()])], ["stream_id", "pos", "token"])
+
+    return spark.range(streams).mapInArrow(run, "stream_id long, pos long, token string")

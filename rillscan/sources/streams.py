@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,15 +42,52 @@ def first(stream: DataFrame, limit: int) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, strip: bool = False) -> DataFrame:
-    """(path, line): lines of text files, split at newlines only. strip drops blank lines and edge blanks."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line"))
+    """(path, line): lines of text files, split at newlines only, carriage returns dropped. strip drops blank lines and edge blanks."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.input_file_name().alias("path"), F.replace("value", F.lit("\r"), F.lit("")).alias("line"))
     return lines.select("path", F.trim("line").alias("line")).where("line <> ''") if strip else lines
 
 
-def workload_files(lines: DataFrame) -> DataFrame:
-    """Adds what a pattern file's name says: pattern length and kind, as in ``10.rare.txt``."""
+def read_segments(spark: SparkSession, path: str, delimiter: str = "\n") -> DataFrame:
+    """(path, token): non-empty segments of all files of a path, a carriage return at their ends removed; the last one needs no delimiter."""
+    found = spark.read.option("lineSep", delimiter).text(path).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r$", "").alias("token"))
+    return found.where("token <> ''")
+
+
+def natural(name: Column) -> list[Column]:
+    """Sort keys under which names that are numbers come by value, others by text behind them."""
+    number = F.when(name.rlike(r"^[+-]?\d{1,9}$"), name.cast("int"))
+    return [number.isNull(), number, name]
+
+
+def datasets(paths: DataFrame) -> DataFrame:
+    """(dataset, path, at): folders of the files in paths(path), numbered in natural order, with their first ``.txt`` file by name."""
+    named = paths.where(F.col("path").endswith(".txt")).select(F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("dataset"), "path")
+    first = named.groupBy("dataset").agg(F.min("path").alias("path"))
+    return first.select("dataset", "path", F.row_number().over(Window.orderBy(*natural(F.col("dataset")))).cast("long").alias("at"))
+
+
+def workload_files(paths: DataFrame, kind: str | None = None) -> DataFrame:
+    """paths(path) with what a pattern file's name says: pattern length and kind, as in ``10.rare.txt``, and its place in natural order."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    return lines.withColumns({"length": F.regexp_extract(name, r"^(\d+)\.", 1).try_cast("int"), "kind": F.regexp_extract(name, r"^\d+\.(\w+)\.txt$", 1)})
+    known = paths.withColumns({"length": F.regexp_extract(name, r"^(\d+)\.", 1).try_cast("int"), "kind": F.regexp_extract(name, r"^\d+\.(\w+)\.txt$", 1)})
+    some = known.where(F.col("kind") == kind) if kind else known
+    return some.withColumn("at", F.row_number().over(Window.orderBy(F.col("length").isNull(), "length", name)).cast("long"))
+
+
+def workload(patterns: DataFrame, least: int = 1, lengths: tuple[int, int] | None = None) -> DataFrame:
+    """(pid, m): patterns(pid, pattern) of at least ``least`` characters, and inside the lengths if given."""
+    m = F.length("pattern").cast("long")
+    kept = patterns.select("pid", m.alias("m")).where(F.col("m") >= least)
+    return kept.where(F.col("m").between(*lengths)) if lengths else kept
+
+
+def perf_counters(spark: SparkSession, path: str) -> DataFrame:
+    """(path, time, value, event) of counter files: ``time,value,unit,event,..`` or ``time,value,event``; lines without a number are left out."""
+    cells = F.split("value", ",")
+    lines = spark.read.text(path).select(F.input_file_name().alias("path"), cells.alias("c"))
+    event = F.when(F.get("c", F.lit(3)) != "", F.get("c", F.lit(3))).otherwise(F.get("c", F.lit(2)))
+    number = F.get("c", F.lit(1))
+    return lines.where(number.rlike(r"^-?[0-9]+(\.[0-9]+)?$")).select("path", F.trim(F.get("c", F.lit(0))).try_cast("double").alias("time"), number.cast("double").alias("value"), event.alias("event"))
 
 
 def csv_line(columns: list[str]):
@@ -59,6 +96,12 @@ def csv_line(columns: list[str]):
     return F.concat_ws(",", *cells)
 
 
-def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
-    """A CSV folder with a header, every field quoted."""
-    df.write.mode("append" if append else "overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "").csv(path)
+def write_csv(df: DataFrame, path: str, append: bool = False, delimiter: str = ",", quote: str = '"', quote_all: bool = True, charset: str = "UTF-8", line_end: str = "\n", header: bool = True) -> None:
+    """A CSV folder; quotes inside fields are doubled, null is an empty field. append adds to what is there, as for results of one run after another."""
+    options = {"header": header, "sep": delimiter, "quote": quote, "escape": quote, "quoteAll": quote_all, "nullValue": "", "emptyValue": quote * 2 if quote_all else "", "encoding": charset, "lineSep": line_end}
+    df.write.mode("append" if append else "overwrite").options(**options).csv(path)
+
+
+def write_lines(df: DataFrame, path: str, line: str = "line", append: bool = True) -> None:
+    """A folder of text lines, as a log of runs."""
+    df.select(F.col(line).cast("string").alias("value")).write.mode("append" if append else "overwrite").text(path)
