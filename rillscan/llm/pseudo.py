@@ -143,9 +143,10 @@ def first_parameters(times: np.ndarray) -> np.ndarray:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+    """Of each column; outcomes stand in rows, which sums over them read as whole lines."""
+    z -= z.max(0)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
+    z /= z.sum(0)
     return z
 
 
@@ -173,52 +174,52 @@ class Network:
         return np.tanh(z, out=z)
 
     def _by_group(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(number // OUTCOMES, kind="stable")
-        group = (number // OUTCOMES)[order]
+        group = (number // OUTCOMES).astype(np.uint8)
+        order = np.argsort(group, kind="stable")
+        group = group[order]
         firsts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
         return order, firsts, np.append(firsts[1:], len(group)), group[firsts]
 
-    def log_probabilities(self, context: np.ndarray, number: np.ndarray) -> np.ndarray:
-        h = self.hidden(context)
-        z = h @ self.group
-        z += self.group_prior
+    def _logs(self, z: np.ndarray, picked: np.ndarray) -> np.ndarray:
         if not self.small:
-            z -= z.max(1, keepdims=True)
-        out = z[np.arange(len(number)), number // OUTCOMES] - np.log(np.exp(z).sum(1))
+            z -= z.max(0)
+        own = z[picked, np.arange(z.shape[1])]
+        return own - np.log(np.exp(z, out=z).sum(0))
+
+    def log_probabilities(self, context: np.ndarray, number: np.ndarray) -> np.ndarray:
         order, firsts, ends, groups = self._by_group(number)
-        sorted_h, outcome = h[order], (number % OUTCOMES)[order]
-        inner = np.empty(len(number), np.float32)
+        h = np.ascontiguousarray(self.hidden(context[:, order]).T)
+        number = number[order]
+        outcome = number % OUTCOMES
+        logs = self._logs(self.group.T @ h + self.group_prior[:, None], number // OUTCOMES)
         for a, b, g in zip(firsts.tolist(), ends.tolist(), groups.tolist()):
-            z = sorted_h[a:b] @ self.word[g]
-            z += self.word_prior[g]
-            if not self.small:
-                z -= z.max(1, keepdims=True)
-            picked = z[np.arange(b - a), outcome[a:b]]
-            inner[a:b] = picked - np.log(np.exp(z, out=z).sum(1))
-        out[order] += inner
+            logs[a:b] += self._logs(self.word[g].T @ h[:, a:b] + self.word_prior[g][:, None], outcome[a:b])
+        out = np.empty_like(logs)
+        out[order] = logs
         return out
 
     def step(self, context: np.ndarray, number: np.ndarray, rate: float) -> None:
         n = len(number)
         order, firsts, ends, groups = self._by_group(number)
         context, number = context[:, order], number[order]
-        h = self.hidden(context)
-        p = _softmax(h @ self.group + self.group_prior)
-        p[np.arange(n), number // OUTCOMES] -= 1
-        back = p @ self.group.T
+        h = np.ascontiguousarray(self.hidden(context).T)
+        p = _softmax(self.group.T @ h + self.group_prior[:, None])
+        p[number // OUTCOMES, np.arange(n)] -= 1
+        back = self.group @ p
         outcome = number % OUTCOMES
         for a, b, g in zip(firsts.tolist(), ends.tolist(), groups.tolist()):
-            q = _softmax(h[a:b] @ self.word[g] + self.word_prior[g])
-            q[np.arange(b - a), outcome[a:b]] -= 1
-            back[a:b] += q @ self.word[g].T
+            q = _softmax(self.word[g].T @ h[:, a:b] + self.word_prior[g][:, None])
+            q[outcome[a:b], np.arange(b - a)] -= 1
+            back[:, a:b] += self.word[g] @ q
             # a group's own steps go by its own windows
             q *= rate / (b - a) ** 0.5 / n**0.5
-            self.word[g] -= h[a:b].T @ q
-            self.word_prior[g] -= q.sum(0)
+            self.word[g] -= h[:, a:b] @ q.T
+            self.word_prior[g] -= q.sum(1)
         back *= 1 - h * h
-        self.group -= h.T @ p * (rate / n)
-        self.group_prior -= p.sum(0) * (rate / n)
-        self.bias -= back.sum(0) * (rate / n)
+        self.group -= h @ p.T * (rate / n)
+        self.group_prior -= p.sum(1) * (rate / n)
+        self.bias -= back.sum(1) * (rate / n)
+        back = np.ascontiguousarray(back.T)
         for k in range(len(SIDES)):
             by = np.argsort(context[k], kind="stable")
             places = context[k][by]
@@ -231,7 +232,8 @@ class Network:
 
 def contexts(number: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Numbers of the neighbours of each place, by side; outside the text a number of its own."""
-    out = np.full((len(SIDES), len(number)), OUTSIDE, np.int64)
+    out = np.full((len(SIDES), len(number)), OUTSIDE, np.uint16)  # numbers of 16 bits are sorted by digits
+    number = number.astype(np.uint16)
     for k, side in enumerate(SIDES):
         a, b = (slice(-side, None), slice(None, side)) if side < 0 else (slice(None, -side), slice(side, None))
         if abs(side) < len(number):
