@@ -74,7 +74,8 @@ def pruning_level_filtered(width: int, confidence: float, p: Column, beta: float
     depth = width.bit_length() - 1
     if confidence <= beta:
         return F.lit(depth - 1).cast("long")
-    b = (F.log1p(F.lit(-confidence)) - F.log1p(F.lit(-beta))) / F.log1p(-p)
+    # a token that never occurs has no width in which it would be likely
+    b = F.try_divide(F.log1p(F.lit(-confidence)) - F.log1p(F.lit(-beta)), F.log1p(-p))
     return F.when((b > 0) & ~F.isnan(b), F.least(F.greatest(F.ceil(F.ln(width / b)) + 1, F.lit(0)), F.lit(depth))).otherwise(0).cast("long")
 
 

@@ -1,13 +1,18 @@
 import decimal
+import itertools
 import random
+import time
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rillscan import catalog
-from rillscan.operators import match
-from rillscan.sources import generators
+from rillscan.functions import probability
+from rillscan.operators import hierarchy, keys, match, suffix_array
+from rillscan.plans import presets
+from rillscan.sources import generators, streams
 from rillscan.streaming import loads
 
 DATA = "/root/testdata/sf0.001"
@@ -91,3 +96,134 @@ def test_streaming_loads_fire_every_window(spark, tmp_path):
     loads.loads_every(stream, "user_id", "event_id", 20).writeStream.format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "at")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     wanted = {(r.user_id, k, 20 * k) for r in events.groupBy("user_id").count().collect() for k in range(1, r["count"] // 20 + 1)}
     assert {tuple(r) for r in spark.table("fired").collect()} == wanted
+
+
+def brute_tokens(streams, patterns):
+    return sorted((i, s, k) for i, p in enumerate(patterns) for s, x in enumerate(streams) for k in range(len(x) - len(p) + 1) if p and x[k : k + len(p)] == p)
+
+
+def tokens_of(spark, streams):
+    return spark.createDataFrame([(s, k, t) for s, x in enumerate(streams) for k, t in enumerate(x)], "stream_id long, pos long, token string")
+
+
+@pytest.mark.parametrize("name", ["bs", "cp", "cgbs", "cf"])
+def test_presets_find_what_brute_force_finds(spark, name):
+    random.seed(3)
+    streams = [[random.choice("abc") for _ in range(random.choice([1, 5, 16, 33, 70]))] for _ in range(12)] + [["a"] * 40]
+    patterns = [list(p) for p in ("a", "ab", "aa", "abc", "aaaa", "abab", "cab" * 2, "a" * 20, "bca" * 7, "zz")]
+    asked = spark.createDataFrame(list(enumerate(patterns)), "pid long, tokens array<string>")
+    found = presets.preset(name, 16, 2).report(tokens_of(spark, streams), asked)
+    assert sorted(tuple(r) for r in found.collect()) == brute_tokens(streams, patterns)
+
+
+def test_no_match_lies_outside_the_ranges_of_any_plan(spark):
+    random.seed(4)
+    streams = [[random.choice("abcd") for _ in range(60)] for _ in range(8)]
+    patterns = [streams[i][5 * i : 5 * i + 2 + i] for i in range(7)] + [list("aa"), list("abca")]
+    stream, asked = tokens_of(spark, streams), spark.createDataFrame(list(enumerate(patterns)), "pid long, tokens array<string>")
+    grams = match.pattern_grams(asked, 2)
+    held = hierarchy.members(match.ngrams(stream, 2), 16, 2)
+    for seed in range(4):
+        plan = spark.createDataFrame([(i, k, random.randrange(4)) for i, p in enumerate(patterns) for k in range(len(p) - 1)], "pid long, k long, level long")
+        ranges, visits = hierarchy.candidates(held, hierarchy.with_levels(grams, plan), 16, 2)
+        places = {(r.pid, r.stream_id, k) for r in ranges.collect() for k in range(r.lo, r.hi + 1)}
+        assert set(brute_tokens(streams, patterns)) <= places
+        assert all(r.probes >= r.nodes or r.nodes == 0 for r in visits.collect())
+        assert sorted(tuple(r) for r in hierarchy.verify(stream, asked, ranges).collect()) == brute_tokens(streams, patterns)
+
+
+def test_suffix_array_search_on_edge_cases(spark):
+    streams = [list("abababab"), list("a"), list("zzzz")]
+    patterns = [list("ab"), list("b"), list("abababababab"), [], list("zz"), list("c")]
+    stream, asked = tokens_of(spark, streams), spark.createDataFrame(list(enumerate(patterns)), "pid long, tokens array<string>")
+    found = suffix_array.find(stream, suffix_array.suffix_array(stream, 8), asked)
+    assert sorted(tuple(r) for r in found.collect()) == brute_tokens(streams, patterns)
+
+
+def test_inclusion_and_exclusion_up_to_an_order(spark):
+    p = [0.1, 0.2, 0.05, 0.3]
+    row = spark.range(1).select(
+        *[probability.all_present(F.array(*map(F.lit, p)), F.lit(8), 0.1, o).alias(f"o{o}") for o in (1, 2, 4)],
+        probability.deepest_level(16, F.lit(3)).alias("deep"), probability.child_can_host(16, F.lit(2), F.lit(3)).alias("fits"),
+    ).first()
+    for order in (1, 2, 4):
+        wanted = sum((-0.9) ** k * sum(max(0, 1 - sum(c)) ** 8 for c in itertools.combinations(p, k)) for k in range(order + 1))
+        assert row[f"o{order}"] == pytest.approx(min(1, max(0, wanted)))
+    assert (row.deep, row.fits) == (2, False)
+
+
+def test_generated_chains_follow_their_matrix(spark):
+    matrix = generators.transition_matrix(4, 1, seed=2)
+    rows = generators.markov(spark, 20, 3000, matrix, base=97, seed=1).collect()
+    again = generators.markov(spark, 20, 3000, matrix, base=97, seed=1).repartition(3).collect()
+    assert sorted(rows) == sorted(again)
+    chains = {}
+    for r in sorted(rows):
+        chains.setdefault(r.stream_id, []).append(ord(r.token) - 97)
+    seen = np.zeros((4, 4))
+    for chain in chains.values():
+        np.add.at(seen, (chain[:-1], chain[1:]), 1)
+    wanted = seen.sum(1, keepdims=True) * matrix
+    assert (np.abs(seen - wanted) < 5 * np.sqrt(wanted * (1 - matrix)) + 2).all()
+
+
+def test_files_are_read_and_written(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_bytes(b"one\r\n\n two \nthree")
+    assert sorted(r.line for r in streams.read_lines(spark, str(tmp_path / "in")).collect()) == ["", " two ", "one", "three"]
+    assert sorted(r.line for r in streams.read_lines(spark, str(tmp_path / "in"), strip=True).collect()) == ["one", "three", "two"]
+    assert sorted(r.token for r in streams.read_segments(spark, str(tmp_path / "in"), "\n").collect()) == [" two ", "one", "three"]
+    rows = spark.createDataFrame([('x"y', None), ("a;b", "2")], "name string, value string").coalesce(1)
+    for _ in range(2):
+        streams.write_csv(rows, str(tmp_path / "csv"), append=True, delimiter=";")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "csv").glob("part-*")))
+    assert text.count('"x""y";') == 2 and text.count('"a;b";"2"') == 2 and text.count('"name";"value"') == 2
+    streams.write_lines(spark.createDataFrame([("begun",)], "line string"), str(tmp_path / "log"))
+    streams.write_lines(spark.createDataFrame([("ended",)], "line string"), str(tmp_path / "log"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "log")).collect()) == ["begun", "ended"]
+    (tmp_path / "perf.csv").write_text("1.0,250,,cycles,x\n1.0,<not counted>,,cache-misses\n2.0,7.5,instructions\n# note\n")
+    assert sorted((r.time, r.value, r.event) for r in streams.perf_counters(spark, str(tmp_path / "perf.csv")).collect()) == [(1.0, 250.0, "cycles"), (2.0, 7.5, "instructions")]
+
+
+def test_streams_answer_every_window(spark, tmp_path):
+    events = spark.read.parquet(f"{DATA}/events.parquet").select("user_id", "ts", "event_id", "event_type")
+    parts = sorted(events.collect(), key=lambda r: (r.ts, r.event_id))
+    (tmp_path / "in").mkdir()
+    for k in range(4):
+        spark.createDataFrame(parts[k * len(parts) // 4 : (k + 1) * len(parts) // 4], events.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in the order of their times
+    users = {}
+    for r in parts:
+        users.setdefault(r.user_id, []).append(r.event_type)
+    some = next(iter(users.values()))
+    patterns = [some[:1], some[2:4], some[5:10]]
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    loads.answers_every(stream, "user_id", ["ts", "event_id"], "event_type", patterns, 10).writeStream.format("memory").queryName("answers").option("checkpointLocation", str(tmp_path / "at")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    wanted = sorted((u, -(-(s + len(p)) // 10), i, s) for u, x in users.items() for i, p in enumerate(patterns) for s in range(len(x) // 10 * 10 - len(p) + 1) if x[s : s + len(p)] == p)
+    assert sorted(tuple(r) for r in spark.table("answers").collect()) == wanted
+    out = loads.search_batches(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), lambda b: b.where("event_type = 'click'"), str(tmp_path / "out"), str(tmp_path / "at2"))
+    out.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == events.where("event_type = 'click'").count()
+
+
+@pytest.mark.parametrize("mode", ["chars", "words", "segments"])
+def test_streams_of_every_reader(spark, mode):
+    docs = spark.createDataFrame([(1, "to be or\nnot to be"), (2, None), (3, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "to be"), (1, "not to be")], "pid long, text string")
+    found = sorted(tuple(r) for r in loads.run_stream(docs, asked, mode, presets.preset("cp", 8, 2)).collect())
+    assert found == {"chars": [(0, 1, 0), (0, 1, 12), (1, 1, 8)], "words": [(0, 1, 0), (0, 1, 4), (1, 1, 3)], "segments": [(1, 1, 1)]}[mode]
+
+
+def test_estimators_and_keys(spark):
+    tokens = spark.createDataFrame([(k,) for k in ["a"] * 60 + ["b"] * 30 + ["c"] * 10], "key string")
+    asked = spark.createDataFrame([("a",), ("b",), ("z",)], "key string")
+    exact = {r.key: r.p for r in presets.ExactCounts().estimate(tokens, asked).collect()}
+    declared = {r.key: r.p for r in presets.ExactCounts(200).estimate(tokens, asked).collect()}
+    sketched = {r.key: r.p for r in presets.Sketched.within(0.05, 0.01).estimate(tokens, asked).collect()}
+    assert exact == {"a": 0.6, "b": 0.3, "z": 0.0} and declared == {"a": 0.3, "b": 0.15, "z": 0.0}
+    assert sketched["a"] == pytest.approx(0.6, abs=0.05) and 0 <= sketched["z"] < 0.05
+    assert [r.p for r in spark.range(1).select(keys.pack([F.lit(5), F.lit(9)], [3, 3]).alias("p")).collect()] == [None]
+    with pytest.raises(ValueError):
+        keys.interval_bits(16, 5)
+    with pytest.raises(ValueError):
+        keys.pack([F.lit(1)] * 2, [40, 40])
