@@ -290,8 +290,9 @@ def _entries(survey: DataFrame, own: DataFrame, percent: int) -> DataFrame:
 def verify(docs: DataFrame, holders: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """(a, b, overlap, size_a, size_b) of the pairs(a, b) of sets. holders(id, doc_id, key): a document of each set."""
     # b leads a group, split by a's hash so that no group is large; a set says in which groups it is compared
-    per = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    parts = pairs.join(per, "b").select("a", "b", F.pmod(F.xxhash64("a"), "parts").alias("part"))
+    pairs = keep(pairs.select("a", "b"))
+    per = pairs.groupBy("b").agg(F.count("*").alias("n"), F.ceil(F.count("*") / GROUP).alias("parts"))
+    parts = hot_join(pairs, per, ["b"], "n", pairs.count()).select("a", "b", F.pmod(F.xxhash64("a"), "parts").alias("part"))
     roles = parts.select(F.col("a").alias("id"), F.col("b").alias("group"), "part", F.lit(1).alias("role")).unionByName(
         per.select(F.col("b").alias("id"), F.col("b").alias("group"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role")))
     # at most GROUP roles travel with one copy of a text
