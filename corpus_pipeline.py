@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillscan.llm import bpe, jaccard, mixing, pii, quality
-from rillscan.session import reach, shared_dir, table
+from rillscan.session import keep, reach, table
 
 #: No SQL expresses the fitted stages; each is tested against a brute-force version.
 ORACLE_SQL = None
@@ -33,18 +33,30 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind."""
+    """Texts with personal data replaced by its kind.
+
+    A null text stays null and an empty one empty; equal rows are redacted alike, each by itself, and an
+    empty table gives no rows. All other columns stay, whatever their names.
+    """
     return pii.redact(docs, _free(docs, ["_base_spans", "_spans"]))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the domains' target weights ask; no document less than once, none over three times."""
+    """Documents as often as the domains' target weights ask; no document less than once, none over three times.
+
+    Null and empty texts hold no tokens and are used by the rate of an empty text. Equal rows get equal
+    rates, and as their doc_id tosses the coin, equal numbers of copies.
+    """
     free = _free(docs, ["_tokens", "_good", "_low", "_toxic", "_copy"])
     return mixing.copies(docs, table(spark, sf_dir, "labels"), free, weights=[0.92, 0.05, 0.03], budget=1.2, low=1.0, high=3.0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every text's ids and of what they decode to."""
+    """Token counts and digests of every text's ids and of what they decode to.
+
+    A null text counts as empty: no ids, the digest of nothing. A row for each row, equal ones included; other
+    columns are not read.
+    """
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -52,10 +64,8 @@ STAGES = [("quality_rules", keep_good), ("ngram_jaccard", keep_one_of_near_copie
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
+    """All stages over documents; each stage's rows are written to the shared folder and read again. The folders go with the session."""
     docs = table(spark, sf_dir, "documents")
-    where = f"{shared_dir(spark).rstrip('/')}/corpus_pipeline-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{where}/{k}_{name}")
-        docs = spark.read.parquet(f"{where}/{k}_{name}")
+    for _, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
