@@ -7,18 +7,19 @@ Equal strings have equal anchors at equal distances, so they meet in one bucket,
 inside a bucket only suffixes of the same distance from the anchor can be equal.
 Neighbouring suffixes of one anchor make a run, and a row stands for a run.
 
-1. Runs of equal content are counted (pre-aggregated before the shuffle). A run that
-   occurs twice is all repeated; a bucket with one run in all is done.
+1. Runs of equal content are counted, known by 128-bit hashes and pre-aggregated before
+   the shuffle. A run that occurs twice is all repeated; a bucket with one run in all is done.
 2. The texts of the other runs, one of each content, go to their buckets. There the
    suffixes are sorted one bucket at a time: the ranks of the suffixes at the positions
    of a difference cover modulo 31 are made first, by doubling; any suffix is then
    compared by at most 12 bytes at either end and three such ranks, however long the
    tie. Anchors lie at multiples of 31, so suffixes at one distance share the cover's
    offset. Memory is bounded by a block of texts.
-3. A bucket of more than ``MOST_RUNS`` different runs is too large for one task. Its
-   suffixes are narrowed by slices of 64, 8 and 1 distances, each slice known by the
-   hash of the bytes that all its suffixes share; a slice whose bytes no other run has
-   is done. This gives the same answers.
+3. A bucket of more than ``MOST_RUNS`` different runs is dealt into smaller ones: its runs
+   are cut into slices of 64 distances, and a slice's bucket is named by the bytes that all
+   suffixes of the slice share, too. Slices are runs like any other and go through steps 1
+   and 2, if need be cut again into 8 distances and then 1. So hashes settle which contents
+   are equal and which cannot be, and sorting decides about all others at every size.
 
 Texts travel only for documents that a fixed-size Bloom filter lets through; it loses
 effect, never rows, when it fills up.
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import chunks, flat, mix, powers
-from ..session import cut, reach
+from ..session import cut, keep, reach
 
 LENGTH = 400
 GRAM = 32
@@ -59,15 +60,21 @@ BLOOM_BITS = 1 << 23
 
 _random = np.random.default_rng(99)
 _HASHERS = [(_random.integers(0, 2**64, 256, dtype=np.uint64), base, pow(base, -1, 2**64)) for base in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)]
-#: What a run is: its anchor, a hash of its bytes, and packed in one number more of that hash (32 bits) and its least and greatest distance to the anchor (9 bits each).
-RUN = ["anchor", "content1", "shape"]
+#: What a run is: its anchor, two hashes of its bytes, and packed in one number its least and greatest distance to the anchor (9 bits each).
+RUN = ["anchor", "content1", "content2", "shape"]
 _SPAN = 9
+#: Distances of the slices that a bucket of too many runs is cut into, one after the other.
+SLICES = (64, 8, 1)
+_RUN_TYPES = "anchor long, content1 long, content2 long, shape long"
 
 
 def _near_far():
-    return F.expr(f"(shape >> {_SPAN}) & {(1 << _SPAN) - 1}"), F.expr(f"shape & {(1 << _SPAN) - 1}")
+    return _near_far_of("")
 
 
+def _near_far_of(prefix: str):
+    return F.expr(f"({prefix}shape >> {_SPAN}) & {(1 << _SPAN) - 1}"), F.expr(f"{prefix}shape & {(1 << _SPAN) - 1}")
+
 
 class _Hasher:
     """Hashes of any spans of one byte array."""
@@ -117,8 +124,8 @@ def find_runs(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     anchors = least[starts]
     text = np.searchsorted(offsets, starts, side="right") - 1
     signed = lambda x: x.view(np.int64)
-    shape = signed(second.spans(starts, ends + LENGTH) >> np.uint64(32)) << (2 * _SPAN) | (anchors - ends) << _SPAN | (anchors - starts)
-    return {"text": text, "start": starts - offsets[text], "anchor": signed(grams[anchors]), "content1": signed(first.spans(starts, ends + LENGTH)), "shape": shape}
+    shape = (anchors - ends) << _SPAN | (anchors - starts)
+    return {"text": text, "start": starts - offsets[text], "anchor": signed(grams[anchors]), "content1": signed(first.spans(starts, ends + LENGTH)), "content2": signed(second.spans(starts, ends + LENGTH)), "shape": shape}
 
 
 def _segments(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -144,7 +151,7 @@ def runs(docs: DataFrame) -> DataFrame:
                 where = pa.array(row, pa.int64())
                 yield pa.record_batch([part.column("doc_id").take(where), part.column("key").take(where), pa.array(found["start"] + places[found["text"]], pa.int64()), *(pa.array(found[c], pa.int64()) for c in RUN)], ["doc_id", "key", "start", *RUN])
 
-    return docs.mapInArrow(run, "doc_id long, key long, start long, anchor long, content1 long, shape long")
+    return docs.mapInArrow(run, f"doc_id long, key long, start long, {_RUN_TYPES}")
 
 
 def _cover_offsets() -> np.ndarray:
@@ -235,17 +242,17 @@ def _stretches(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
 
 
-def _sort_buckets(contexts: DataFrame) -> DataFrame:
-    """(run, first, last): stretches of repeated suffixes of each run, bucket by bucket."""
+def _sort_buckets(texts: DataFrame) -> DataFrame:
+    """(run, first, last): stretches of repeated suffixes of each run of texts(run, content), bucket by bucket."""
 
     def solve(block: list[tuple]) -> pa.RecordBatch:
-        shape = np.array([r[2] for r in block])
-        far, near = shape & (1 << _SPAN) - 1, shape >> _SPAN & (1 << _SPAN) - 1
+        shape = np.array([r[3] for r in block])
+        far, near = shape & (1 << _SPAN) - 1, shape >> _SPAN
         _, groups = np.unique(np.array([r[0] for r in block]), return_inverse=True)
-        rows: list[list] = [[] for _ in range(5)]
-        for r, marks in zip(block, repeated_suffixes([r[3] for r in block], groups, far, far - near + 1)):
+        rows: list[list] = [[] for _ in range(len(RUN) + 2)]
+        for r, marks in zip(block, repeated_suffixes([r[4] for r in block], groups, far, far - near + 1)):
             for a, b in zip(*_stretches(marks)):
-                for column, value in zip(rows, (*r[:3], int(a), int(b))):
+                for column, value in zip(rows, (*r[:4], int(a), int(b))):
                     column.append(value)
         return pa.record_batch([pa.array(c, pa.int64()) for c in rows], [*RUN, "first", "last"])
 
@@ -258,48 +265,60 @@ def _sort_buckets(contexts: DataFrame) -> DataFrame:
                     yield solve(block)
                     block, size = [], 0
                 block.append(r)
-                size += len(r[3])
+                size += len(r[4])
         if block:
             yield solve(block)
 
-    return contexts.select(*RUN, "content").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, content1 long, shape long, first long, last long")
-
-
-def _narrow(contexts: DataFrame) -> DataFrame:
-    """The same for buckets too large for a task: slices of distances, narrowed from 64 to 8 to 1."""
-    contexts = contexts.select(*RUN, "content")
-    slices = contexts.withColumn("slices", F.array(F.lit(0).cast("long")))
-    found = None
-    for width, before in ((64, 0), (8, 64), (1, 8)):
-
-        def run(batches: Iterator[pa.RecordBatch], width=width, before=before) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                columns: list[list] = [[] for _ in range(6)]
-                for anchor, content1, shape, content, mine in zip(*(batch.column(c).to_pylist() for c in [*RUN, "content", "slices"])):
-                    near, far = shape >> _SPAN & (1 << _SPAN) - 1, shape & (1 << _SPAN) - 1
-                    spans = [(near, far)] if not before else [(max(near, s * before), min(far, s * before + before - 1)) for s in mine]
-                    places = sorted({s for a, b in spans for s in range(a // width, b // width + 1)})
-                    low, high = np.maximum(near, np.array(places) * width), np.minimum(far, np.array(places) * width + width - 1)
-                    # the bytes that all suffixes of a full slice share; a slice cut short has them too
-                    edge_low, edge_high = np.array(places) * width, np.array(places) * width + width - 1
-                    data = np.frombuffer(content, np.uint8)
-                    starts, ends = np.maximum(far - edge_low, 0), far - edge_high + LENGTH
-                    starts, ends = np.minimum(starts, len(data)), np.minimum(np.maximum(ends, 0), len(data))
-                    ok = (starts < ends) & (high >= low)
-                    a, b = _Hasher(data, 0).spans(starts[ok], ends[ok]), _Hasher(data, 1).spans(starts[ok], ends[ok])
-                    for column, values in zip(columns, ([anchor] * ok.sum(), [content1] * ok.sum(), [shape] * ok.sum(), np.array(places)[ok].tolist(), a.view(np.int64).tolist(), b.view(np.int64).tolist())):
-                        column.extend(values)
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], [*RUN, "slice", "core1", "core2"])
-
-        cores = slices.mapInArrow(run, "anchor long, content1 long, shape long, slice long, core1 long, core2 long")
-        core = ["anchor", "slice", "core1", "core2"]
-        shared = cores.join(cores.groupBy(*core).agg(F.count("*").alias("times")).where("times > 1"), core).select(*RUN, "slice")
-        if width == 1:
-            found = shared
-        else:
-            both = contexts.select(*RUN, "content", F.lit(None).cast("long").alias("slice")).unionByName(shared.withColumn("content", F.lit(None).cast("binary")))
-            slices = cut(both.groupBy(*RUN).agg(F.max("content").alias("content"), F.collect_list("slice").alias("slices")).where(F.size("slices") > 0))
-    return found.select(*RUN, (_near_far()[1] - F.col("slice")).alias("first"), (_near_far()[1] - F.col("slice")).alias("last"))
+    return texts.select(*RUN, "content").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, f"{_RUN_TYPES}, first long, last long")
+
+
+def _slices(texts: DataFrame, width: int) -> DataFrame:
+    """(run, of_.., content): each run cut where its distances pass a multiple of ``width``; of_.. is the run that it was cut from.
+
+    A slice's anchor is a hash of the run's, the slice's number, and the bytes that suffixes at all its distances share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            rows: list[tuple] = []
+            for anchor, content1, content2, shape, content in zip(*(batch.column(c).to_pylist() for c in [*RUN, "content"])):
+                near, far = shape >> _SPAN, shape & (1 << _SPAN) - 1
+                place = np.arange(near // width, far // width + 1)
+                low, high = np.maximum(near, place * width), np.minimum(far, place * width + width - 1)
+                data = np.frombuffer(content, np.uint8)
+                one, two = _Hasher(data, 0), _Hasher(data, 1)
+                core = one.spans(far - place * width, far - place * width - width + 1 + LENGTH)
+                name = mix(mix(core + np.uint64(anchor & (1 << 64) - 1)) + place.astype(np.uint64)).view(np.int64)
+                starts, ends = far - high, far - low + LENGTH
+                hashes = one.spans(starts, ends).view(np.int64), two.spans(starts, ends).view(np.int64)
+                for k in range(len(place)):
+                    rows.append((int(name[k]), int(hashes[0][k]), int(hashes[1][k]), int(low[k]) << _SPAN | int(high[k]), anchor, content1, content2, shape, content[starts[k] : ends[k]]))
+            yield pa.record_batch([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(8)), pa.array([r[8] for r in rows], pa.binary())], [*RUN, *(f"of_{c}" for c in RUN), "content"])
+
+    return texts.select(*RUN, "content").mapInArrow(run, f"{_RUN_TYPES}, of_anchor long, of_content1 long, of_content2 long, of_shape long, content binary")
+
+
+def _whole(kinds: DataFrame) -> DataFrame:
+    near, far = _near_far()
+    return kinds.where("times > 1").select(*RUN, F.lit(0).cast("long").alias("first"), (far - near).alias("last"))
+
+
+def _decide(texts: DataFrame, widths: tuple[int, ...]) -> DataFrame:
+    """(run, first, last) for texts(run, kinds, content), one of each content: small buckets are sorted, larger ones cut into slices first."""
+    if not widths:
+        return _sort_buckets(texts)
+    small = _sort_buckets(texts.where(F.col("kinds") <= MOST_RUNS))
+    large = texts.where(F.col("kinds") > MOST_RUNS)
+    if not large.take(1):
+        return small
+    parts = keep(_slices(large, widths[0]))
+    kinds = keep(parts.groupBy(*RUN).agg(F.count("*").alias("times"), F.first("content").alias("content")))
+    buckets = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = keep(kinds.join(buckets, "anchor").select(*RUN, "kinds", "content"))
+    found = _whole(kinds).unionByName(_decide(mixed, widths[1:]))
+    shift = _near_far_of("of_")[1] - _near_far()[1]
+    back = parts.drop("content").join(found, RUN).select(*[F.col(f"of_{c}").alias(c) for c in RUN], (F.col("first") + shift).alias("first"), (F.col("last") + shift).alias("last"))
+    return small.unionByName(back)
 
 
 class Bloom:
@@ -347,18 +366,18 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
-            columns: list[list] = [[] for _ in range(5)]
+            columns: list[list] = [[] for _ in range(len(RUN) + 2)]
             for text, asked in zip(batch.column("text"), batch.column("asked").to_pylist()):
                 data = text.as_py().encode()
                 for r in asked:
-                    near, far = r["shape"] >> _SPAN & (1 << _SPAN) - 1, r["shape"] & (1 << _SPAN) - 1
+                    near, far = r["shape"] >> _SPAN, r["shape"] & (1 << _SPAN) - 1
                     content = data[r["start"] : r["start"] + far - near + LENGTH]
                     for column, value in zip(columns, (*(r[c] for c in RUN), r["kinds"], content)):
                         column.append(value)
-            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], [*RUN, "kinds", "content"])
+            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.binary())], [*RUN, "kinds", "content"])
 
     holders = Bloom(wanted).of(docs, True).dropDuplicates(["doc_id", "key"])
-    return holders.join(asked, (holders.doc_id.eqNullSafe(asked.doc_id)) & (holders.key == asked.key)).select("text", "asked").mapInArrow(run, "anchor long, content1 long, shape long, kinds long, content binary")
+    return holders.join(asked, (holders.doc_id.eqNullSafe(asked.doc_id)) & (holders.key == asked.key)).select("text", "asked").mapInArrow(run, f"{_RUN_TYPES}, kinds long, content binary")
 
 
 def _digest(docs: DataFrame) -> DataFrame:
@@ -418,7 +437,7 @@ def _count_early(every: DataFrame) -> DataFrame:
         if held:
             yield merge(held)
 
-    return every.select(*names).mapInArrow(run, "doc_id long, key long, start long, anchor long, content1 long, shape long, times long")
+    return every.select(*names).mapInArrow(run, f"doc_id long, key long, start long, {_RUN_TYPES}, times long")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -429,13 +448,12 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     buckets = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     mixed = cut(kinds.join(buckets, "anchor").select("one.*", *RUN, "kinds"))
     contexts = _contexts(docs, mixed)
-    whole = kinds.where("times > 1").select(*RUN, F.lit(0).cast("long").alias("first"), (_near_far()[1] - _near_far()[0]).alias("last"))
     if mixed.where(F.col("kinds") > MOST_RUNS).take(1):
-        contexts = cut(contexts)
-        found = _sort_buckets(contexts.where(F.col("kinds") <= MOST_RUNS)).unionByName(_narrow(contexts.where(F.col("kinds") > MOST_RUNS)))
+        contexts = keep(contexts)
+        found = _decide(contexts, SLICES)
     else:
         found = _sort_buckets(contexts)
-    found = whole.unionByName(found)
+    found = _whole(kinds).unionByName(found)
     return every.join(found, RUN).select("doc_id", "key", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + LENGTH).alias("b")).distinct()
 
 
