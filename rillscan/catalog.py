@@ -490,7 +490,8 @@ def hops_sample(spark, sf_dir):
 
 @query(f"SELECT token, n FROM (SELECT token, n, row_number() OVER (ORDER BY n, token) AS r, count(*) OVER () AS size FROM ({SAMPLE}) JOIN ({WORD_COUNTS}) USING (token)) WHERE r = greatest(1, ceil(0.95 * size))")
 def hops_quantile(spark, sf_dir):
-    return sketches.sample_quantile(hops_sample(spark, sf_dir).select("token"), _words(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n")), 0.95)
+    counts = cut(_words(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n")))
+    return sketches.sample_quantile(sketches.bucket_sample(counts, 256).select("token"), counts, 0.95)
 
 
 @query(f"SELECT DISTINCT token, {HASH.format(chr(39) + 'p:' + chr(39) + ' || token')} AS priority FROM ({WORDS}) ORDER BY priority, token LIMIT 100")

@@ -43,13 +43,14 @@ def sketch_estimates(sketch: DataFrame, tokens: DataFrame, width: int, depth: in
 
 def bucket_sample(stream: DataFrame, buckets: int) -> DataFrame:
     """(bucket, token): of each hash bucket the token of the least priority; a uniform sample of distinct tokens."""
-    placed = stream.select("token", (md5_long(F.concat(F.lit("b:"), "token")) % buckets).alias("bucket"), md5_long(F.concat(F.lit("p:"), "token")).alias("priority"))
+    # hashes are made of distinct tokens only
+    placed = stream.select("token").distinct().select("token", (md5_long(F.concat(F.lit("b:"), "token")) % buckets).alias("bucket"), md5_long(F.concat(F.lit("p:"), "token")).alias("priority"))
     return placed.groupBy("bucket").agg(F.min(F.struct("priority", "token")).alias("least")).select("bucket", "least.token")
 
 
 def bottom_k(stream: DataFrame, k: int) -> DataFrame:
     """(token, priority): the k distinct tokens of the least hashes."""
-    return stream.select("token", md5_long(F.concat(F.lit("p:"), "token")).alias("priority")).distinct().orderBy("priority", "token").limit(k)
+    return stream.select("token").distinct().select("token", md5_long(F.concat(F.lit("p:"), "token")).alias("priority")).orderBy("priority", "token").limit(k)
 
 
 def sample_quantile(sample: DataFrame, counts: DataFrame, q: float) -> DataFrame:
