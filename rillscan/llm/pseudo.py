@@ -54,7 +54,7 @@ SHARD = 1 << 21
 #: Distinct words counted in a task before they are written out.
 COUNTED_AT_ONCE = 300_000
 #: Words that tasks look up by themselves; all others are joined.
-KNOWN = 1 << 15
+KNOWN = 1 << 17
 #: Parameters that are summed in one place.
 BLOCK = 1 << 13
 
