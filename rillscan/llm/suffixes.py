@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import chunks, flat, mix, powers
-from ..session import cut, keep, reach
+from ..session import cut, hot_join, keep, reach
 
 LENGTH = 400
 GRAM = 32
@@ -444,9 +444,9 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, key, a, b), distinct: byte ranges of docs(doc_id, key, text) whose strings occur elsewhere too."""
     every = cut(runs(docs))
     kinds = cut(_count_early(every).repartition(*RUN).groupBy(*RUN).agg(F.sum("times").alias("times"), F.min(F.struct("doc_id", "key", "start")).alias("one")))
-    # counted apart and joined, as one anchor may have a large share of all runs
+    # one anchor may have a large share of all runs
     buckets = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = cut(kinds.join(buckets, "anchor").select("one.*", *RUN, "kinds"))
+    mixed = cut(hot_join(kinds, buckets, ["anchor"], "kinds", kinds.count()).select("one.*", *RUN, "kinds"))
     contexts = _contexts(docs, mixed)
     if mixed.where(F.col("kinds") > MOST_RUNS).take(1):
         contexts = keep(contexts)
