@@ -205,6 +205,16 @@ def pattern_stride_grams(spark, sf_dir):
     return match.stride(_asked(spark, sf_dir), N)
 
 
+@query(f"SELECT pid, i - 1 AS k, substr(pattern, i, 3) AS gram, length(pattern)::BIGINT AS m FROM (SELECT pid, pattern, unnest(range(1, length(pattern) - 1)) AS i FROM ({TEXT_PATTERNS}) WHERE length(pattern) >= 3)")
+def pattern_char_grams(spark, sf_dir):
+    return match.character_grams(_text_patterns(spark, sf_dir), 3)
+
+
+@query(f"WITH g AS (SELECT DISTINCT gram FROM ({GRAMS})), b AS (SELECT least(greatest(1, ceil(log2(n * (n - 1.0) / (-2 * ln(1 - 0.0001)))))::BIGINT, 60) AS bits FROM (SELECT count(*) AS n FROM g)) SELECT gram, {HASH.format('gram')} >> (60 - bits) AS key, bits FROM g, b")
+def gram_keys(spark, sf_dir):
+    return keys.sized(_grams(spark, sf_dir), 0.0001)
+
+
 @query("SELECT event_id, " + HASH.format("event_type || ':' || user_id") + " AS h FROM events")
 def hash_ids(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", hashing.md5_long(F.concat_ws(":", "event_type", "user_id")).alias("h"))
@@ -330,6 +340,11 @@ def find_boundary_crossing(spark, sf_dir):
     return match.crossing(_matches(spark, sf_dir), _event_patterns(spark, sf_dir), BLOCK)
 
 
+@query(f"SELECT pid, stream_id, pos, row_number() OVER (PARTITION BY pid, stream_id ORDER BY pos) - 1 AS nth FROM (SELECT m.pid, m.stream_id, m.pos FROM ({EVENT_MATCHES}) m JOIN (SELECT stream_id, count(*) AS n FROM ({EVENT_STREAM}) GROUP BY 1) l USING (stream_id) WHERE pos >= greatest(n - {WINDOW}, 0) UNION SELECT pid, stream_id, pos FROM ({EVENT_MATCHES}) WHERE pos // {BLOCK} < (pos + 2) // {BLOCK})")
+def merged_matches(spark, sf_dir):
+    return match.merged(find_window_exact(spark, sf_dir), find_boundary_crossing(spark, sf_dir))
+
+
 @query(f"SELECT count(*) AS in_first, 0::BIGINT AS only_first, 0::BIGINT AS only_second FROM ({TEXT_MATCHES})")
 def result_diff(spark, sf_dir):
     a, b = find_all_chars(spark, sf_dir).withColumn("a", F.lit(1)), find_all_scan(spark, sf_dir).withColumn("b", F.lit(1))

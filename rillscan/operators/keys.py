@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import md5_long
+from ..functions.hashing import bits_for, md5_long
 
 
 def first_seen(rows: DataFrame, token: str, at: str) -> DataFrame:
@@ -66,6 +66,14 @@ def hashed(token: Column, bits: int) -> Column:
     return F.shiftright(md5_long(token), 60 - bits)
 
 
+def sized(grams: DataFrame, epsilon: float) -> DataFrame:
+    """(gram, key, bits): distinct grams by hashes just wide enough that they collide with a chance of epsilon at most; 60 bits if more were needed."""
+    distinct = grams.select("gram").distinct()
+    n = distinct.agg(F.count("*").cast("double").alias("n"))
+    bits = F.least(bits_for(F.greatest("n", F.lit(2.0)), F.lit(epsilon)), F.lit(60))
+    return distinct.crossJoin(F.broadcast(n.select(bits.alias("bits")))).withColumn("whole", md5_long(F.col("gram"))).select("gram", F.expr("shiftright(whole, int(60 - bits))").alias("key"), "bits")
+
+
 def universal(token: Column, row: int, buckets: int, seed: int = 0) -> Column:
     """The row-th hash function of a family, into buckets: ((a x + b) mod p) mod buckets with a and b from the seed and p = 2^31 - 1."""
     prime = (1 << 31) - 1

@@ -10,6 +10,7 @@ counts if all of a pattern's grams agree on it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -104,6 +105,19 @@ def pattern_grams(patterns: DataFrame, n: int) -> DataFrame:
     return long.select("pid", F.size("tokens").alias("m"), "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - n)).alias("k")).select("pid", F.col("k").cast("long").alias("k"), F.array_join(F.slice("tokens", F.col("k") + 1, n), SEPARATOR).alias("gram"), F.col("m").cast("long").alias("m"))
 
 
+def character_grams(patterns: DataFrame, n: int) -> DataFrame:
+    """(pid, k, gram, m) for patterns(pid, pattern) of characters; patterns of fewer than n have none."""
+    long = patterns.where(F.length("pattern") >= n)
+    placed = long.select("pid", F.length("pattern").cast("long").alias("m"), F.posexplode(F.regexp_extract_all("pattern", F.lit(f"(?s)(?=(.{{{n}}}))"), 1)).alias("k", "gram"))
+    return placed.select("pid", F.col("k").cast("long").alias("k"), "gram", "m")
+
+
+def merged(*matches: DataFrame) -> DataFrame:
+    """(pid, stream_id, pos, nth): the distinct matches of several searches, numbered from 0 by place for each pattern and stream."""
+    every = reduce(DataFrame.unionByName, [m.select("pid", "stream_id", "pos") for m in matches]).distinct()
+    return every.withColumn("nth", (F.row_number().over(Window.partitionBy("pid", "stream_id").orderBy("pos")) - 1).cast("long"))
+
+
 def stride(grams: DataFrame, n: int) -> DataFrame:
     """Every n-th gram and the last: the fewest that cover a pattern."""
     return grams.where((F.col("k") % n == 0) | (F.col("k") == F.col("m") - n))
