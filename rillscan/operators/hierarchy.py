@@ -69,8 +69,10 @@ def candidates(held: DataFrame, asked: DataFrame, block: int, least: int) -> tup
     ranges, visits, nodes = [], [], None
     for level, span in geometry:
         at = held.where(F.col("level") == level)
-        seeds = at.join(firsts.where(F.col("seed") == level).select("pid", "gram"), "gram").select("pid", "stream_id", "block", "interval")
-        begun = firsts.where(F.col("seed") == level).agg(F.count("*").alias("patterns")).crossJoin(number).select((F.col("patterns") * F.col("blocks") * (1 << level)).alias("n"))
+        # a search that should begin below the last level begins there
+        begins = F.col("seed") == level if level + 1 < len(geometry) else F.col("seed") >= level
+        seeds = at.join(firsts.where(begins).select("pid", "gram"), "gram").select("pid", "stream_id", "block", "interval")
+        begun = firsts.where(begins).agg(F.count("*").alias("patterns")).crossJoin(number).select((F.col("patterns") * F.col("blocks") * (1 << level)).alias("n"))
         if nodes is not None:
             halves = nodes.select("pid", "stream_id", "block", F.explode(F.array(F.col("interval") * 2, F.col("interval") * 2 + 1)).alias("interval"))
             begun = begun.unionByName(halves.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("n"))

@@ -124,7 +124,7 @@ def test_no_match_lies_outside_the_ranges_of_any_plan(spark):
     grams = match.pattern_grams(asked, 2)
     held = hierarchy.members(match.ngrams(stream, 2), 16, 2)
     for seed in range(4):
-        plan = spark.createDataFrame([(i, k, random.randrange(4)) for i, p in enumerate(patterns) for k in range(len(p) - 1)], "pid long, k long, level long")
+        plan = spark.createDataFrame([(i, k, random.randrange(6)) for i, p in enumerate(patterns) for k in range(len(p) - 1)], "pid long, k long, level long")
         ranges, visits = hierarchy.candidates(held, hierarchy.with_levels(grams, plan), 16, 2)
         places = {(r.pid, r.stream_id, k) for r in ranges.collect() for k in range(r.lo, r.hi + 1)}
         assert set(brute_tokens(streams, patterns)) <= places
