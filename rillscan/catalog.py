@@ -399,7 +399,8 @@ RANGES = f"SELECT a.pid, a.stream_id, CASE WHEN b.pid IS NULL THEN a.block * {BL
 
 
 def _ranges(spark, sf_dir, plan):
-    return hierarchy.candidates(_members(spark, sf_dir), hierarchy.with_levels(_asked(spark, sf_dir), plan), BLOCK, N)
+    asked = cut(hierarchy.with_levels(_asked(spark, sf_dir), plan))
+    return hierarchy.candidates(cut(_members(spark, sf_dir)), asked, BLOCK, N)
 
 
 @query(RANGES)

@@ -66,8 +66,13 @@ def candidates(held: DataFrame, asked: DataFrame, block: int, least: int) -> tup
     firsts = asked.where("k = 0")
     blocks_ = held.where("level = 0").select("stream_id", "block").distinct()
     number = blocks_.agg(F.count("*").alias("blocks"))
+    starts = {min(r["seed"], len(geometry) - 1) for r in firsts.select("seed").distinct().collect()}  # levels, so few
     ranges, visits, nodes = [], [], None
     for level, span in geometry:
+        if level not in starts and (nodes is None or not nodes.take(1)):
+            visits.append(number.select(F.lit(level).cast("long").alias("level"), F.lit(0).cast("long").alias("nodes"), F.lit(0).cast("long").alias("probes")))
+            nodes = None
+            continue
         at = held.where(F.col("level") == level)
         # a search that should begin below the last level begins there
         begins = F.col("seed") == level if level + 1 < len(geometry) else F.col("seed") >= level
@@ -84,6 +89,8 @@ def candidates(held: DataFrame, asked: DataFrame, block: int, least: int) -> tup
         nodes = found.where(halved)
         start, end = F.col("block") * block + F.col("interval") * span, F.col("block") * block + (F.col("interval") + 1) * span - 1
         ranges.append(found.where(~halved).select("pid", "stream_id", F.when(F.col("met") == F.col("grams"), start).otherwise(F.greatest(start, end - F.col("met") + 1)).alias("lo"), end.alias("hi")))
+    if not ranges:  # no pattern, no range
+        ranges = [firsts.select("pid", *[F.lit(None).cast("long").alias(c) for c in ("stream_id", "lo", "hi")]).limit(0)]
     return reduce(DataFrame.unionByName, ranges), reduce(DataFrame.unionByName, visits)
 
 
@@ -103,7 +110,7 @@ def search(stream: DataFrame, patterns: DataFrame, plan: DataFrame, block: int,
     """
     asked = match.pattern_grams(patterns, n)
     grams = match.ngrams(stream, n).join(asked.select("gram").distinct(), "gram", "left_semi")
-    held = members(grams, block, n)
+    held = cut(members(grams, block, n))
     return verify(stream, patterns, candidates(held, with_levels(asked, plan), block, n)[0])
 
 

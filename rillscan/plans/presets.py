@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy, match, sketches
+from ..session import cut
 from . import costs, levels
 from .interfaces import Estimator, Matcher, Membership, PruningPlan, SearchAlgorithm, Verifier
 
@@ -86,14 +87,14 @@ class Search(Matcher):
         shares = self.estimator.estimate(grams.select(F.col("gram").alias("key")), asked.select(F.col("gram").alias("key")).distinct())
         known = asked.join(shares.withColumnRenamed("key", "gram"), "gram")
         rated = match.stride(known, self.n) if self.stride else known
-        return hierarchy.with_levels(known, self.plan.levels(rated))
+        return cut(hierarchy.with_levels(known, self.plan.levels(rated)))
 
     def report(self, stream: DataFrame, patterns: DataFrame) -> DataFrame:
         """(pid, stream_id, pos); patterns of fewer than n tokens are left to division."""
         long = patterns.where(F.size("tokens") >= self.n)
         asked = self.asked(stream, long)
         grams = match.ngrams(stream, self.n).join(asked.select("gram").distinct(), "gram", "left_semi")
-        held = self.membership.build(grams, self.block, self.n)
+        held = cut(self.membership.build(grams, self.block, self.n))
         found = self.verifier.verify(stream, long, self.algorithm.candidates(held, asked, self.block, self.n))
         short = patterns.where((F.size("tokens") < self.n) & (F.size("tokens") > 0))
         return found.unionByName(match.find_tokens(stream, short, 1)) if short.take(1) else found
