@@ -70,10 +70,10 @@ def _texts(spark, sf_dir):
 
 
 def _mixed_patterns(spark, sf_dir):
-    """A pattern of 1 to 7 tokens from each stream, from one of its first five places on, without repeats."""
+    """A pattern of 1 to 7 tokens from each stream, from one of its first five places on, without repeats. Computed once: searches read it several times."""
     place = F.col("stream_id") % 5
     cut_out = _events(spark, sf_dir).where((F.col("pos") >= place) & (F.col("pos") <= place + F.col("stream_id") % 7)).groupBy("stream_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"]).alias("tokens"))
-    return cut_out.select("tokens").distinct().select(F.row_number().over(Window.orderBy(F.array_join("tokens", ","))).cast("long").alias("pid"), "tokens")
+    return cut(cut_out.select("tokens").distinct().select(F.row_number().over(Window.orderBy(F.array_join("tokens", ","))).cast("long").alias("pid"), "tokens"))
 
 
 def _text_patterns(spark, sf_dir):

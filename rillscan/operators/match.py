@@ -2,9 +2,10 @@
 
 Characters are searched by one automaton over all patterns, which reads each text once
 whatever the number and the lengths of the patterns; a workload too large for one automaton
-is joined with overlapping blocks of the texts instead. Token streams are searched by
-relational division: the n-grams of patterns are joined with those of streams, and a start
-counts if all of a pattern's grams agree on it.
+is joined with overlapping blocks of the texts instead. In token streams a short pattern is
+joined with the grams of its own length; longer ones are searched by relational division: the
+n-grams of patterns are joined with those of streams, and a start counts if all of a pattern's
+grams agree on it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from ..session import reach
 #: Starts in a block of characters.
 BLOCK = 512
 SEPARATOR = "\x01"
-#: Characters of all patterns that one automaton holds.
+#: Tokens of the longest patterns that meet grams of their own length.
+WHOLE = 8
+#: Characters of all patterns that one automaton holds, or that are sent to every task.
 MOST_CHARACTERS = 1 << 22
 
 
@@ -123,22 +126,34 @@ def stride(grams: DataFrame, n: int) -> DataFrame:
     return grams.where((F.col("k") % n == 0) | (F.col("k") == F.col("m") - n))
 
 
-def find_tokens(stream: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
-    """(pid, stream_id, pos) by relational division over n-grams; only the stride's grams are joined, which is enough.
+def _divide(stream: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """(pid, stream_id, pos): starts on which all of a pattern's asked(pid, k, gram) agree."""
+    needed = asked.groupBy("pid").agg(F.count("*").alias("needed"))
+    met = ngrams(stream, n).join(asked, "gram").groupBy("pid", "stream_id", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("met"))
+    return met.join(needed, "pid").where("met = needed").select("pid", "stream_id", F.col("start").alias("pos"))
 
-    Patterns of fewer than n tokens are divided by single tokens.
-    """
-    sized = patterns.where(F.size("tokens") > 0)
 
-    def divide(asked: DataFrame, grams: DataFrame) -> DataFrame:
-        needed = asked.groupBy("pid").agg(F.count("*").alias("needed"))
-        met = grams.join(asked, "gram").groupBy("pid", "stream_id", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("met"))
-        return met.join(needed, "pid").where("met = needed").select("pid", "stream_id", F.col("start").alias("pos"))
+def find_tokens(stream: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
+    """(pid, stream_id, pos) of all matches of patterns(pid, tokens); an empty pattern matches nowhere.
 
-    long = divide(stride(pattern_grams(sized, n), n), ngrams(stream, n))
-    if n == 1 or not sized.where(F.size("tokens") < n).take(1):
-        return long
-    return long.unionByName(divide(pattern_grams(sized.where(F.size("tokens") < n), 1), ngrams(stream, 1)))
+    Patterns of up to WHOLE tokens (n, if that is more) meet the stream's grams of their own lengths, so
+    that no row is made but matches. Longer ones are divided over grams of that size, of which only the
+    stride's are joined, which is enough.
+    """
+    n = max(n, WHOLE)
+    sized = patterns.where(F.size("tokens") > 0).select("pid", "tokens")
+    short, long = sized.where(F.size("tokens") <= n), sized.where(F.size("tokens") > n)
+    spans, characters, longer = sized.agg(
+        F.collect_set(F.when(F.size("tokens") <= n, F.size("tokens"))),
+        F.coalesce(F.sum(F.when(F.size("tokens") <= n, F.length(F.array_join("tokens", SEPARATOR)) + 1)), F.lit(0)),
+        F.count(F.when(F.size("tokens") > n, 1)),
+    ).first()
+    order = Window.partitionBy("stream_id").orderBy("pos")
+    parts = [F.lead("token", k).over(order).alias(f"t{k}") for k in range(max(spans, default=1))]
+    grams = F.array(*[F.when(F.col(f"t{m - 1}").isNotNull(), F.array(*[f"t{k}" for k in range(m)])) for m in sorted(spans or [1])])
+    whole = stream.select("stream_id", "pos", *parts).select("stream_id", "pos", F.explode(grams).alias("tokens"))
+    found = whole.join(F.broadcast(short) if characters <= MOST_CHARACTERS else short, "tokens").select("pid", "stream_id", "pos")
+    return found.unionByName(_divide(stream, stride(pattern_grams(long, n), n), n)) if longer else found
 
 
 def lengths(stream: DataFrame) -> DataFrame:

@@ -116,6 +116,18 @@ def test_presets_find_what_brute_force_finds(spark, name):
     assert sorted(tuple(r) for r in found.collect()) == brute_tokens(streams, patterns)
 
 
+def test_division_makes_rows_of_matches_alone(spark):
+    random.seed(5)
+    streams = [[random.choice("ab") for _ in range(random.randint(0, 40))] for _ in range(12)] + [["a"] * 30, ["a\x01b", "c", "a", "b\x01c"]]
+    patterns = [[random.choice("ab") for _ in range(m)] for m in range(13) for _ in range(4)] + [["a"] * 20, ["a", "b\x01c"], ["b", "c"]]
+    stream, asked = tokens_of(spark, streams), spark.createDataFrame(list(enumerate(patterns)), "pid long, tokens array<string>")
+    for n in (1, 2, 10):
+        assert sorted(tuple(r) for r in match.find_tokens(stream, asked, n).collect()) == brute_tokens(streams, patterns)
+    # starts that share a gram with a short pattern are not collected to be counted
+    plan = match.find_tokens(stream, asked.where(F.size("tokens") <= match.WHOLE), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_no_match_lies_outside_the_ranges_of_any_plan(spark):
     random.seed(4)
     streams = [[random.choice("abcd") for _ in range(60)] for _ in range(8)]
