@@ -368,7 +368,8 @@ def tumbling_query_loads(spark, sf_dir):
 
 @query(f"SELECT m.pid, m.stream_id, m.pos, CASE WHEN len(p.tokens) <= {BLOCK // 4} THEN m.pos + len(p.tokens) ELSE ceil((m.pos + len(p.tokens)) / {BLOCK / 2})::BIGINT * {BLOCK // 2} END::BIGINT AS known_at FROM ({MIXED_MATCHES}) m JOIN ({MIXED_PATTERNS}) p USING (pid)")
 def find_delayed_batches(spark, sf_dir):
-    return loads.delayed(find_mixed_tokens(spark, sf_dir), _mixed_patterns(spark, sf_dir), BLOCK)
+    patterns = _mixed_patterns(spark, sf_dir)
+    return loads.delayed(match.find_tokens(_events(spark, sf_dir), patterns, N), patterns, BLOCK)
 
 
 @query(f"SELECT stream_id, b AS level, 1::BIGINT << b AS size FROM (SELECT stream_id, count(*) AS n FROM ({EVENT_STREAM}) GROUP BY 1), (SELECT unnest(range(0, 62))::INTEGER AS b) WHERE (n >> b) & 1 = 1")

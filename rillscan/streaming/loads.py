@@ -13,6 +13,9 @@ from ..plans.interfaces import Matcher
 from ..session import reach
 from ..sources import streams
 
+#: Patterns whose sizes are sent to every task.
+MOST_PATTERNS = 1_000_000
+
 
 def loads_every(events: DataFrame, key: str, order: str, window: int) -> DataFrame:
     """(key, load, n_tokens): a row each time a key has seen another ``window`` tokens.
@@ -36,9 +39,12 @@ def delayed(matches: DataFrame, patterns: DataFrame, delta: int) -> DataFrame:
 
     Patterns of up to delta / 4 tokens are looked for as tokens come, longer ones when the buffer is flushed, every delta / 2 tokens.
     """
-    end, half = F.col("pos") + F.size("tokens"), delta // 2
-    known = F.when(F.size("tokens") <= delta // 4, end).otherwise(F.ceil(end / half) * half)
-    return matches.join(patterns, "pid").select("pid", "stream_id", "pos", known.cast("long").alias("known_at"))
+    end, half = F.col("pos") + F.col("m"), delta // 2
+    known = F.when(F.col("m") <= delta // 4, end).otherwise(F.ceil(end / half) * half)
+    sized = patterns.select("pid", F.size("tokens").alias("m"))
+    # numbers and sizes of this many patterns are sent to the matches, which then stay where they are
+    sized = F.broadcast(sized) if sized.count() <= MOST_PATTERNS else sized
+    return matches.join(sized, "pid").select("pid", "stream_id", "pos", known.cast("long").alias("known_at"))
 
 
 def answers_every(events: DataFrame, key: str, order: list[str], token: str, patterns: list[list[str]], window: int) -> DataFrame:

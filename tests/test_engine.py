@@ -12,6 +12,7 @@ from rillscan import catalog
 from rillscan.functions import probability
 from rillscan.operators import hierarchy, keys, match, suffix_array
 from rillscan.plans import presets
+from rillscan.session import cut
 from rillscan.sources import generators, streams
 from rillscan.streaming import loads
 
@@ -128,6 +129,15 @@ def test_division_makes_rows_of_matches_alone(spark):
     assert "HashAggregate" not in plan and "BroadcastHashJoin" in plan
 
 
+def test_delays_leave_matches_where_they_are(spark):
+    patterns = spark.createDataFrame([(0, list("ab")), (1, list("abcdefg"))], "pid long, tokens array<string>")
+    matches = spark.createDataFrame([(0, 5, 3), (1, 5, 0), (1, 6, 3), (2, 6, 3)], "pid long, stream_id long, pos long")
+    # as tables of unknown size, which are not sent to every task unless asked to
+    found = loads.delayed(cut(matches), cut(patterns), 16)
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 5, 3, 5), (1, 5, 0, 8), (1, 6, 3, 16)]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_match_lies_outside_the_ranges_of_any_plan(spark):
     random.seed(4)
     streams = [[random.choice("abcd") for _ in range(60)] for _ in range(8)]
