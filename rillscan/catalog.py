@@ -813,8 +813,8 @@ SUFFIXES = f"SELECT stream_id, pos, list(token) OVER (PARTITION BY stream_id ORD
 
 def _suffixes(spark, sf_dir):
     stream = _events(spark, sf_dir)
-    longest = stream.agg(F.max("pos")).first()[0]
-    return suffix_array.suffix_array(stream, (longest or 0) + 1)
+    longest = match.lengths(stream).agg(F.max("n")).first()[0]
+    return suffix_array.suffix_array(stream, longest or 1)
 
 
 @query(f"SELECT stream_id, pos, row_number() OVER (PARTITION BY stream_id ORDER BY suffix) - 1 AS rank FROM ({SUFFIXES})")

@@ -5,6 +5,7 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,34 @@ def test_suffix_array_search_on_edge_cases(spark):
     assert sorted(tuple(r) for r in found.collect()) == brute_tokens(streams, patterns)
 
 
+def test_suffix_arrays_in_memory_and_by_windows_agree(spark, monkeypatch):
+    random.seed(6)
+    streams = [[random.choice(["a", "b", "é", "\U0001d11e", "\uffff"]) for _ in range(random.randint(1, 60))] for _ in range(30)] + [["a"] * 70]
+    patterns = [[random.choice("ab") for _ in range(m)] for m in range(6) for _ in range(5)] + [["é", "\uffff"], ["c"], ["a"] * 64]
+    stream, asked = tokens_of(spark, streams), spark.createDataFrame(list(enumerate(patterns)), "pid long, tokens array<string>")
+    wanted = [(i, at, r) for i, s in enumerate(streams) for r, at in enumerate(sorted(range(len(s)), key=lambda k: s[k:]))]
+    ranks = suffix_array.suffix_array(stream, 70)
+    assert sorted(tuple(r) for r in ranks.collect()) == sorted(wanted)
+    assert sorted(tuple(r) for r in suffix_array.find(stream, ranks, asked).collect()) == brute_tokens(streams, patterns)
+    unnamed = stream.where("stream_id = 3").withColumn("stream_id", F.lit(None).cast("long")).unionByName(stream.where("stream_id = 0"))
+    found = suffix_array.find(unnamed, suffix_array.suffix_array(unnamed, 70), asked).collect()
+    assert sorted((r.pid, 3 if r.stream_id is None else r.stream_id, r.pos) for r in found) == [r for r in brute_tokens(streams, patterns) if r[1] in (0, 3)]
+    for tokens, size in ((1, 1), (5, 2), (5, 20), (100, 3)):
+        monkeypatch.setattr(suffix_array, "TOKENS", tokens)
+        ids = pa.table({"stream_id": pa.array([None] * 3 + [0] * 4 + [1] + [2] * 12 + [7] * 2, pa.int64())})
+        parts = [t.column("stream_id").to_pylist() for t in suffix_array._whole(iter(ids.to_batches(max_chunksize=size)))]
+        assert sum(parts, []) == ids.column("stream_id").to_pylist() and sum(len(set(p)) for p in parts) == 5
+    # no row is made for a stream and a pattern that it does not hold
+    plan = suffix_array.find(stream, ranks, asked)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("CartesianProduct", "NestedLoopJoin", "SortMergeJoin"))
+    monkeypatch.setattr(suffix_array, "MOST_TOKENS", 10)
+    few, some = stream.where("stream_id < 4 or stream_id = 30"), asked.where("pid % 5 = 0")
+    slow = suffix_array.suffix_array(few, 70)
+    assert sorted(tuple(r) for r in slow.collect()) == sorted(w for w in wanted if w[0] < 4 or w[0] == 30)
+    kept = [(p, s, k) for p, s, k in brute_tokens(streams, patterns) if p % 5 == 0 and (s < 4 or s == 30)]
+    assert sorted(tuple(r) for r in suffix_array.find(few, slow, some).collect()) == kept
+
+
 def test_inclusion_and_exclusion_up_to_an_order(spark):
     p = [0.1, 0.2, 0.05, 0.3]
     row = spark.range(1).select(
